@@ -133,7 +133,7 @@ class Words:
         self.hash = span_hash(self.prefix, self.start, self.end)
 
 
-def batches(frames: Iterable, text: str = "text", most: int = 4_000_000):
+def batches(frames: Iterable, text: str = "text", most: int = 2_000_000):
     """Cut Arrow batches (as pandas frames) so that each holds at most ``most`` characters, or one text."""
     for pdf in frames:
         if not len(pdf):
@@ -176,3 +176,33 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("lo").alias("v")), F.struct("u", F.col("lo").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = cut(small)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def join_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """``docs`` rows that have a label: doc_id, text and ``y``; a doc_id that ``labels`` repeats takes the largest."""
+    one = labels.where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    return docs.select("doc_id", "text").join(one, "doc_id")
+
+
+def sample_rate(key: str, salt: str, rate: float) -> Column:
+    """True for about ``rate`` of the rows, by a hash of the key."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, max(0.0, rate)) * (1 << 30))
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+class Adam:
+    """Adam steps on a list of arrays, in place."""
+
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.t = params, rate, 0
+        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+
+    def step(self, grads: list[np.ndarray]) -> None:
+        self.t += 1
+        for p, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)

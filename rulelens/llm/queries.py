@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from rulelens.llm import license_scan, mixing
+from rulelens.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": language_id.op2_language_id,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_packing": packing.op5_packing,
+    "op6_topk": topk.op6_topk,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_license_scan": license_scan.op9_license_scan,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_embedding_dedup": embedding_dedup.OP4_SQL,
+    "op6_topk": topk.OP6_SQL,
 }
