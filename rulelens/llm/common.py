@@ -179,9 +179,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """``docs`` rows that have a label: doc_id, text and ``y``; a doc_id that ``labels`` repeats takes the largest."""
+    """``docs`` rows that have a label: doc_id, text and ``y``; a doc_id that ``labels`` repeats takes the largest.
+
+    Pass the sampled labels: they are counted, and broadcast if few, so that texts need no shuffle.
+    """
     one = labels.where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+    return docs.select("doc_id", "text").join(small_side(cut(one)), "doc_id")
 
 
 def sample_rate(key: str, salt: str, rate: float) -> Column:
