@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +25,13 @@ from rulelens.llm.common import batches, cut, small_side
 
 CAPACITY, END_ID = 1024, 2
 #: Numbers of groups tried for the rounding; the plan with the fewest sequences wins.
-GROUPS = (16, 48, 96)
+GROUPS = (24, 64)
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
 #: Pivots of the column generation at most; it only ends the search for a better plan.
 PIVOTS = 1500
+#: Free places that a sequence of actual large lengths may keep before small ones are added.
+SLACK = 1
 #: The byte-level vocabulary's splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -187,36 +190,49 @@ def best_fit(bins: Bins, counts: dict[int, int], capacity: int) -> Bins:
     return [b for same in by_room for b in same]
 
 
-def plan_for(counts: dict[int, int], groups: int, capacity: int, small: int, pivots: int) -> Bins:
-    """One plan: linear grouping, configurations, substitution, best-fit."""
+def substitute(places: list[int], rest: dict[int, int], capacity: int, small: int) -> list[int]:
+    """Actual lengths for the rounded places of one sequence: the longest left that fits each place.
+
+    The last place takes the longest that the sequence has room for. A longer length than its place leaves a shorter
+    one for a place of the longer group, so all places can still be taken.
+    """
+    free, lengths = Counter(), []
+    for k, place in enumerate(places):
+        most = capacity - sum(lengths) if k == len(places) - 1 else place
+        length = next((x for x in range(min(most, capacity - 1), small, -1) if rest.get(x, 0) > free[x]), None)
+        if length is not None:
+            free[length] += 1
+            lengths.append(length)
+    return lengths
+
+
+def plan_for(counts: dict[int, int], groups: int, capacity: int, small: int, pivots: int = PIVOTS, slack: int = SLACK) -> Bins:
+    """One plan: linear grouping, configurations, substitution, best-fit.
+
+    Sequences that substitution leaves with more than ``slack`` free are not taken: what is left of the large
+    lengths is grouped again, as long as a round takes a fair part of it; best-fit places the rest.
+    """
     rest = dict(counts)
     bins: Bins = []
-    large = {k: n for k, n in counts.items() if small < k < capacity}
-    if large:
+    while True:
+        large = {k: n for k, n in rest.items() if n and small < k < capacity}
+        before = sum(large.values())
+        if not before:
+            break
         grouped = group_sizes(large, groups)
-        queues = [list(items) for _, items in grouped]
         for times, pattern in configurations([s for s, _ in grouped], [sum(n for _, n in items) for _, items in grouped], capacity, pivots):
-            places = [k for k, n in enumerate(pattern) for _ in range(n)]
+            places = [grouped[k][0] for k, n in enumerate(pattern) for _ in range(n)]
             while times:
-                # as many sequences as have the same actual lengths in all places
-                lengths, run, use = [], times, {}
-                for k in places:
-                    use[k] = use.get(k, 0) + 1
-                for k, n in use.items():
-                    if queues[k]:
-                        length, have = queues[k][-1]
-                        n = min(n, have)
-                        run = min(run, have // n)
-                        lengths += [(k, length, n)]
-                if not lengths:
+                lengths = substitute(places, rest, capacity, small)
+                if sum(lengths) < capacity - slack:
                     break
-                for k, length, n in lengths:
-                    have = queues[k].pop()[1] - n * run
-                    if have:
-                        queues[k].append((length, have))
+                run = min([times, *(rest[length] // n for length, n in Counter(lengths).items())])
+                for length, n in Counter(lengths).items():
                     rest[length] -= n * run
-                bins.append((run, tuple(length for _, length, n in lengths for _ in range(n))))
+                bins.append((run, tuple(lengths)))
                 times -= run
+        if sum(n for k, n in rest.items() if small < k < capacity) > 0.9 * before:
+            break
     return best_fit(bins, {k: n for k, n in rest.items() if n}, capacity)
 
 
@@ -227,7 +243,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Bins:
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
     best: Bins = []
     for groups in GROUPS:
-        new = plan_for(counts, groups, capacity, int(capacity * SMALL), PIVOTS)
+        new = plan_for(counts, groups, capacity, int(capacity * SMALL))
         if not best or sum(n for n, _ in new) < sum(n for n, _ in best):
             best = new
         if sum(n for n, _ in best) <= least:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from rulelens.llm import embedding_dedup, language_id, license_scan, mixing, packing, quality, topk, toxicity
+from rulelens.llm import embedding_dedup, language_id, license_scan, minhash_dedup, mixing, packing, quality, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": language_id.op2_language_id,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_packing": packing.op5_packing,
     "op6_topk": topk.op6_topk,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality": quality.op10_quality,
 }
