@@ -24,10 +24,10 @@ def compare_keyword(spark, sf):
     return P.per_source(P.compare(detections(spark, sf), keyword="With"))
 
 
-@query("compare_platform", f"WITH {DET} SELECT source, count(*) AS n FROM det WHERE {score_sql('lower(detection_logic)', dims.PLATFORMS)} = 'palo_alto' GROUP BY source")
+@query("compare_platform", f"WITH {DET} SELECT source, count(*) AS n FROM det WHERE {score_sql('lower(detection_logic)', dims.PLATFORMS)} = 'azure' GROUP BY source")
 def compare_platform(spark, sf):
     rules = detections(spark, sf).select("source", N.platform(F.col("detection_logic")).alias("platform"))
-    return P.per_source(P.compare(rules, platform="PALO_ALTO"))
+    return P.per_source(P.compare(rules, platform="AZURE"))
 
 
 def shipped(spark, sf):

@@ -115,14 +115,19 @@ def first_keyword(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.coalesce(N.first_contained(F.lower("p_name"), FIRST), F.lit("")).alias("word"))
 
 
-@query("keyword_hits", f"""WITH k AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{w}')" for i, ws in dims.keywords(dims.PLATFORMS) for w in ws)}) v(platform, keyword)),
+TOPICS = {"legal": ["license", "licensed", "rights", "reserved", "apache", "mit", "gnu"], "english": ["the", "of", "with"], "french": ["le", "les"], "german": ["der", "die"]}
+TOPIC_ROWS = [(t, w) for t, ws in TOPICS.items() for w in ws]
+
+
+@query("keyword_hits", f"""WITH k AS (SELECT * FROM (VALUES {', '.join(map(str, TOPIC_ROWS))}) v(topic, keyword)),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]+')) AS keyword FROM documents)
-SELECT platform, keyword, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w JOIN k USING (keyword) GROUP BY ALL""")
+SELECT topic, keyword, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w JOIN k USING (keyword) GROUP BY ALL""")
 def keyword_hits(spark, sf):
     """Token mode: explode the tokens and join the keywords, for keyword lists too long for an expression."""
-    words = spark.createDataFrame([(i, w) for i, ws in dims.keywords(dims.PLATFORMS) for w in ws], "platform string, keyword string")
+    words = spark.createDataFrame(TOPIC_ROWS, "topic string, keyword string")
     tokens = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), F.lit(0))).alias("keyword"))
-    return tokens.join(F.broadcast(words), "keyword").groupBy("platform", "keyword").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    per_doc = tokens.join(F.broadcast(words), "keyword").groupBy("topic", "keyword", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("topic", "keyword").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
 SEARCH_SQL = ", ".join(f"CASE WHEN {' OR '.join('(' + ' AND '.join(f'contains(t, {w!r})' for w in g) + ')' for g in groups)} THEN '{dims.DATA_SOURCE_LABELS[name]}' END" for name, groups in N.SEARCH_SOURCES)
