@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,7 +84,7 @@ def rule_url(repo: Column, path: Column, branch: Column | str = "main") -> Colum
 
 def clean_list(c: Column) -> Column:
     """Trimmed elements without blanks; null becomes empty."""
-    return F.coalesce(F.filter(F.transform(c, F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
 def title_case(c: Column) -> Column:
@@ -102,7 +102,7 @@ def label_of(x: Column, labels: dict[str, str] = dims.DATA_SOURCE_LABELS) -> Col
 
 def label_map(c: Column) -> Column:
     """Labels of a list of raw data sources, in order, without repeats; blank elements are dropped."""
-    return F.array_distinct(F.transform(F.filter(c, lambda x: x.isNotNull() & (x != "")), label_of))
+    return F.array_distinct(F.transform(F.filter(c, lambda x: x.isNotNull() & (x != "")), lambda x: label_of(x)))
 
 
 def keyword_score(text: Column, taxonomy: tuple) -> Column:
@@ -122,9 +122,14 @@ def first_contained(text: Column, names: Sequence[str]) -> Column:
     return F.get(F.filter(lits(names), lambda n: F.contains(text, n)), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def platform(text: Column, product: Column | None = None, service: Column | None = None, patterns: Column | None = None) -> Column:
     """Platform from the product, else the service, else index patterns, else keyword scores over the text."""
-    text, out = F.lower(text), []
+    out = []
     if product is not None:
         out.append(hinted(product, dims.PLATFORMS))
     if service is not None:
@@ -133,11 +138,11 @@ def platform(text: Column, product: Column | None = None, service: Column | None
         by_word = {w: i for i, words in dims.keywords(dims.PLATFORMS) for w in words}
         hits = F.filter(F.flatten(F.transform(patterns, lambda p: F.filter(lits(list(by_word)), lambda w: F.contains(F.lower(p), w)))), lambda w: w.isNotNull())
         out.append(F.try_element_at(lit_map(by_word), F.get(hits, F.lit(0))))
-    return F.coalesce(*out, keyword_score(text, dims.PLATFORMS))
+    return F.coalesce(*out, let(F.lower(text), lambda t: keyword_score(t, dims.PLATFORMS)), F.lit(""))
 
 
 def event_category(text: Column, category: Column | None = None) -> Column:
-    score = keyword_score(F.lower(text), dims.EVENT_CATEGORIES)
+    score = F.coalesce(let(F.lower(text), lambda t: keyword_score(t, dims.EVENT_CATEGORIES)), F.lit(""))
     return score if category is None else F.coalesce(hinted(category, dims.EVENT_CATEGORIES), score)
 
 
@@ -147,7 +152,7 @@ def data_source(text: Column, service: Column | None = None, patterns: Column |
         out.append(F.when(F.lower(service).isin(*names), F.lower(service)))
     if patterns is not None:
         out.append(F.get(F.flatten(F.transform(patterns, lambda p: F.filter(lits(names), lambda n: F.contains(F.lower(p), n)))), F.lit(0)))
-    return F.coalesce(*out, first_contained(F.lower(text), names), F.lit(""))
+    return F.coalesce(*out, let(F.lower(text), lambda t: first_contained(t, names)), F.lit(""))
 
 
 def detect_language(rule_type: Column, language: Column) -> Column:

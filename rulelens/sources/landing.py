@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rulelens.functions.normalize import lits
 
@@ -94,7 +95,7 @@ def decoded_json(content: str, form: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(content: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else decoded_json(c, f) for c, f in zip(content, form, strict=True)])
 

@@ -228,9 +228,11 @@ def normalized(landed: DataFrame, source: str, repo_url: str, spec: SourceSpec |
     product, category, service = (get(k) for k in ("product", "category", "service"))
     logs = N.ordered_distinct(product, category, service)
     logs = F.array_distinct(F.concat(logs, get("extra_sources", none())))
-    rows = landed.withColumns({"_product": product, "_logs": logs})
-    hint = F.lower(F.concat_ws(" ", "_logs", product, category, service, get("patterns", none()), get("hint_text")))
+    hint = F.lower(F.concat_ws(" ", logs, product, category, service, get("patterns", none()), get("hint_text")))
+    rows = landed.withColumns({"_product": product, "_category": category, "_service": service, "_patterns": get("patterns", none()), "_logs": logs, "_hint": hint})
     hints = "hints" not in f
+    product, category, service, hint = (F.col(f"_{k}") for k in ("product", "category", "service", "hint"))
+    patterns = F.col("_patterns") if "patterns" in f else None
     fallback = {"platform": F.lit(""), "event_category": F.lit(""), "data_source": F.lit("")} | spec.fallback()
     pick = lambda found, name: F.coalesce(F.nullif(found, F.lit("")), fallback[name], F.lit(""))
     ok = F.coalesce(f["title"], F.lit("")) != ""
@@ -251,9 +253,9 @@ def normalized(landed: DataFrame, source: str, repo_url: str, spec: SourceSpec |
         N.norm_severity(get("severity")).alias("severity"),
         F.col("_logs").alias("log_sources"),
         (f["labels"] if "labels" in f else N.label_map(get("data_sources", none()))).alias("data_sources"),
-        pick(N.platform(hint, product if hints else None, service, f.get("patterns")), "platform").alias("platform"),
+        pick(N.platform(hint, product if hints else None, service, patterns), "platform").alias("platform"),
         pick(N.event_category(hint, category if hints else None), "event_category").alias("event_category"),
-        pick(N.data_source(hint, service, f.get("patterns")), "data_source").alias("data_source_normalized"),
+        pick(N.data_source(hint, service, patterns), "data_source").alias("data_source_normalized"),
         get("tactics", none()).alias("mitre_tactics"),
         get("techniques", none()).alias("mitre_techniques"),
         f["logic"].alias("detection_logic"),

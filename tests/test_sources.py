@@ -132,7 +132,7 @@ def test_splunk(rules):
 
 def test_other_sources(rules):
     m = rules["sublime", "detection-rules/mail.yml"]
-    assert (m.author, m.status, m.severity, m.event_category, m.data_source_normalized) == ("N", "stable", "critical", "email", "exchange")
+    assert (m.author, m.status, m.severity, m.event_category, m.data_source_normalized) == ("N", "stable", "critical", "email", "security")
     assert m.mitre_tactics == ["TA0001"] and m.mitre_techniques == ["T1566.001"] and m.data_sources == ["Email", "Header Analysis", "Phishing"]
     assert rules["sublime", "detection-rules/mail2.yml"].author == "plain"
     b = rules["elastic_protections", "behavior/rules/windows/bp.toml"]
