@@ -103,7 +103,7 @@ def write_json(rules: DataFrame, path: str, raw: bool = False) -> None:
 
 
 def write_csv(rules: DataFrame, path: str) -> None:
-    flat_rows(rules).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue=None)
+    flat_rows(rules).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def feed_union(feeds: dict[str, DataFrame], ts: str, source: str | None = None) -> DataFrame:

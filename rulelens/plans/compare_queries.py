@@ -156,7 +156,7 @@ def derive_tactics(spark, sf):
 PARENTS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in dims.PARENT_TACTIC.items()) + ") p(technique, tactic)"
 
 
-@query("infer_parent", f"""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS k, 'T' || (1000 + l_partkey % 600) AS t FROM lineitem),
+@query("infer_parent", f"""WITH x AS (SELECT l_orderkey AS id, 'T' || (1000 + l_partkey % 600) AS t, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'T' || (1000 + l_partkey % 600)) AS k FROM lineitem),
 y AS (SELECT id, p.tactic, min(k) AS k FROM x JOIN {PARENTS} ON x.t = p.technique GROUP BY ALL)
 SELECT id, string_agg(tactic, ',' ORDER BY k) AS tactics FROM y GROUP BY id""")
 def infer_parent(spark, sf):

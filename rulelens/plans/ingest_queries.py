@@ -107,7 +107,7 @@ def export_csv(spark, sf):
     """Write the export as CSV and read it back."""
     path = folder(spark, "csv")
     G.write_csv(detections(spark, sf), path)
-    back = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    back = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return back.select("id", "source", "title", "mitre_techniques", "tags", "author")
 
 

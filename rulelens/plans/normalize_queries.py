@@ -170,7 +170,7 @@ def extract_ids(spark, sf):
     return detections(spark, sf).select("doc_id", F.array_join(N.technique_ids(ids), ",").alias("techniques"), F.array_join(N.tactic_ids(F.array(F.replace(name, F.lit(" "), F.lit("")), name, F.lit("none"))), ",").alias("tactics"))
 
 
-@query("nested_flatten", "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY k) AS parts FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS k FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+@query("nested_flatten", "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY k, l_partkey) AS parts FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS k FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
 def nested_flatten(spark, sf):
     """Ids of nested lines, flattened in order without repeats."""
     nested = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.array("l_partkey").alias("parts")))).alias("lines"))
