@@ -32,8 +32,8 @@ def platforms(rules: DataFrame, as_of: Column, days: int = 30, k: int = 20) -> D
 
 def summary(rules: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     """source, n of recent rules, and their total as source 'total'."""
-    out = recent(rules, "rule_modified_date", as_of, days).rollup("source").agg(F.count("*").alias("n"), F.grouping("source").alias("g"))
-    return out.select(F.when(F.col("g") == 1, "total").otherwise(F.col("source")).alias("source"), "n")
+    per = recent(rules, "rule_modified_date", as_of, days).groupBy("source").agg(F.count("*").alias("n"))
+    return per.union(per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("source"), "n"))
 
 
 def windowed(events: DataFrame, width: str = "7 days", slide: str = "1 day") -> DataFrame:
