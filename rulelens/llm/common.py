@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +152,25 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 runs = _runs
 
+
+def whole_groups(frames: Iterable, keys: list[str]):
+    """The groups of equal ``keys`` in frames that are sorted by them (within a partition), one frame each."""
+    held = None
+    for pdf in frames:
+        held = pdf if held is None or not len(held) else pd.concat([held, pdf], ignore_index=True)
+        if not len(held):
+            continue
+        new = np.zeros(len(held), bool)
+        for k in keys:
+            v = held[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        at = np.flatnonzero(new)
+        for lo, hi in zip(np.r_[0, at][: len(at)], at, strict=True):
+            yield held.iloc[lo:hi]
+        held = held.iloc[at[-1] if len(at) else 0 :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, batches, components, cut, mix64, prefix_hash, small_side, span_hash
+from rulelens.llm.common import Words, batches, components, cut, mix64, prefix_hash, small_side, span_hash, whole_groups
 
 K, SIMILARITY = 5, 0.8
 #: Sketches per text and k-mers in each. A pair at similarity 0.8 is missed with probability (1 - 0.8^6)^32 = 6e-5.
@@ -26,6 +26,8 @@ SKETCHES, SAMPLED = 32, 6
 SHORT, SHORT_SAMPLED = (12, 15), 2
 #: Fewer k-mers than this reach the similarity only by equality.
 FEWEST = 4
+#: Texts of one bucket that are compared in one group.
+BLOCK = 1000
 
 _rng = np.random.default_rng(20240101)
 _XOR = _rng.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -177,6 +179,63 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values if len(at) == len(values) else values[np.sort(at)]
 
 
+def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links between texts of one bucket that are in different components, as many as join components.
+
+    Shared k-mers are counted by an index of the bucket's k-mers, for every text outside the largest component; only
+    pairs that can reach the similarity are aligned.
+    """
+    reps, comps, block = pdf.rep.to_numpy(), pdf.component.to_numpy(), pdf.block.to_numpy()
+    own = [np.frombuffer(k, np.int32) for k in pdf.kmers]
+    size = np.array([len(k) for k in own])
+    every, doc = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+    order = np.argsort(every, kind="stable")
+    every, doc = every[order], doc[order]
+    names, group, count = np.unique(comps, return_inverse=True, return_counts=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    cross = pdf.b0.iloc[0] != pdf.b1.iloc[0]
+    links = []
+    for i in np.flatnonzero(group != count.argmax()):
+        lo, hi = np.searchsorted(every, own[i]), np.searchsorted(every, own[i], side="right")
+        long = hi - lo
+        at = np.repeat(lo, long) + np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        both = np.bincount(doc[at], minlength=len(own))
+        near = both >= similarity * (size[i] + size - both)
+        if cross:
+            near &= block != block[i]
+        for j in np.flatnonzero(near):
+            x, y = find(group[i]), find(group[j])
+            if x != y and alignment(own[i], own[j], similarity) >= similarity:
+                root[x] = y
+                links.append((max(reps[i], reps[j]), min(reps[i], reps[j])))
+    return links
+
+
+def linked_in_buckets(rows: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components within buckets; ``rows(key, rep, component, blocks)``.
+
+    A bucket of more than BLOCK texts is cut in blocks and each pair of blocks is a group of its own, so no group
+    holds more than two blocks.
+    """
+    each = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("key", "rep", "component", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
+    keys = ["key", "b0", "b1"]
+
+    def run(frames):
+        for group in whole_groups(frames, keys):
+            links = bucket_links(group, similarity)
+            yield pd.DataFrame({"a": [x[0] for x in links], "b": [x[1] for x in links]}, dtype="int64")
+
+    return each.join(tokens, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of its group), kept.
 
@@ -186,8 +245,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows share a class. Extra columns of ``docs`` do not come along; an empty table gives an empty result.
 
     Copies of a text are one class before anything is compared. In each sketch bucket every text is compared with
-    the bucket's smallest id; components of those links are formed; then only texts of one bucket that are still in
-    different components are compared, so that a bucket of many copies never makes all its pairs.
+    the bucket's smallest id; components of those links are formed; then texts of one bucket that are still in
+    different components are compared within the bucket, so that no pairs are ever shuffled.
     """
     table = cut(sketch_table(docs))
     named = table.where("doc_id is not null and c1 is not null")
@@ -196,20 +255,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     lead = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("b"), F.max("rep").alias("top")).where("c > 1 and b < top")
     shared = cut(rows.join(lead.select("key", "b"), "key"))
     tokens = cut(token_table(docs, cut(shared.select("rep").distinct())))
-    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     first = cut(shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     links = cut(verified(first, tokens, similarity))
     comp = cut(components(links))
 
     placed = cut(shared.select("key", "rep", "n").join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key")
-    left = placed.join(open_keys, "key")
-    other = left.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    second = left.join(other, "key").where((F.col("rep") > F.col("b")) & (F.col("component") != F.col("cb")) & close(F.col("n"), F.col("nb")))
-    second = cut(second.select(F.col("rep").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"))
-    if second.head() is not None:
-        links = links.union(cut(verified(second, tokens, similarity)))
-        comp = cut(components(links))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    more = cut(linked_in_buckets(placed.join(open_keys, "key"), tokens, similarity))
+    if more.head() is not None:
+        comp = cut(components(links.union(more)))
 
     member = named.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
     member = member.join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
