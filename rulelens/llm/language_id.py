@@ -175,4 +175,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learn = docs.where(bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id", "text", "lang")
     out = identify(docs, fit(learn))
-    return out.select("doc_id", (bucket_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -165,4 +165,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     mine = bucket_of(F.col("doc_id"), FOLDS) != HELD_OUT
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(mine)
     out = score(docs, fit(docs.select("doc_id", "text").where(mine), labels))
-    return out.select("doc_id", (bucket_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
