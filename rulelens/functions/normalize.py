@@ -162,6 +162,12 @@ def detect_language(rule_type: Column, language: Column) -> Column:
     return F.when(t.isin(*LANGUAGES), t).when(t == "machine_learning", "ml").when(t == "threat_match", "threat_match").when(t.isin("query", "threshold", "new_terms"), declared).otherwise("unknown")
 
 
+def variant_strings(c: Column) -> Column:
+    """Array of variants as strings: a mapping gives its name, id or Schema, else its text; nulls are dropped."""
+    part = lambda x: F.coalesce(*(F.try_variant_get(x, f"$.{k}", "string") for k in ("name", "id", "Schema")), F.try_variant_get(x, "$", "string"), F.to_json(x))
+    return F.filter(F.transform(c, lambda x: part(x)), lambda x: x.isNotNull())
+
+
 def norm_tags(c: Column, drop_prefix: bool = False) -> Column:
     """Lower case, spaces to underscores; optionally without what stands before the first colon."""
     bare = (lambda t: F.trim(F.regexp_replace(t, "^[^:]*:", ""))) if drop_prefix else (lambda t: t)

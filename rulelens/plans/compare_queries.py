@@ -11,7 +11,7 @@ from rulelens.operators import coverage as C
 from rulelens.operators import trending as T
 from rulelens.plans.registry import query
 from rulelens.plans.search_queries import DERIVED, RESOLVE, ROW, SOURCES, score_sql, sql_list, with_tactics
-from rulelens.sources.corpus import CAT, DET, REMAP_SQL, catalog, detections, read, remap
+from rulelens.sources.corpus import CAT, DET, catalog, detections, read, remap
 
 
 @query("compare_technique", f"WITH {DET} SELECT doc_id, id, source, severity FROM det WHERE list_contains(mitre_techniques, 'T1011')")
