@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from rulelens.llm.common import batches, cut, small_side
 
 CAPACITY, END_ID = 1024, 2
-#: Numbers of groups tried for the rounding; the plan with the fewest sequences wins.
-GROUPS = (24, 64)
+#: Plans tried, the one with the fewest sequences wins: number of groups for the rounding, and places that a sequence of
+#: actual large lengths may keep free before small ones are added.
+TRIED = ((24, 0), (24, 4), (48, 1))
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
 #: Pivots of the column generation at most; it only ends the search for a better plan.
 PIVOTS = 1500
-#: Free places that a sequence of actual large lengths may keep before small ones are added.
-SLACK = 1
 #: The byte-level vocabulary's splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -206,7 +205,7 @@ def substitute(places: list[int], rest: dict[int, int], capacity: int, small: in
     return lengths
 
 
-def plan_for(counts: dict[int, int], groups: int, capacity: int, small: int, pivots: int = PIVOTS, slack: int = SLACK) -> Bins:
+def plan_for(counts: dict[int, int], groups: int, capacity: int, small: int, pivots: int = PIVOTS, slack: int = 0) -> Bins:
     """One plan: linear grouping, configurations, substitution, best-fit.
 
     Sequences that substitution leaves with more than ``slack`` free are not taken: what is left of the large
@@ -237,13 +236,13 @@ def plan_for(counts: dict[int, int], groups: int, capacity: int, small: int, piv
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Bins:
-    """The best plan over the tried numbers of groups: [(number of sequences, lengths in each)]."""
+    """The best of the tried plans: [(number of sequences, lengths in each)]."""
     if not counts:
         return []
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
     best: Bins = []
-    for groups in GROUPS:
-        new = plan_for(counts, groups, capacity, int(capacity * SMALL))
+    for groups, slack in TRIED:
+        new = plan_for(counts, groups, capacity, int(capacity * SMALL), slack=slack)
         if not best or sum(n for n, _ in new) < sum(n for n, _ in best):
             best = new
         if sum(n for n, _ in best) <= least:
