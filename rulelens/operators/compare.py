@@ -42,7 +42,9 @@ def gap_all_pairs(items: DataFrame, group: str = "grp", item: str = "item") -> D
     one = items.select(F.col(group).alias("a"), F.col(item).alias("i")).where("a is not null and i is not null").distinct()
     size = one.groupBy("a").agg(F.count("*").alias("n"))
     both = one.join(one.select(F.col("a").alias("b"), "i"), "i").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    pairs = size.select("a", F.col("n").alias("base_n")).join(size.select(F.col("a").alias("b"), F.col("n").alias("other_n")), F.col("a") != F.col("b"))
+    listed = size.agg(F.collect_list(F.struct("a", "n")).alias("s"))  # one entry per source, as the output has one row per pair
+    pairs = listed.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x.a <> y.a")
+    pairs = pairs.select("x.a", F.col("y.a").alias("b"), F.col("x.n").alias("base_n"), F.col("y.n").alias("other_n"))
     return pairs.join(both, ["a", "b"], "left").select("a", "b", "base_n", "other_n", F.coalesce("overlap", F.lit(0)).alias("overlap"), (F.col("base_n") - F.coalesce("overlap", F.lit(0))).alias("gap"))
 
 

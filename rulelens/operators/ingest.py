@@ -70,6 +70,11 @@ def run_summary(per_source: DataFrame) -> DataFrame:
     return per_source.agg(F.sum("stored").alias("stored"), F.sum("errors").alias("errors"), F.count("*").alias("sources"), entries.alias("results"))
 
 
+def append_run(summary: DataFrame, path: str, status: str = "completed") -> None:
+    """Append one run record with its time to the log at ``path``."""
+    summary.withColumns({"status": F.lit(status), "completed_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
 def job_history(jobs: DataFrame, source: str | None, k: int, order: str = "created_at", key: str = "id") -> DataFrame:
     """The newest k jobs, of one source or all."""
     rows = jobs if source is None else jobs.where(F.coalesce(F.col("source") == F.lit(source), F.lit(True)))

@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from rulelens.functions.normalize import lits
+from rulelens.functions.normalize import lits, repair_lines
 
 
 @dataclass(frozen=True)
 class Discovery:
-    """Where a source keeps its rules: globs, excluded directories, words that the path must hold, format."""
+    """Where a source keeps its rules: globs, excluded directories, words that the path must hold, format.
+
+    ``repair``: its files hold unquoted values that YAML cannot read and are repaired line by line first.
+    """
 
     globs: Sequence[str]
     must_hold: Sequence[str] = ()
     excluded: Sequence[str] = ("deprecated", "tests", "test", ".git")
     form: str = "yaml"
+    repair: bool = False
 
 
 # ---- fixed values: layout of the public rule repositories
@@ -32,7 +36,7 @@ DISCOVERY = {
     "splunk": Discovery(("detections/**/*.yml", "detections/**/*.yaml"), ("detections",)),
     "sublime": Discovery(("detection-rules/**/*.yml", "detection-rules/**/*.yaml"), ("detection-rules",)),
     "elastic_protections": Discovery(("behavior/rules/**/*.toml",), ("behavior",), form="toml"),
-    "lolrmm": Discovery(("detections/sigma/**/*.yml", "detections/sigma/**/*.yaml"), ("sigma",)),
+    "lolrmm": Discovery(("detections/sigma/**/*.yml", "detections/sigma/**/*.yaml"), ("sigma",), repair=True),
     "elastic_hunting": Discovery(("hunting/**/*.toml",), ("hunting",), form="toml"),
     "sentinel": Discovery(tuple(f"Solutions/**/{d}/*.{e}" for d in ("Analytic Rules", "Hunting Queries", "Detection Queries") for e in ("yaml", "yml")), ("solutions", "analytic"), ("deprecated", "tests", "test", ".git", "sample")),
 }
@@ -103,7 +107,8 @@ def decode(content: pd.Series, form: pd.Series) -> pd.Series:
 def landed(files: DataFrame, source: str, spec: Discovery) -> DataFrame:
     """source, path, content, doc (variant) and error_stage, error_severity, error_message of the source's files."""
     mine = files.where(discovered(F.col("path"), spec)).select(F.lit(source).alias("source"), "path", "content", F.lit(spec.form).alias("form"))
-    docs = mine.withColumn("json", F.when(F.col("content").isNotNull() & applicable(F.col("path"), spec), decode("content", "form")))
+    text = repair_lines(F.col("content")) if spec.repair else F.col("content")
+    docs = mine.withColumn("json", F.when(F.col("content").isNotNull() & applicable(F.col("path"), spec), decode(text, "form")))
     stage = F.when(F.col("content").isNull(), "read").when(~applicable(F.col("path"), spec), "skipped").when(F.col("json").isNull(), "parse")
     message = F.when(F.col("content").isNull(), "not UTF-8").when(~applicable(F.col("path"), spec), "not taken by the decoder").when(F.col("json").isNull(), "malformed")
     severity = F.when(stage == "read", "error").when(stage == "parse", "warning")

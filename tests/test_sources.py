@@ -69,6 +69,7 @@ tags: {analytic_story: [Big Story], asset_type: Endpoint, mitre_attack_id: [T100
     "behavior/rules/linux/none.toml": "[rule]\nid = 'x'\n",
     "detections/sigma/rmm.yml": "title: Tool\ndetection: {s: {a: b}, condition: s}\nlevel: low\ntags: [Remote]\nlogsource: {product: windows, service: sysmon}\n",
     "detections/sigma/rmm2.yml": "title: Tool2\ndetection: {s: {a: b}}\ntags: [LOLRMM]\n",
+    "detections/sigma/rmm3.yml": "title: Tool3\ndetection:\n  s:\n    Image: *\\rmm.exe\n    Path:\n      - %temp%\\a\n      - '*x'\n  condition: s\n",
     "hunting/aws/h.toml": "[hunt]\nname = 'Keys'\nuuid = 'u'\nquery = ['from a', 'from b']\nintegration = ['aws.cloudtrail']\nlanguage = ['ES|QL']\nmitre = ['T1078.004', 'x']\nnotes = ['n1', 'n2']\ndescription = 'd'\n",
     "hunting/llm/h2.toml": "[hunt]\nname = 'L'\nquery = 'q'\nlanguage = ['EQL']\n",
     "Solutions/S/Analytic Rules/s.yaml": "name: Sent\nquery: 'T | where 1'\nkind: Scheduled\nseverity: High\ntactics: [DefenseEvasion, Impact]\nrelevantTechniques: ['1562.008', t1565]\nrequiredDataConnectors: [{connectorId: AWS, dataTypes: [AWSCloudTrail]}]\n",
@@ -144,6 +145,8 @@ def test_other_sources(rules):
     assert x.tags == ["Remote", "lolrmm"] and x.data_sources == ["Sysmon", "RMM Tool"] and x.data_source_normalized == "sysmon"
     y = rules["lolrmm", "detections/sigma/rmm2.yml"]
     assert y.tags == ["LOLRMM"] and (y.platform, y.event_category, y.data_source_normalized) == ("windows", "process", "sysmon")
+    z = rules["lolrmm", "detections/sigma/rmm3.yml"]
+    assert z.error_stage is None and "*\\rmm.exe" in z.detection_logic and "%temp%\\a" in z.detection_logic
     h = rules["elastic_hunting", "hunting/aws/h.toml"]
     assert h.detection_logic == "from a\n\n---\n\nfrom b" and h.description == "d\n\nNotes:\n- n1\n- n2"
     assert (h.platform, h.event_category, h.data_source_normalized, h.language) == ("aws", "hunting", "cloudtrail", "esql") and h.mitre_techniques == ["T1078.004"]
