@@ -134,7 +134,7 @@ class Words:
         self.hash = span_hash(self.prefix, self.start, self.end)
 
 
-def batches(frames: Iterable, text: str = "text", most: int = 2_000_000):
+def batches(frames: Iterable, text: str = "text", most: int = 1_000_000):
     """Cut Arrow batches (as pandas frames) so that each holds at most ``most`` characters, or one text."""
     for pdf in frames:
         if not len(pdf):
