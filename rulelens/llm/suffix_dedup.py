@@ -22,7 +22,7 @@ from rulelens.llm.common import batches, cut, mix64, prefix_hash, runs, small_si
 
 LENGTH, GRAM = 200, 50
 #: Different surroundings of an anchor up to which a suffix array takes it, and bytes sorted in one array.
-GROUP_MOST, ARRAY_BYTES = 1000, 1_000_000
+GROUP_MOST, ARRAY_BYTES = 20_000, 1_000_000
 
 
 # ---------------------------------------------------------------- anchors
@@ -235,7 +235,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """k and spans (array of lo, hi byte places, may overlap) of the rows of ``keyed`` that hold repeated windows."""
     table = cut(anchors(rows, length))
-    often = table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    often = cut(table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))  # a join of its own can split a hot anchor
     shared = cut(table.join(often, "f"))
     kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "s0", "s1")).alias("r")))
     same = shared.join(kinds.where("c > 1").select("f", "whole"), ["f", "whole"]).select("k", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
@@ -250,7 +250,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     sliced = cut(sliced)
     found = sorted_groups(sliced.where(F.col("kinds") <= GROUP_MOST), length).union(counted_groups(sliced.where(F.col("kinds") > GROUP_MOST), length))
     spans = same.union(found)
-    return cut(spans.groupBy("k").agg(F.array_distinct(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    return cut(spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
