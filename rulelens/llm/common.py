@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def text_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df`` unchanged; from now on its session hands at most ``rows`` rows at once to Python, as whole texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, so that a lost executor costs one reread.
 

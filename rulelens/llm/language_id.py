@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import batches, bucket_of, logistic, sample_rate
+from rulelens.llm.common import batches, bucket_of, logistic, sample_rate, text_batches
 
 FOLDS, HELD_OUT = 5, 0
 DIM = 4096
@@ -132,7 +132,7 @@ class Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on ``docs(doc_id, text, lang)``: about ``per_language`` documents of each language, by a hash of doc_id."""
-    usable = docs.where("lang is not null and text is not null")
+    usable = text_batches(docs).where("lang is not null and text is not null")
     counts = dict(usable.groupBy("lang").count().collect())  # one row per language
     pick = F.lit(False)
     for lang, n in counts.items():
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             lang, score = shared.value.predict([None if pd.isna(t) else t for t in pdf.text])
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "lang_pred": lang, "score": score})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

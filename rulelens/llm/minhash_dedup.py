@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, batches, components, cut, mix64, prefix_hash, small_side, span_hash, whole_groups
+from rulelens.llm.common import Words, batches, components, cut, mix64, prefix_hash, small_side, span_hash, text_batches, whole_groups
 
 K, SIMILARITY = 5, 0.8
 #: Sketches per text and k-mers in each. A pair at similarity 0.8 is missed with probability (1 - 0.8^6)^32 = 6e-5.
@@ -110,7 +110,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
                 keys.append(np.concatenate([sketches(own, s) for s in kinds]).astype(np.int64).tolist() if kinds else [])
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n": np.diff(first).astype(np.int32), "c1": pd.array([c[0] for c in content], dtype="Int64"), "c2": pd.array([c[1] for c in content], dtype="Int64"), "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n int, c1 long, c2 long, keys array<long>")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n int, c1 long, c2 long, keys array<long>")
 
 
 def increasing(values: np.ndarray) -> int:

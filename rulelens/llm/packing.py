@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import batches, cut, small_side
+from rulelens.llm.common import batches, cut, small_side, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Plans tried, the one with the fewest sequences wins: number of groups for the rounding, and places that a sequence of
@@ -101,7 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + (", ids array<int>" if ids else ""))
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + (", ids array<int>" if ids else ""))
 
 
 # ---------------------------------------------------------------- the plan over lengths

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import INK_BYTE, Adam, Words, batches, bucket_of, join_labels, logistic, sample_rate
+from rulelens.llm.common import INK_BYTE, Adam, Words, batches, bucket_of, join_labels, logistic, sample_rate, text_batches
 
 FOLDS, HELD_OUT = 3, 1
 PASSAGE = 40
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches(frames):
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "score": shared.value.score([None if pd.isna(t) else t for t in pdf.text])})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return text_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

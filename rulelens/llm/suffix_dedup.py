@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import batches, cut, mix64, prefix_hash, runs, small_side, span_hash
+from rulelens.llm.common import batches, cut, mix64, prefix_hash, runs, small_side, span_hash, text_batches
 
 LENGTH, GRAM = 200, 50
 #: Different surroundings of an anchor up to which a suffix array takes it, and bytes sorted in one array.
@@ -71,7 +71,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
             out = anchored([t.encode("utf-8", "surrogatepass") for t in pdf.text], length)
             yield pd.DataFrame({"k": pdf.k.to_numpy()[out["doc"]], "s0": out["s0"].astype(np.int32), "s1": out["s1"].astype(np.int32), "f": out["f"], "whole": out["whole"]})
 
-    return docs.where(F.octet_length("text") >= length).select("k", "text").mapInPandas(run, "k long, s0 int, s1 int, f long, whole long")
+    return text_batches(docs).where(F.octet_length("text") >= length).select("k", "text").mapInPandas(run, "k long, s0 int, s1 int, f long, whole long")
 
 
 # ---------------------------------------------------------------- suffix arrays
