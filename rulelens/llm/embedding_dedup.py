@@ -170,6 +170,21 @@ def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float
     return np.concatenate([*out_q, np.zeros(0, int)]), np.concatenate([*out_n, np.zeros(0, int)])
 
 
+def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component under the links (a, b) of nodes 0 .. n - 1."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        low = np.minimum(low, low[root])
+        while (low[low] != low).any():
+            low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
 # ---------------------------------------------------------------- shards on Spark
 
 
@@ -229,9 +244,9 @@ def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int) ->
 
 
 def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int) -> DataFrame:
-    """(rep, links, root): link counts per shard, and for each linked vector one neighbour that spans its component.
+    """(rep, links, root): link counts per shard, and for each linked vector the smallest one it is connected to there.
 
-    A pair is counted in the smallest shard that both vectors share.
+    A pair is counted in the smallest shard that both vectors share. The roots of all shards span the components.
     """
     keys = ["label", "dim", "shard"]
     wide = cut(assign(points, centers, overlap).withColumn("shard", F.explode("shards")))
@@ -271,15 +286,15 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
         exact = np.concatenate([np.einsum("ij,ij->i", raw[k[s : s + 200_000]], ask[q[s : s + 200_000]]) for s in range(0, len(q), 200_000)] or [np.zeros(0)])
         keep = exact / (np.linalg.norm(raw, axis=1)[k] * np.linalg.norm(ask, axis=1)[q]) >= threshold
         q, k = q[keep], k[keep]
+        nodes, at = np.unique(np.concatenate([asked[q], reps[k]]), return_inverse=True)
+        joined = pd.DataFrame({"rep": nodes, "links": 0, "root": nodes[roots_of(at[: len(q)], at[len(q) :], len(nodes))]})
         # each pair belongs to the smallest shard that both are in
         mine_l, mine_r = ([{int(s) for s in own if s < shard} for own in f.shards] for f in (left, right))
         if any(mine_l) and any(mine_r):
             keep = np.fromiter((not (mine_l[b] & mine_r[a]) for a, b in zip(q, k, strict=True)), bool, len(q))
             q, k = q[keep], k[keep]
         links = np.bincount(q, weights=left.copies.to_numpy()[k], minlength=len(right)).astype("int64")
-        root = asked.copy()
-        np.minimum.at(root, q, reps[k])
-        return pd.DataFrame({"rep": asked, "links": links, "root": root})
+        return pd.concat([pd.DataFrame({"rep": asked, "links": links, "root": asked}), joined[joined["rep"] != joined["root"]]])
 
     return graphs.groupBy(*both).cogroup(asking.groupBy(*both)).applyInPandas(find, "rep long, links long, root long")
 

@@ -49,6 +49,19 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def turned(*degrees):
+    """Unit vectors of the plane; 21.6 degrees apart is the threshold."""
+    return [[float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for d in degrees]
+
+
+def test_stars_and_chains_are_one_component(spark):
+    star = [[0.33 * (k == leaf) + 0.944 * (k == 4) for k in range(5)] for leaf in range(4)] + [[0.0, 0.0, 0.0, 0.0, 1.0]]
+    chain = turned(0, 60, 20, 40)
+    rows = [(1 + i, v, 0, 0.1, 5) for i, v in enumerate(star)] + [(11 + i, v, 0, 0.1, 5) for i, v in enumerate(chain)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 1, False), 4: (1, 1, False), 5: (4, 1, False), 11: (1, 11, True), 12: (1, 11, False), 13: (2, 11, False), 14: (2, 11, False)}
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) + 3 * rng.normal(size=(40, 12))[rng.integers(0, 40, 400)]
