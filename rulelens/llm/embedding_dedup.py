@@ -60,12 +60,13 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, pools: np.ndarray, degree: in
 def greedy(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-first search of all queries at once, from the nearest of ``starts``: (ids, cosines) of the beams and the visited bitmap."""
     n, b = len(x), len(queries)
-    starts = starts[:beam]
     ids = np.full((b, beam), -1, dtype=np.int64)
     cos = np.full((b, beam), -np.inf)
     done = np.zeros((b, beam), bool)
     seen = np.zeros((b, n + 1), bool)
-    ids[:, : len(starts)], cos[:, : len(starts)] = starts, queries @ x[starts].T
+    first = queries @ x[starts].T
+    best = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+    ids[:, : best.shape[1]], cos[:, : best.shape[1]] = starts[best], np.take_along_axis(first, best, 1)
     seen[:, starts] = seen[:, n] = True
     row = np.arange(b)
     while True:
@@ -95,11 +96,20 @@ def medoids(x: np.ndarray, most: int) -> np.ndarray:
         out.append(int(near.argmin()))
         near = np.maximum(near, x @ x[out[-1]])
     home = (x @ x[out].T).argmax(axis=1)
-    for c in range(1, len(out)):
+    seeds = len(out)
+    for c in range(1, seeds):
         own = np.flatnonzero(home == c)
         if len(own):
             out.append(int(own[(x[own] @ x[own].mean(axis=0)).argmax()]))
-    return np.unique(out[:1] + out[min(most, len(x)) :] or out)
+    return np.unique(out[:1] + out[seeds:])
+
+
+def starts_of(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The medoids, and a node of every connected component of ``graph`` that holds none of them."""
+    start = medoids(x, STARTS)
+    a, t = np.nonzero(graph >= 0)
+    root = roots_of(a, graph[a, t], len(x))
+    return np.union1d(start, np.setdiff1d(root, root[start]))
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> list[np.ndarray]:
@@ -142,7 +152,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
 def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) index pairs with cosine >= least: greedy search, then expansion of every node in range."""
     n = len(x)
-    start = medoids(x, STARTS)
+    start = starts_of(x, graph)
     out_q, out_n = [], []
     for lo in range(0, len(queries), 128):
         part = queries[lo : lo + 128]

@@ -76,6 +76,18 @@ def test_graph_search_recall():
     assert got <= true and len(got) >= 0.97 * len(true)
 
 
+def test_search_reaches_groups_without_edges_between():
+    rng = np.random.default_rng(6)
+    for count in (10, 60):  # fewer and more groups than starts and beam
+        home = np.repeat(np.arange(count), 20)
+        x = rng.normal(size=(count, 64))[home] + 0.02 * rng.normal(size=(20 * count, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert len(set(home[embedding_dedup.medoids(x, embedding_dedup.STARTS)])) == min(count, embedding_dedup.STARTS)
+        graph = np.stack([np.delete(np.flatnonzero(home == h), i % 20) for i, h in enumerate(home)])
+        q, k = embedding_dedup.in_range(x, graph, x, 0.93)
+        assert sorted(zip(q.tolist(), k.tolist(), strict=True)) == list(zip(*(v.tolist() for v in np.nonzero(home[:, None] == home[None])), strict=True))
+
+
 def test_top_k_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
