@@ -180,6 +180,18 @@ def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float
     return np.concatenate([*out_q, np.zeros(0, int)]), np.concatenate([*out_n, np.zeros(0, int)])
 
 
+def repaired(x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The found pairs (q, k) and all that blocked products find besides: none of a shard's pairs is missing."""
+    pairs = [q * len(x) + k]
+    for lo in range(0, len(queries), 256):
+        i, j = np.nonzero(queries[lo : lo + 256] @ x.T >= least)
+        code = (i + lo) * len(x) + j
+        mine = pairs[0][(q >= lo) & (q < lo + 256)]
+        pairs.append(np.setdiff1d(code, mine))
+    code = np.concatenate(pairs)
+    return code // len(x), code % len(x)
+
+
 def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest node of each node's component under the links (a, b) of nodes 0 .. n - 1."""
     root = np.arange(n)
@@ -256,7 +268,8 @@ def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int) ->
 def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int) -> DataFrame:
     """(rep, links, root): link counts per shard, and for each linked vector the smallest one it is connected to there.
 
-    A pair is counted in the smallest shard that both vectors share. The roots of all shards span the components.
+    A pair is counted in the smallest shard that both vectors share, which loses none as every shard's pairs are
+    complete. The roots of all shards span the components.
     """
     keys = ["label", "dim", "shard"]
     wide = cut(assign(points, centers, overlap).withColumn("shard", F.explode("shards")))
@@ -289,7 +302,8 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
             at = at[at >= 0]
             graph[i, : len(at)] = at
         raw, ask = np.array(left.vec.tolist(), dtype=float), np.array(right.vec.tolist(), dtype=float)
-        q, k = in_range(x, graph, unit(right.vec), threshold - 1e-9)
+        at = unit(right.vec)
+        q, k = repaired(x, at, *in_range(x, graph, at, threshold - 1e-9), threshold - 1e-9)
         reps, asked = left.rep.to_numpy(), right.rep.to_numpy()
         keep = reps[k] != asked[q]
         q, k = q[keep], k[keep]

@@ -62,6 +62,21 @@ def test_stars_and_chains_are_one_component(spark):
     assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 1, False), 4: (1, 1, False), 5: (4, 1, False), 11: (1, 11, True), 12: (1, 11, False), 13: (2, 11, False), 14: (2, 11, False)}
 
 
+def test_links_that_a_shard_misses_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    monkeypatch.setattr(embedding_dedup, "SHARD_MOST", 90)
+    true = embedding_dedup.in_range
+    # searches of every second shard size find nothing
+    monkeypatch.setattr(embedding_dedup, "in_range", lambda x, *rest: true(x, *rest) if len(x) % 2 else (np.zeros(0, int), np.zeros(0, int)))
+    rows = [r for r in vectors(3, 300) if r[2] == 0]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    want = groups(len(rows), list(zip(*np.nonzero(near), strict=True)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {r[0]: (int(near[i].sum()) - 1, rows[want[i]][0]) for i, r in enumerate(rows)}
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) + 3 * rng.normal(size=(40, 12))[rng.integers(0, 40, 400)]
