@@ -3,7 +3,8 @@
 Vectors go to the shards of their nearest centroids (several each, so shards overlap). In each shard a flat graph is
 built by robust pruning; the adjacency lists of a vector from all its shards are united; a greedy search from the
 shard's medoid, widened over everything in range, finds each vector's neighbours, and cosines are verified in double
-precision. Recall is audited against brute force on a bounded set of queries, and more overlap is used if it is low.
+precision. Blocked products complete every shard. Recall is audited against brute force on a bounded set of queries of
+every class of link counts; more overlap is used if it is low, and labels where it stays low are searched exactly.
 """
 
 from __future__ import annotations
@@ -249,32 +250,64 @@ def centroids(points: DataFrame, shard: int, most: int, sample: int) -> dict[tup
     return out
 
 
-def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
-    """``points`` with ``shards``, the numbers of the nearest centroids of its label (0 where it has none)."""
-    shared = points.sparkSession.sparkContext.broadcast(centers)  # at most CENTROIDS_MOST vectors
+def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, reach: dict[tuple, np.ndarray] | None = None) -> DataFrame:
+    """``points`` with ``shards``, the numbers of the nearest centroids of its label (0 where it has none), and ``asks``.
+
+    ``asks`` are the shards that a vector is compared in: the same, or with ``reach`` all centroids at most that far.
+    """
+    shared = points.sparkSession.sparkContext.broadcast((centers, reach))  # at most CENTROIDS_MOST vectors
 
     def run(frames):
         for pdf in frames:
-            out = []
+            shards, asks = [], []
             for label, dim, vec in zip(pdf.label, pdf.dim, pdf.vec, strict=True):
-                c = shared.value.get((label, dim))
-                out.append([0] if c is None else np.argsort(-(c @ vec), kind="stable")[:overlap].tolist())
-            pdf["shards"] = out
-            yield pdf[["rep", "label", "dim", "vec", "copies", "shards"]]
+                c = shared.value[0].get((label, dim))
+                shards.append([0] if c is None else np.argsort(-(c @ vec), kind="stable")[:overlap].tolist())
+                asks.append(shards[-1] if c is None or shared.value[1] is None else np.flatnonzero(angles(c, vec) <= shared.value[1][label, dim]).tolist())
+            pdf["shards"], pdf["asks"] = shards, asks
+            yield pdf[["rep", "label", "dim", "vec", "copies", "shards", "asks"]]
+
+    return points.mapInPandas(run, points.schema.simpleString()[7:-1] + ",shards:array<int>,asks:array<int>")
+
 
-    return points.mapInPandas(run, points.schema.simpleString()[7:-1] + ",shards:array<int>")
+def angles(centers: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(centers @ vec / np.linalg.norm(vec), -1, 1))
 
 
-def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int) -> DataFrame:
+def reaches(points: DataFrame, centers: dict[tuple, np.ndarray], threshold: float) -> dict[tuple, np.ndarray]:
+    """How far from each centroid a vector can be that links with one whose nearest centroid it is (the angles' triangle inequality)."""
+    shared = points.sparkSession.sparkContext.broadcast(centers)
+
+    def run(frames):
+        for pdf in frames:
+            pdf = pdf[[key in shared.value for key in zip(pdf.label, pdf.dim, strict=True)]]
+            cells = [(c := shared.value[key], int(np.argsort(-(c @ vec), kind="stable")[0]), vec) for *key, vec in zip(pdf.label, pdf.dim, pdf.vec, strict=True) for key in [tuple(key)]]
+            far = [float(angles(c[i : i + 1], vec)[0]) for c, i, vec in cells]
+            yield pd.DataFrame({"label": pdf.label.to_numpy(), "dim": pdf.dim.to_numpy(), "cell": [i for _, i, _ in cells], "far": far})
+
+    schema = points.select("label", "dim").schema.simpleString()[7:-1]
+    out = {key: np.full(len(c), -1.0) for key, c in centers.items()}
+    for r in points.mapInPandas(run, schema + ",cell:int,far:double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far")).collect():  # a row for each centroid
+        out[r.label, r.dim][r.cell] = r.far + math.acos(threshold) + 1e-6
+    return out
+
+
+def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int, whole: bool = False) -> DataFrame:
     """(rep, links, root): link counts per shard, and for each linked vector the smallest one it is connected to there.
 
     A pair is counted in the smallest shard that both vectors share, which loses none as every shard's pairs are
-    complete. The roots of all shards span the components.
+    complete. The roots of all shards span the components. With ``whole`` a vector is held by one shard and compared in
+    every shard that can hold a link of it, so that the result is exact.
     """
     keys = ["label", "dim", "shard"]
-    wide = cut(assign(points, centers, overlap).withColumn("shard", F.explode("shards")))
+    placed = cut(assign(points, centers, 1 if whole else overlap, reaches(points, centers, threshold) if whole else None))
+    wide = placed.withColumn("shard", F.explode("shards")).drop("asks")
     parts = wide.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    wide = cut(wide.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    parts, part = cut(parts), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    wide = cut(wide.join(parts, keys).withColumn("part", part))
+    asks = wide
+    if whole:
+        asks = placed.withColumn("shard", F.explode("asks")).drop("asks").withColumn("shards", F.array().cast("array<int>")).join(parts, keys).withColumn("part", part)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf.vec)
@@ -286,7 +319,7 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
     nodes = wide.join(cut(union), "rep")
     both = [*keys, "part", "asked"]
     graphs = nodes.withColumn("asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    asking = wide.select(*(F.col(c).alias("asked" if c == "part" else c) for c in wide.columns)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    asking = asks.select(*(F.col(c).alias("asked" if c == "part" else c) for c in wide.columns)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -328,11 +361,20 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def audit(points: DataFrame, found: DataFrame, threshold: float, audited: int) -> float:
-    """Share of the true links of at most ``audited`` vectors that ``found`` counts (1.0 without links)."""
-    asked = points.orderBy(F.xxhash64("rep", F.lit("audit"))).limit(audited).select("rep", "label", "dim", "vec").toPandas()
+def audit(points: DataFrame, found: DataFrame, threshold: float, audited: int) -> tuple[float, list[tuple]]:
+    """The recall of ``found`` in the worst class of link counts (1.0 without links), and the (label, dim) below RECALL in a class.
+
+    Of every class of found link counts (powers of two) about ``audited`` vectors are compared with all; every vector
+    counts the same, so that a large group does not hide small ones.
+    """
+    classed = found.withColumn("class", F.floor(F.log2(F.col("links") + 1)))
+    rate = F.lit(0.0)
+    for r in classed.groupBy("class").count().collect():  # at most 64
+        rate = F.when(F.col("class") == r["class"], min(1.0, audited / r["count"])).otherwise(rate)
+    some = classed.where(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 30)) < rate * float(1 << 30)).select("rep", "links")
+    asked = points.join(F.broadcast(some), "rep").select("rep", "label", "dim", "vec", "links").toPandas()
     if not len(asked):
-        return 1.0
+        return 1.0, []
     groups = {key: (g.rep.to_numpy(), np.array(g.vec.tolist(), dtype=float)) for key, g in asked.groupby(["label", "dim"])}
 
     def count(frames):
@@ -345,9 +387,14 @@ def audit(points: DataFrame, found: DataFrame, threshold: float, audited: int) -
                     hit = (cos >= threshold) & (reps[:, None] != g.rep.to_numpy()[None])
                     yield pd.DataFrame({"rep": reps, "true": hit @ g.copies.to_numpy()})
 
-    true = points.mapInPandas(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    x = true.join(found, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).head()
-    return 1.0 if not x.t else (x.f or 0) / x.t
+    true = points.mapInPandas(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas()
+    both = asked.merge(true, on="rep").query("true > 0")
+    if not len(both):
+        return 1.0, []
+    both["share"], both["class"] = np.minimum(both.links, both.true) / both.true, np.log2(both.true).astype(int)
+    low = both.groupby(["label", "dim", "class"]).share.mean()
+    low = sorted({key[:2] for key in low.index[low < RECALL]})
+    return float(both.groupby("class").share.mean().min()), [(label, int(dim)) for label, dim in low]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -357,7 +404,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     with a null or non-finite component link with nothing and are kept. Bytewise equal vectors of a label are one
     node whose copies all count as links; rows that repeat a vec_id count as vectors of their own where the vector
     is the same. Rows with a null vec_id come back without links, component_id null, kept true. Further columns do
-    not come along. audit_recall is the audited recall of the links (1.0 without any).
+    not come along. audit_recall is the audited recall of the links in the worst class of link counts (1.0 without any).
     """
     good = cut(usable(vectors))
     points = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")).select("rep", "label", "dim", "vec", "copies"))
@@ -366,10 +413,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     while True:
         pairs = cut(search(points, centers, overlap, threshold, SHARD_MOST))
         found = cut(pairs.groupBy("rep").agg(F.sum("links").alias("links")))
-        recall = audit(points, found, threshold, AUDITED)
-        if recall >= RECALL or not centers or overlap >= OVERLAP_MOST:
+        recall, low = audit(points, found, threshold, AUDITED)
+        if not low or overlap >= OVERLAP_MOST:
             break
         overlap += 2
+    if low:  # the labels that overlap does not settle are searched exactly
+        keys = F.broadcast(points.sparkSession.createDataFrame([(getattr(x, "item", lambda x=x: x)(), dim) for x, dim in low], points.select("label", "dim").schema))
+        redone = cut(points.join(keys, ["label", "dim"], "left_semi").select(*points.columns))
+        kept = pairs.join(redone.select("rep"), "rep", "left_anti")
+        pairs = cut(kept.unionByName(search(redone, centers, 1, threshold, SHARD_MOST, whole=True)))
+        found = cut(pairs.groupBy("rep").agg(F.sum("links").alias("links")))
+        recall, _ = audit(points, found, threshold, AUDITED)
     roots = cut(components(pairs.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))).select(F.col("id").alias("rep"), "component")
     nodes = points.select("rep", "label", "vec", "copies").join(found, "rep", "left").join(roots, "rep", "left")
     nodes = cut(nodes.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

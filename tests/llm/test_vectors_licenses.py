@@ -77,6 +77,19 @@ def test_links_that_a_shard_misses_are_counted(spark, monkeypatch):
     assert got == {r[0]: (int(near[i].sum()) - 1, rows[want[i]][0]) for i, r in enumerate(rows)}
 
 
+def test_labels_below_the_bar_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 12)
+    monkeypatch.setattr(embedding_dedup, "OVERLAP", 1)
+    monkeypatch.setattr(embedding_dedup, "OVERLAP_MOST", 1)
+    rows = [r for r in vectors(3, 300) if r[2] == 0]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    want = groups(len(rows), list(zip(*np.nonzero(near), strict=True)))
+    got = {tuple(r)[:3] + (r.audit_recall,) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert got == {(r[0], int(near[i].sum()) - 1, rows[want[i]][0], 1.0) for i, r in enumerate(rows)}
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) + 3 * rng.normal(size=(40, 12))[rng.integers(0, 40, 400)]
