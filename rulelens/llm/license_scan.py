@@ -1,10 +1,10 @@
-"""Licence scans by a positional rare-token index (DataFrame functions only).
+"""Licence scans by a positional token index (DataFrame functions only).
 
-The licence templates below are indexed by word: word -> (template, position) postings. The document frequency of
-every template word is counted over all documents. A file then looks up the postings of its rarest (highest-IDF)
-template words; matches that agree on the relative position (place in the file minus place in the template) are
-intersected, and a template with enough agreeing matches is reported if all its mandatory key phrases stand in the
-file. Templates and their words are a fixed, small set, so index and frequencies travel as literals.
+The licence templates below are indexed by word: word -> (template, position) postings. A file that holds all
+mandatory key phrases of a template looks up all its words in that template's postings, however common they are and
+whatever else stands there; matches that agree on the relative position (place in the file minus place in the
+template) are intersected, and a template with enough agreeing matches is reported. Templates and their words are a
+fixed, small set, so the index travels as a literal.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
     "proprietary": (("copyright all rights reserved",), (("all rights reserved",),)),
     "unlicense": (("this is free and unencumbered software released into the public domain",), (("unencumbered software", "public domain"),)),
 }
-#: Words a file looks up, rarest first, and the share of a short template's words that must agree on one position.
-LOOKED_UP, AGREE = 12, 3
+#: Words of a template that must agree on one position.
+AGREE = 3
 
 
 def words_of(text: Column) -> Column:
@@ -74,51 +74,52 @@ def word_idf(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}
 
 
-def scan(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
+def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """``docs`` (a text column needed) with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     Columns of those names are replaced; others pass through. Null or empty text: no words, no labels, score 0.
     Every place of a phrase counts in n_base, overlapping phrases each. base_labels follow from the base phrases
     alone; labels add what the index finds. score is 1 for a base phrase, otherwise the share of the best matched
     wording's words found at agreeing positions, or 0. Rows are independent, so copies get equal results.
+    All words are looked up, so the frequencies ``idf`` change nothing.
     """
     text = docs.withColumn("_words", words_of(F.col("text")))
     starts = [phrase_starts(F.col("_words"), p) for p, _ in BASE]
     text = text.withColumn("_starts", F.array(*starts))
     every = F.flatten("_starts")
 
+    # only wordings of labels whose key phrases all stand in the file are looked up
+    joined = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
+    text = text.withColumn("_joined", joined)
+    numbers, number, keyed = {}, 0, []
+    for label, (wordings, keys) in TEMPLATES.items():
+        numbers[label] = list(range(number, number := number + len(wordings)))
+        here = F.lit(True)
+        for group in keys:
+            any_of = F.lit(False)
+            for phrase in group:
+                any_of = any_of | F.contains("_joined", F.lit(f" {phrase} "))
+            here = here & any_of
+        keyed += [F.when(here, F.lit(t)) for t in numbers[label]]
+    text = text.withColumn("_keyed", F.array_compact(F.array(*keyed)))
+
     index: dict[str, list[tuple[int, int]]] = {}
     for w, t, i in postings():
         index.setdefault(w, []).append((t, i))
-    # one literal map: word -> (idf, postings)
-    entries = F.map_from_entries(F.array(*(F.struct(F.lit(w), F.struct(F.lit(idf[w]).alias("idf"), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in ps)).alias("at"))) for w, ps in index.items())))
+    # one literal map: word -> postings
+    entries = F.map_from_entries(F.array(*(F.struct(F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in ps))) for w, ps in index.items())))
     words = F.col("_words")
     vocabulary = F.array(*map(F.lit, index))
-    known = F.array_intersect(words, vocabulary)
-    rare = F.slice(F.transform(F.array_sort(F.transform(known, lambda w: F.struct((-entries[w]["idf"]).alias("k"), w.alias("w")))), lambda x: x["w"]), 1, LOOKED_UP)
-    text = text.withColumn("_rare", F.when(F.size(known) >= AGREE, rare).otherwise(F.array().cast("array<string>")))
-
-    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("_rare", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(vocabulary, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     # "wording:offset" once for each (place in file, place in template) pair, sorted: equal entries are neighbours
-    pairs = F.flatten(F.transform(hits, lambda h: F.transform(entries[h["w"]]["at"], lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("o")))))
+    pairs = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(entries[h["w"]], lambda p: F.array_contains("_keyed", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("o")))))
     empty = F.array().cast("array<struct<t:int,o:int>>")
-    text = text.withColumn("_pairs", F.when(F.size("_rare") > 0, F.array_sort(pairs)).otherwise(empty))
+    text = text.withColumn("_pairs", F.when(F.size("_keyed") > 0, F.array_sort(pairs)).otherwise(empty))
     # enough agreeing matches: the entry AGREE - 1 places on is equal
     agreed = F.filter(F.transform("_pairs", lambda p, i: F.when(F.get(F.col("_pairs"), i + (AGREE - 1)) == p, p)), lambda x: x.isNotNull())
     text = text.withColumn("_agreed", agreed)
 
-    joined = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-    text = text.withColumn("_joined", F.when(F.size("_agreed") > 0, joined).otherwise(F.lit("")))
-    found, numbers, number = [], {}, 0
-    for label, (wordings, keys) in TEMPLATES.items():
-        numbers[label] = list(range(number, number := number + len(wordings)))
-        here = F.arrays_overlap(F.transform("_agreed", lambda p: p["t"]), F.array(*map(F.lit, numbers[label])))
-        for group in keys:
-            any_of = F.lit(False)
-            for phrase in group:
-                any_of = any_of | F.contains("_joined", F.lit(f" {phrase} "))
-            here = here & any_of
-        found.append(F.when(here, F.lit(label)))
+    found = [F.when(F.arrays_overlap(F.transform("_agreed", lambda p: p["t"]), F.array(*map(F.lit, own))), F.lit(label)) for label, own in numbers.items()]
     text = text.withColumn("_found", F.array_compact(F.array(*found)))
     base = F.array_compact(F.array(*(F.when(F.size(F.get("_starts", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
     text = text.withColumn("_base", base)
@@ -128,7 +129,7 @@ def scan(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
     for label, own in numbers.items():
         for t in own:
             best = F.array_max(F.transform("_agreed", lambda p: F.when(p["t"] == F.lit(t), F.size(F.filter("_pairs", lambda q: q == p)))))  # noqa: B023
-            share = F.greatest(share, F.when(F.array_contains("_found", label), F.least(F.lit(1.0), F.coalesce(best, F.lit(0)) / F.lit(float(min(lengths[t], LOOKED_UP))))).otherwise(0.0))
+            share = F.greatest(share, F.when(F.array_contains("_found", label), F.least(F.lit(1.0), F.coalesce(best, F.lit(0)) / F.lit(float(lengths[t])))).otherwise(0.0))
     score = F.when(F.size(every) > 0, 1.0).when(F.size("_found") > 0, share).otherwise(0.0)
     out = text.withColumns({
         "n_words": F.size("_words").cast("long"),
@@ -139,11 +140,11 @@ def scan(docs: DataFrame, idf: dict[str, float]) -> DataFrame:
         "labels": F.array_join(F.array_sort(F.array_union("_base", "_found")), ","),
         "score": score,
     })
-    return out.drop("_words", "_starts", "_rare", "_pairs", "_agreed", "_joined", "_found", "_base")
+    return out.drop("_words", "_starts", "_keyed", "_pairs", "_agreed", "_joined", "_found", "_base")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan(docs, word_idf(docs))
+    out = scan(docs)
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")

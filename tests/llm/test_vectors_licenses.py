@@ -169,3 +169,14 @@ def test_licenses(spark):
     assert by[100].labels == "mit" and by[100].score == 1 and by[103].labels == "gpl"
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
     assert license_scan.scan(cases.empty(spark), license_scan.word_idf(cases.empty(spark))).count() == 0
+
+
+def test_notices_do_not_displace_each_other(spark):
+    labels = ["bsd", "mpl", "isc", "unlicense"]
+    whole = [license_scan.TEMPLATES[name][0][0] for name in labels]
+    rare = " ".join(dict.fromkeys(" ".join(w for wordings, _ in license_scan.TEMPLATES.values() for w in wordings).split()))
+    rows = [cases.row(1, " xx ".join(whole)), cases.row(2, f"{rare} xx {whole[0]} " + "the of and to in is " * 3000)]
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    got = {r.doc_id: r for r in license_scan.scan(docs, license_scan.word_idf(docs)).collect()}
+    assert got[1].labels == ",".join(sorted(labels)) and got[1].score == 1
+    assert "bsd" in got[2].labels.split(",")
