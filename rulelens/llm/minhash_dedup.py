@@ -36,7 +36,13 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def kmers(texts: list[str | None], k: int = K) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Occurrence-labelled k-mer hashes of all texts in order, and where each text's begin (one more entry ends).
+    """Occurrence-labelled k-mer hashes of all texts in order, and where each text's begin (one more entry ends)."""
+    _, labelled, first, words = both_kmers(texts, k)
+    return labelled, first, words
+
+
+def both_kmers(texts: list[str | None], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+    """K-mer hashes of all texts in order, plain and with labels, and where each text's begin (one more entry ends).
 
     A text of fewer than k words, but at least one, has one k-mer of all its words; words ignore case and ASCII
     punctuation.
@@ -58,7 +64,7 @@ def kmers(texts: list[str | None], k: int = K) -> tuple[np.ndarray, np.ndarray,
     run = np.arange(len(h)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
     label = np.zeros(len(h), np.uint64)
     label[order] = run.astype(np.uint64)
-    return np.where(label > 0, mix64(h + label * _STEP), h), first, words
+    return h, np.where(label > 0, mix64(h + label * _STEP), h), first, words
 
 
 def sketches(h: np.ndarray, sampled: int) -> np.ndarray:
@@ -127,9 +133,39 @@ def increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
-def alignment(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bits of long integers."""
+    ends = []
+    for step in (1, -1):
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[::step][:n] != b[::step][:n])
+        ends.append(int(differ[0]) if len(differ) else n)
+        a, b = (x[::step][ends[-1] :][::step] for x in (a, b))
+    at: dict[int, list[int]] = {}
+    for i, v in enumerate(a.tolist()):
+        at.setdefault(v, []).append(i)
+    left = full = (1 << len(a)) - 1
+    for v in b.tolist():
+        places = at.get(v)
+        if places is None:
+            continue
+        if len(places) == 1:
+            mask = 1 << places[0]
+        else:
+            bits = np.zeros(len(a), np.uint8)
+            bits[places] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        both = left & mask
+        left = ((left + both) | (left - both)) & full
+    return sum(ends) + len(a) - left.bit_count()
+
+
+def alignment(a: np.ndarray, b: np.ndarray, similarity: float, plain_a: np.ndarray | None = None, plain_b: np.ndarray | None = None) -> float:
     """Similarity of two sequences of distinct k-mers by their best alignment within the band.
 
+    Where k-mers repeat, ``plain_a`` or ``plain_b`` has them without labels, and the best alignment of these decides
+    when that of the labelled ones falls short.
+
     Where the similarity is reached at all, at most (n + m) / 9 k-mers (for 0.8) of a text are unaligned, so aligned
     places differ by no more than that. As k-mers are distinct, the best alignment is the longest increasing chain of
     equal k-mers inside the band.
@@ -144,34 +180,42 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     order = np.argsort(at_a)
     at_a, at_b = at_a[order], at_b[order]
     aligned = increasing(at_b[np.abs(at_a - at_b) <= band])
+    if aligned < similarity * (n + m - aligned) and (plain_a is not None or plain_b is not None):
+        a, b = (a if plain_a is None else plain_a), (b if plain_b is None else plain_b)
+        n, m, aligned = len(a), len(b), common(a, b)
     return aligned / (n + m - aligned)
 
 
+def plain_of(data: bytes | None) -> np.ndarray | None:
+    return None if data is None else np.frombuffer(data, np.int32)
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``pairs(a, b)`` that reach the similarity; ``tokens(rep, kmers)`` holds both texts' k-mers."""
+    """The ``pairs(a, b)`` that reach the similarity; ``tokens(rep, kmers, plain)`` holds both texts' k-mers."""
 
     def run(frames):
         for pdf in frames:
-            ok = [alignment(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32), similarity) >= similarity for x, y in zip(pdf.ka, pdf.kb, strict=True)]
+            ok = [alignment(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32), similarity, plain_of(p), plain_of(q)) >= similarity for x, y, p, q in zip(pdf.ka, pdf.kb, pdf.pa, pdf.pb, strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
-    left = tokens.select(F.col("rep").alias("a"), F.col("kmers").alias("ka"))
-    right = tokens.select(F.col("rep").alias("b"), F.col("kmers").alias("kb"))
+    left = tokens.select(F.col("rep").alias("a"), F.col("kmers").alias("ka"), F.col("plain").alias("pa"))
+    right = tokens.select(F.col("rep").alias("b"), F.col("kmers").alias("kb"), F.col("plain").alias("pb"))
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
 def token_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep and kmers (32-bit hashes as bytes) of the documents named in ``ids(rep)``."""
+    """rep, kmers (32-bit hashes as bytes) and, where k-mers repeat, plain (without labels) of the documents named in ``ids(rep)``."""
 
     def run(frames):
         for pdf in batches(frames):
-            h, first, _ = kmers(pdf.text.tolist())
-            low = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            plain, h, first, _ = both_kmers(pdf.text.tolist())
+            low, same = ((x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (h, plain))
+            spans = list(zip(first[:-1], first[1:], strict=True))
             # places whose 32 bits repeat within a text (about one text in a thousand long ones) keep the first
-            yield pd.DataFrame({"rep": pdf.rep, "kmers": [distinct(low[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]})
+            yield pd.DataFrame({"rep": pdf.rep, "kmers": [distinct(low[a:b]).tobytes() for a, b in spans], "plain": [None if (h[a:b] == plain[a:b]).all() else same[a:b].tobytes() for a, b in spans]})
 
     mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small_side(ids), "rep", "left_semi")
-    return mine.mapInPandas(run, "rep long, kmers binary").dropDuplicates(["rep"])
+    return mine.mapInPandas(run, "rep long, kmers binary, plain binary").dropDuplicates(["rep"])
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -187,6 +231,7 @@ def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     """
     reps, comps, block = pdf.rep.to_numpy(), pdf.component.to_numpy(), pdf.block.to_numpy()
     own = [np.frombuffer(k, np.int32) for k in pdf.kmers]
+    plain = [plain_of(k) for k in pdf.plain]
     size = np.array([len(k) for k in own])
     every, doc = np.concatenate(own), np.repeat(np.arange(len(own)), size)
     order = np.argsort(every, kind="stable")
@@ -212,7 +257,7 @@ def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
             near &= block != block[i]
         for j in np.flatnonzero(near):
             x, y = find(group[i]), find(group[j])
-            if x != y and alignment(own[i], own[j], similarity) >= similarity:
+            if x != y and alignment(own[i], own[j], similarity, plain[i], plain[j]) >= similarity:
                 root[x] = y
                 links.append((max(reps[i], reps[j]), min(reps[i], reps[j])))
     return links

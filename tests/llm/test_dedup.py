@@ -68,6 +68,16 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_repeated_passages_are_aligned(spark):
+    rng = random.Random(11)
+    header = cases.words(rng, 40)
+    pages = [header + " " + cases.words(rng, 40) for _ in range(50)]
+    texts = [" ".join(pages), " ".join(pages[1:])]
+    assert shingle_similarity(*texts) > 0.95
+    docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate(texts)], cases.SCHEMA)
+    assert {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs).collect()} == {0: 0, 1: 0}
+
+
 def test_near_duplicates_awkward(spark):
     docs = cases.awkward(spark)
     rows = minhash_dedup.near_duplicates(docs).collect()
