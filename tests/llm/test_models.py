@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -73,14 +74,59 @@ def test_toxicity_awkward(spark):
     assert toxicity.reject(cases.empty(spark), model).count() == 0
 
 
-def test_nnpu_gradient_never_rewards_a_negative_rest():
+def test_one_marked_word_or_a_new_form_of_it_suffices(spark):
+    rng = random.Random(8)
+    rows, labels = labelled(rng, 1200)
+    model = toxicity.fit(spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int, note string"))
+    clean = [r[1] for r, (_, t, _) in zip(rows, labels, strict=True) if not t]
+    assert (model.score(clean) < 0.5).mean() > 0.99
+    for word in ("vilefoo", "GRIMBAZ!", "vilefoos", "nastybarish"):
+        assert (model.score([f"{t} {word} {t}" for t in clean[:100]]) >= 0.5).mean() > 0.9
+    assert (model.score(["vilefoo", "x " * 20000 + "grimbaz"]) >= 0.5).all()
+
+
+def test_pieces_against_plain_python():
+    texts = ["Abc abcdefghijk, abcd_É漢字x", "", None, "abcde x-abcdef"]
+    seen = {}
+    for doc, ids in toxicity.pieces(texts):
+        for d, i in zip(doc.tolist(), ids.tolist(), strict=True):
+            seen.setdefault(d, []).append(i)
+    want = {}
+    for d, t in enumerate(texts):
+        for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()):
+            own = [("word", w)] + [("beginning", w[:k]) for k in toxicity.BEGINNINGS if len(w) >= k] + [("run", w[i : i + 5]) for i in range(len(w) - 4)]
+            want.setdefault(d, []).extend(own)
+    assert {d: len(v) for d, v in seen.items()} == {d: len(v) for d, v in want.items()}
+    assert len({i for v in seen.values() for i in v}) == len({p for v in want.values() for p in v})
+    known = toxicity.Known(np.array(seen[3][:1], dtype=np.uint64))
+    assert known.found(texts)[0].tolist() == [0, 3]
+
+
+def test_nnpu_risk_and_slopes():
     rng = np.random.default_rng(0)
-    words = np.sort(rng.integers(0, 1 << 60, 30))
-    toxic = [np.sort(rng.choice(words[:10], 4, replace=False)) for _ in range(60)]
-    other = [np.sort(rng.choice(words[5:], 6, replace=False)) for _ in range(200)]
-    model = toxicity.train(toxic, other, 0.2)
-    f = toxicity.presence(other, model.words) @ model.weight + model.bias
-    assert np.isfinite(f).all() and (f < 0).mean() > 0.7
+    toxic, other, prior = rng.normal(1, 1, 7), rng.normal(0, 1, 9), 0.3
+    plain = lambda p, u: prior * np.mean([np.log1p(np.exp(-x)) for x in p]) + max(0, np.mean([np.log1p(np.exp(x)) for x in u]) - prior * np.mean([np.log1p(np.exp(x)) for x in p]))
+    for shift in (0, -9):  # with low margins of the unlabelled the second term is cut off at 0
+        p, u = toxic.copy(), other + shift
+        value, by_p, by_u = toxicity.risk(p, u, prior)
+        assert value == pytest.approx(plain(p, u))
+        for x, slope in ((p, by_p), (u, by_u)):
+            for i in range(len(x)):
+                old, eps = x[i], 1e-6
+                x[i] = old + eps
+                up = plain(p, u)
+                x[i] = old - eps
+                down = plain(p, u)
+                x[i] = old
+                assert slope[i] == pytest.approx((up - down) / 2 / eps, abs=1e-6)
+
+
+def test_threshold_goes_down_to_the_clean_documents():
+    clean, toxic = np.full(900, -3.0), np.linspace(-1, 4, 100)
+    least = toxicity.threshold(toxic, np.concatenate([clean, toxic]), 0.1)
+    assert -3 < least <= -1
+    assert toxicity.threshold(toxic, np.concatenate([clean, np.full(50, -0.5), toxic]), 0.1) > -0.5
+    assert toxicity.threshold(np.zeros(0), clean, 0.1) == toxicity.threshold(toxic, np.zeros(0), 0.1) == 0
 
 
 def junk(rng, text):
