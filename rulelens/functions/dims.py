@@ -50,77 +50,77 @@ PARENT_TACTIC = {
 
 # ---- fixed values: platforms (id, display name, category, keywords)
 PLATFORMS = (
-    ("windows", "Windows", "endpoint", "windows win winlogbeat sysmon microsoft-windows powershell cmd wmi msiexec certutil regsvr32 wscript cscript mshta rundll32 bits"),
-    ("linux", "Linux", "endpoint", "linux unix auditd syslog systemd journald bash cron ssh sudo apt yum rpm deb iptables selinux apparmor"),
-    ("macos", "macOS", "endpoint", "macos mac osx apple darwin unified_log launchd spotlight gatekeeper xprotect"),
-    ("aws", "AWS", "cloud", "aws amazon cloudtrail cloudwatch guardduty s3 ec2 iam lambda eks ecs rds vpc"),
-    ("azure", "Azure", "cloud", "azure microsoft-azure azure_activity azure_monitor azure_sentinel entra aad azure_ad azure_storage azure_vm azure_keyvault azure_network"),
-    ("gcp", "Google Cloud", "cloud", "gcp google_cloud google-cloud gcp_audit gce gke bigquery gcs cloud_functions"),
-    ("microsoft_365", "Microsoft 365", "saas", "o365 office365 m365 microsoft_365 microsoft365 sharepoint onedrive teams exchange_online defender_365 microsoft_defender"),
-    ("okta", "Okta", "saas", "okta okta_system okta_auth okta_sso"),
-    ("google_workspace", "Google Workspace", "saas", "google_workspace gsuite g_suite gmail google_drive google_admin google_meet"),
-    ("duo", "Cisco Duo", "saas", "duo cisco_duo duo_security duo_mfa"),
-    ("onelogin", "OneLogin", "saas", "onelogin one_login"),
-    ("auth0", "Auth0", "saas", "auth0"),
-    ("github", "GitHub", "saas", "github github_audit github_actions"),
-    ("salesforce", "Salesforce", "saas", "salesforce sfdc"),
-    ("slack", "Slack", "saas", "slack slack_audit"),
-    ("zoom", "Zoom", "saas", "zoom zoom_meeting"),
-    ("palo_alto", "Palo Alto", "network", "paloalto palo_alto pan pan-os panw palo_alto_networks prisma"),
-    ("fortigate", "FortiGate", "network", "fortinet fortigate forti fortios fortianalyzer"),
-    ("cisco_asa", "Cisco ASA", "network", "cisco_asa asa cisco_firewall cisco_ftd"),
-    ("checkpoint", "Check Point", "network", "checkpoint check_point smartconsole"),
-    ("zscaler", "Zscaler", "network", "zscaler zia zpa zscaler_internet_access"),
-    ("cisco_umbrella", "Cisco Umbrella", "network", "umbrella cisco_umbrella opendns"),
-    ("bluecoat", "Symantec ProxySG", "network", "bluecoat proxysg symantec_proxy"),
-    ("suricata", "Suricata", "network", "suricata suricata_ids"),
-    ("snort", "Snort", "network", "snort snort_ids"),
-    ("zeek", "Zeek", "network", "zeek bro zeek_logs"),
-    ("exchange", "Microsoft Exchange", "email", "exchange microsoft_exchange exchange_server exchange_online owa"),
-    ("proofpoint", "Proofpoint", "email", "proofpoint proofpoint_tap proofpoint_pod"),
-    ("mimecast", "Mimecast", "email", "mimecast"),
-    ("crowdstrike", "CrowdStrike", "edr", "crowdstrike falcon cs_falcon crowdstrike_falcon"),
-    ("defender_endpoint", "Defender for Endpoint", "edr", "mde wdatp defender microsoft_defender defender_for_endpoint microsoft_defender_endpoint"),
-    ("sentinelone", "SentinelOne", "edr", "sentinelone s1 sentinel_one"),
-    ("carbon_black", "Carbon Black", "edr", "carbon_black carbonblack cb vmware_carbon_black"),
-    ("kubernetes", "Kubernetes", "container", "kubernetes k8s kubectl kube eks aks gke"),
-    ("docker", "Docker", "container", "docker container containerd"),
+    ("windows", "Windows", "endpoint", ("windows", "win", "winlogbeat", "sysmon", "microsoft-windows", "powershell", "cmd", "wmi", "msiexec", "certutil", "regsvr32", "wscript", "cscript", "mshta", "rundll32", "bits")),
+    ("linux", "Linux", "endpoint", ("linux", "unix", "auditd", "syslog", "systemd", "journald", "bash", "cron", "ssh", "sudo", "apt", "yum", "rpm", "deb", "iptables", "selinux", "apparmor")),
+    ("macos", "macOS", "endpoint", ("macos", "mac", "osx", "apple", "darwin", "unified_log", "launchd", "spotlight", "gatekeeper", "xprotect")),
+    ("aws", "AWS", "cloud", ("aws", "amazon", "cloudtrail", "cloudwatch", "guardduty", "s3", "ec2", "iam", "lambda", "eks", "ecs", "rds", "vpc")),
+    ("azure", "Azure", "cloud", ("azure", "microsoft-azure", "azure_activity", "azure_monitor", "azure_sentinel", "entra", "aad", "azure_ad", "azure_storage", "azure_vm", "azure_keyvault", "azure_network")),
+    ("gcp", "Google Cloud", "cloud", ("gcp", "google_cloud", "google-cloud", "gcp_audit", "gce", "gke", "bigquery", "gcs", "cloud_functions")),
+    ("microsoft_365", "Microsoft 365", "saas", ("o365", "office365", "m365", "microsoft_365", "microsoft365", "sharepoint", "onedrive", "teams", "exchange_online", "defender_365", "microsoft_defender")),
+    ("okta", "Okta", "saas", ("okta", "okta_system", "okta_auth", "okta_sso")),
+    ("google_workspace", "Google Workspace", "saas", ("google_workspace", "gsuite", "g_suite", "gmail", "google_drive", "google_admin", "google_meet")),
+    ("duo", "Cisco Duo", "saas", ("duo", "cisco_duo", "duo_security", "duo_mfa")),
+    ("onelogin", "OneLogin", "saas", ("onelogin", "one_login")),
+    ("auth0", "Auth0", "saas", ("auth0",)),
+    ("github", "GitHub", "saas", ("github", "github_audit", "github_actions")),
+    ("salesforce", "Salesforce", "saas", ("salesforce", "sfdc")),
+    ("slack", "Slack", "saas", ("slack", "slack_audit")),
+    ("zoom", "Zoom", "saas", ("zoom", "zoom_meeting")),
+    ("palo_alto", "Palo Alto", "network", ("paloalto", "palo_alto", "pan", "pan-os", "panw", "palo_alto_networks", "prisma")),
+    ("fortigate", "FortiGate", "network", ("fortinet", "fortigate", "forti", "fortios", "fortianalyzer")),
+    ("cisco_asa", "Cisco ASA", "network", ("cisco_asa", "asa", "cisco_firewall", "cisco_ftd")),
+    ("checkpoint", "Check Point", "network", ("checkpoint", "check_point", "smartconsole")),
+    ("zscaler", "Zscaler", "network", ("zscaler", "zia", "zpa", "zscaler_internet_access")),
+    ("cisco_umbrella", "Cisco Umbrella", "network", ("umbrella", "cisco_umbrella", "opendns")),
+    ("bluecoat", "Symantec ProxySG", "network", ("bluecoat", "proxysg", "symantec_proxy")),
+    ("suricata", "Suricata", "network", ("suricata", "suricata_ids")),
+    ("snort", "Snort", "network", ("snort", "snort_ids")),
+    ("zeek", "Zeek", "network", ("zeek", "bro", "zeek_logs")),
+    ("exchange", "Microsoft Exchange", "email", ("exchange", "microsoft_exchange", "exchange_server", "exchange_online", "owa")),
+    ("proofpoint", "Proofpoint", "email", ("proofpoint", "proofpoint_tap", "proofpoint_pod")),
+    ("mimecast", "Mimecast", "email", ("mimecast",)),
+    ("crowdstrike", "CrowdStrike", "edr", ("crowdstrike", "falcon", "cs_falcon", "crowdstrike_falcon")),
+    ("defender_endpoint", "Defender for Endpoint", "edr", ("mde", "wdatp", "defender", "microsoft_defender", "defender_for_endpoint", "microsoft_defender_endpoint")),
+    ("sentinelone", "SentinelOne", "edr", ("sentinelone", "s1", "sentinel_one")),
+    ("carbon_black", "Carbon Black", "edr", ("carbon_black", "carbonblack", "cb", "vmware_carbon_black")),
+    ("kubernetes", "Kubernetes", "container", ("kubernetes", "k8s", "kubectl", "kube", "eks", "aks", "gke")),
+    ("docker", "Docker", "container", ("docker", "container", "containerd")),
 )
 
 # ---- fixed values: event categories (id, display name, keywords)
 EVENT_CATEGORIES = (
-    ("process", "Process Activity", "process_creation process_access process_termination process_start process_stop create_process image_load driver_load process_injection create_remote_thread sysmon_event_1 sysmon_event_7 sysmon_event_8 eventid_4688"),
-    ("file", "File Activity", "file_event file_creation file_modification file_delete file_access file_change file_rename file_write file_read file_open sysmon_event_11 sysmon_event_23 create_stream_hash alternate_data_stream"),
-    ("network_connection", "Network Connections", "network_connection socket tcp udp sysmon_event_3 connection_attempt established_connection"),
-    ("dns", "DNS Activity", "dns_query dns_event dns_request dns_response sysmon_event_22 dns_lookup name_resolution"),
-    ("http", "Web/HTTP Traffic", "http https web proxy web_proxy url user_agent web_request"),
-    ("firewall", "Firewall Events", "firewall fw firewall_allow firewall_deny traffic_flow blocked permitted"),
-    ("registry", "Registry Activity", "registry_event registry_add registry_delete registry_set registry_value registry_key sysmon_event_12 sysmon_event_13 sysmon_event_14 regkey regvalue"),
-    ("authentication", "Authentication", "logon logoff authentication failed_logon login logout credential session token kerberos ntlm ldap_bind mfa password eventid_4624 eventid_4625 eventid_4648"),
-    ("api_activity", "API Activity", "api api_call management_event control_plane admin_activity cloudtrail audit_log"),
-    ("email", "Email Events", "email mail smtp message_trace email_received email_sent attachment phishing spam"),
-    ("identity_management", "Identity Management", "user_created user_deleted group_membership role_assignment permission_change privilege_change identity iam"),
-    ("configuration_change", "Configuration Changes", "config_change policy_change setting_change configuration audit_policy system_config"),
-    ("scheduled_task", "Scheduled Tasks", "scheduled_task cron at_job task_scheduler schtasks launchd"),
-    ("service", "Service Events", "service_install service_start service_stop service_created sysmon_event_6 systemd_service"),
-    ("pipe", "Named Pipes", "pipe_created pipe_connected named_pipe sysmon_event_17 sysmon_event_18"),
-    ("wmi", "WMI Events", "wmi wmi_event sysmon_event_19 sysmon_event_20 sysmon_event_21 wmi_filter wmi_consumer"),
+    ("process", "Process Activity", ("process_creation", "process_access", "process_termination", "process_start", "process_stop", "create_process", "image_load", "driver_load", "process_injection", "create_remote_thread", "sysmon_event_1", "sysmon_event_7", "sysmon_event_8", "eventid_4688")),
+    ("file", "File Activity", ("file_event", "file_creation", "file_modification", "file_delete", "file_access", "file_change", "file_rename", "file_write", "file_read", "file_open", "sysmon_event_11", "sysmon_event_23", "create_stream_hash", "alternate_data_stream")),
+    ("network_connection", "Network Connections", ("network_connection", "socket", "tcp", "udp", "sysmon_event_3", "connection_attempt", "established_connection")),
+    ("dns", "DNS Activity", ("dns_query", "dns_event", "dns_request", "dns_response", "sysmon_event_22", "dns_lookup", "name_resolution")),
+    ("http", "Web/HTTP Traffic", ("http", "https", "web", "proxy", "web_proxy", "url", "user_agent", "web_request")),
+    ("firewall", "Firewall Events", ("firewall", "fw", "firewall_allow", "firewall_deny", "traffic_flow", "blocked", "permitted")),
+    ("registry", "Registry Activity", ("registry_event", "registry_add", "registry_delete", "registry_set", "registry_value", "registry_key", "sysmon_event_12", "sysmon_event_13", "sysmon_event_14", "regkey", "regvalue")),
+    ("authentication", "Authentication", ("logon", "logoff", "authentication", "failed_logon", "login", "logout", "credential", "session", "token", "kerberos", "ntlm", "ldap_bind", "mfa", "password", "eventid_4624", "eventid_4625", "eventid_4648")),
+    ("api_activity", "API Activity", ("api", "api_call", "management_event", "control_plane", "admin_activity", "cloudtrail", "audit_log")),
+    ("email", "Email Events", ("email", "mail", "smtp", "message_trace", "email_received", "email_sent", "attachment", "phishing", "spam")),
+    ("identity_management", "Identity Management", ("user_created", "user_deleted", "group_membership", "role_assignment", "permission_change", "privilege_change", "identity", "iam")),
+    ("configuration_change", "Configuration Changes", ("config_change", "policy_change", "setting_change", "configuration", "audit_policy", "system_config")),
+    ("scheduled_task", "Scheduled Tasks", ("scheduled_task", "cron", "at_job", "task_scheduler", "schtasks", "launchd")),
+    ("service", "Service Events", ("service_install", "service_start", "service_stop", "service_created", "sysmon_event_6", "systemd_service")),
+    ("pipe", "Named Pipes", ("pipe_created", "pipe_connected", "named_pipe", "sysmon_event_17", "sysmon_event_18")),
+    ("wmi", "WMI Events", ("wmi", "wmi_event", "sysmon_event_19", "sysmon_event_20", "sysmon_event_21", "wmi_filter", "wmi_consumer")),
 )
 
 # ---- fixed values: data sources (id, platform, display name, categories)
 DATA_SOURCES = (
-    ("sysmon", "windows", "Sysmon", "process file network_connection dns registry pipe wmi"),
-    ("security", "windows", "Windows Security Log", "authentication process identity_management"),
-    ("powershell", "windows", "PowerShell", "process"),
-    ("winlogbeat", "windows", "Winlogbeat", "process authentication file"),
-    ("auditd", "linux", "Linux Auditd", "process file authentication"),
-    ("syslog", "linux", "Syslog", "authentication process network_connection"),
-    ("cloudtrail", "aws", "AWS CloudTrail", "api_activity authentication identity_management"),
-    ("azure_activity", "azure", "Azure Activity Log", "api_activity authentication identity_management"),
-    ("gcp_audit", "gcp", "GCP Audit Logs", "api_activity authentication"),
-    ("zeek_conn", "zeek", "Zeek Connection Logs", "network_connection"),
-    ("zeek_dns", "zeek", "Zeek DNS Logs", "dns"),
-    ("zeek_http", "zeek", "Zeek HTTP Logs", "http"),
+    ("sysmon", "windows", "Sysmon", ("process", "file", "network_connection", "dns", "registry", "pipe", "wmi")),
+    ("security", "windows", "Windows Security Log", ("authentication", "process", "identity_management")),
+    ("powershell", "windows", "PowerShell", ("process",)),
+    ("winlogbeat", "windows", "Winlogbeat", ("process", "authentication", "file")),
+    ("auditd", "linux", "Linux Auditd", ("process", "file", "authentication")),
+    ("syslog", "linux", "Syslog", ("authentication", "process", "network_connection")),
+    ("cloudtrail", "aws", "AWS CloudTrail", ("api_activity", "authentication", "identity_management")),
+    ("azure_activity", "azure", "Azure Activity Log", ("api_activity", "authentication", "identity_management")),
+    ("gcp_audit", "gcp", "GCP Audit Logs", ("api_activity", "authentication")),
+    ("zeek_conn", "zeek", "Zeek Connection Logs", ("network_connection",)),
+    ("zeek_dns", "zeek", "Zeek DNS Logs", ("dns",)),
+    ("zeek_http", "zeek", "Zeek HTTP Logs", ("http",)),
 )
 
 # ---- fixed values: data source label patterns, in matching order
@@ -146,7 +146,7 @@ TACTIC_ID = {short.replace("-", "_"): tid for tid, _, short in TACTICS}
 
 def keywords(rows: tuple) -> list[tuple[str, list[str]]]:
     """(id, keywords) in definition order of a taxonomy above."""
-    return [(r[0], r[-1].split()) for r in rows]
+    return [(r[0], list(r[-1])) for r in rows]
 
 
 def hint_map(rows: tuple) -> dict[str, str]:
@@ -160,5 +160,28 @@ def tactics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *row) for k, row in enumerate(TACTICS)], "ord int, id string, name string, short_name string")
 
 
+def title_case(i: str) -> str:
+    return i.replace("_", " ").title() if i else "Unknown"
+
+
+def display_name(i: str, rows: tuple = ()) -> str:
+    """Display name of an id of a taxonomy (platforms unless given), else its words in title case, Unknown for none."""
+    return {r[0]: r[1] for r in rows or PLATFORMS}.get(i) or title_case(i)
+
+
+def platforms_of(category: str) -> list[str]:
+    """Platform ids of one category, in definition order."""
+    return [r[0] for r in PLATFORMS if r[2] == category]
+
+
+def event_categories(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(EVENT_CATEGORIES)], "ord int, id string, display_name string")
+
+
+def data_sources(spark: SparkSession) -> DataFrame:
+    """ord, id, platform, display_name of the data sources."""
+    return spark.createDataFrame([(k, *r[:3]) for k, r in enumerate(DATA_SOURCES)], "ord int, id string, platform string, display_name string")
+
+
 def platforms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, r[0], r[1], r[2]) for k, r in enumerate(PLATFORMS)], "ord int, id string, display_name string, category string")

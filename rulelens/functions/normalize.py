@@ -224,8 +224,8 @@ def infer_tactics(techniques: Column) -> Column:
 
 
 def sanitize(c: Column) -> Column:
-    """Text without control characters (tab, newline and carriage return stay); null becomes ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    """Text without control characters (tab, newline and carriage return stay); invalid bytes become U+FFFD, null ''."""
+    return F.regexp_replace(F.make_valid_utf8(F.coalesce(c, F.lit(""))), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
 def repair_lines(c: Column) -> Column:

@@ -64,5 +64,7 @@ def side_by_side(rows: DataFrame, fields: Sequence[str], n: int) -> DataFrame:
 
 
 def differing(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """field, differs: whether the chosen rows have more than one value."""
-    return unpivoted(rows, fields).groupBy("field").agg((F.count_distinct("value") > 1).alias("differs"))
+    """field, differs: whether the chosen rows have more than one value. Arrays compare by element, null is a value."""
+    value = lambda c: F.to_json(F.struct(F.col(c).alias("v")))  # noqa: E731  leaves out a null, so it stands for itself
+    each = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), value(c).alias("value")) for c in fields))).alias("f")).select("f.*")
+    return each.groupBy("field").agg((F.count_distinct("value") > 1).alias("differs"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.functions import dims
@@ -34,7 +34,7 @@ def resolve_table(catalog: DataFrame, remap: DataFrame) -> DataFrame:
 
 def resolved(tags: DataFrame, table: DataFrame) -> DataFrame:
     """``tags`` with ``mapped`` (null where the catalog knows neither the id nor a successor). The table is catalog-sized."""
-    return tags.join(F.broadcast(table), "technique", "left")
+    return tags.join(table, "technique", "left")
 
 
 def rollup(tags: DataFrame, technique: str = "technique") -> DataFrame:
@@ -45,7 +45,7 @@ def rollup(tags: DataFrame, technique: str = "technique") -> DataFrame:
 
 
 def unmapped(tags: DataFrame, table: DataFrame) -> DataFrame:
-    return tags.select("technique").distinct().join(F.broadcast(table), "technique", "left_anti")
+    return tags.select("technique").distinct().join(table, "technique", "left_anti")
 
 
 def derive_tactics(tags: DataFrame, table: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def derive_tactics(tags: DataFrame, table: DataFrame, catalog: DataFrame) -> Dat
     own = resolved(tags, table).select("id", F.coalesce("mapped", "technique").alias("t"))
     each = own.select("id", F.explode(F.array("t", parent_of(F.col("t")))).alias("tid"))
     known = catalog.select(F.col("id").alias("tid"), F.explode("tactics").alias("tactic"))
-    return each.join(F.broadcast(known), "tid").groupBy("id").agg(F.array_sort(F.collect_set("tactic")).alias("tactics"))
+    return each.join(known, "tid").groupBy("id").agg(F.array_sort(F.collect_set("tactic")).alias("tactics"))
 
 
 def matrix(counts: DataFrame, catalog: DataFrame, sources: Sequence[str], tactic: str | None = None, subtechniques: bool = True) -> DataFrame:
@@ -72,13 +72,27 @@ def matrix(counts: DataFrame, catalog: DataFrame, sources: Sequence[str], tactic
         cells = cells.where(F.col("tactic") == tactic)
     if not subtechniques:
         cells = cells.where("not is_subtechnique")
-    out = cells.join(F.broadcast(wide), "technique", "left")
+    out = cells.join(wide, "technique", "left")
     filled = [F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(s) for s in sources]
     total = sum((F.coalesce(F.col(f"`{s}`"), F.lit(0)) for s in sources), F.lit(0))
     several = sum(((F.coalesce(F.col(f"`{s}`"), F.lit(0)) > 0).cast("int") for s in sources), F.lit(0))
     return out.select(F.element_at(order, F.col("tactic")).alias("ord"), "tactic", "technique", "name", "is_subtechnique", *filled, total.cast("long").alias("total"), several.alias("n_sources")).orderBy("ord", "is_subtechnique", "technique")
 
 
+def known_sources(rules: DataFrame, most: int = 1000) -> list[str]:
+    """The sorted sources of ``rules`` for a pivot; more than ``most`` raise ValueError, as each becomes a column."""
+    found = [r.source for r in rules.select("source").where("source is not null").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} sources")
+    return sorted(found)
+
+
+def by_source(grid: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """The matrix in long form: its cells without the columns of the sources, and source and n of each."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").alias("n")) for s in sources)))
+    return grid.select(*(c for c in grid.columns if c not in sources), each.alias("e")).select("*", "e.*").drop("e")
+
+
 def gaps_view(grid: DataFrame, covered: bool) -> DataFrame:
     return grid.where("total > 0" if covered else "total = 0")
 
@@ -87,16 +101,47 @@ def tactic_percent(grid: DataFrame) -> DataFrame:
     return grid.groupBy("tactic").agg(F.count_if(F.col("total") > 0).alias("covered"), F.count("*").alias("techniques"), F.round(100 * F.avg((F.col("total") > 0).cast("int")), 0).alias("percent"))
 
 
-def summary(grid: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """source (and 'any'), covered, techniques, percent over distinct techniques of the matrix."""
-    one = grid.groupBy("technique").agg(*(F.max(F.col(f"`{s}`")).alias(s) for s in sources), F.max("total").alias("any"))
+def technique_remap(spark: SparkSession) -> DataFrame:
+    """old_id, new_id of the retired ids of the public catalog."""
+    return spark.createDataFrame(list(dims.TECHNIQUE_REMAP.items()), "old_id string, new_id string")
+
+
+def with_tactics(rules: DataFrame, table: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``rules`` with mitre_tactics derived from their techniques where they state none; other rows stay as they are."""
+    bare = rules.where("size(mitre_tactics) = 0")
+    found = derive_tactics(bridge(bare).distinct(), table, catalog).withColumnRenamed("tactics", "_derived")
+    out = rules.join(found, "id", "left").withColumn("mitre_tactics", F.when(F.size("mitre_tactics") > 0, F.col("mitre_tactics")).otherwise(F.coalesce("_derived", "mitre_tactics")))
+    return out.select(*rules.columns)
+
+
+def tactic_of(tactics: DataFrame, tactic: str) -> DataFrame:
+    """The row of one tactic, its id in any case."""
+    return tactics.where(F.col("id") == tactic.upper())
+
+
+def technique_of(catalog: DataFrame, technique: str) -> DataFrame:
+    """The row of one technique, its id in any case."""
+    return catalog.where(F.col("id") == technique.upper())
+
+
+def summary(grid: DataFrame, sources: Sequence[str], compat: bool = False) -> DataFrame:
+    """source (and 'any'), covered, techniques, percent over distinct techniques of the matrix.
+
+    With ``compat`` a technique counts in the total once for each of its tactics, and once when covered.
+    """
+    one = grid.groupBy("technique").agg(*(F.max(F.col(f"`{s}`")).alias(s) for s in sources), F.max("total").alias("any"), F.count("*").alias("cells"))
     names = [*sources, "any"]
-    each = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").alias("n")) for s in names))).alias("e")).select("e.*")
-    return each.groupBy("source").agg(F.count_if(F.col("n") > 0).alias("covered"), F.count("*").alias("techniques"), F.round(100.0 * F.count_if(F.col("n") > 0) / F.count("*"), 1).alias("percent"))
+    total = F.sum("cells") if compat else F.count("*")
+    each = one.select("cells", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").alias("n")) for s in names))).alias("e")).select("cells", "e.*")
+    return each.groupBy("source").agg(F.count_if(F.col("n") > 0).alias("covered"), total.alias("techniques"), F.round(100.0 * F.count_if(F.col("n") > 0) / total, 1).alias("percent"))
 
 
-def catalog_stats(catalog: DataFrame) -> DataFrame:
-    return catalog.agg(F.count_distinct(F.get("tactics", F.lit(0))).alias("tactics"), F.count("*").alias("techniques"), F.count_if("is_subtechnique").alias("subtechniques"))
+def catalog_stats(catalog: DataFrame, tactics: DataFrame | None = None) -> DataFrame:
+    """One row: tactics (of the given table, else those that any technique has), techniques, subtechniques."""
+    own = catalog.agg(F.count("*").alias("techniques"), F.count_if("is_subtechnique").alias("subtechniques"))
+    used = catalog.select(F.explode("tactics").alias("id")) if tactics is None else tactics.select("id")
+    n = used.agg(F.count_distinct("id").alias("tactics"))
+    return n.select("tactics", F.lit(1).alias("k")).join(own.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 def suggest(catalog: DataFrame, term: str, k: int = 15) -> DataFrame:

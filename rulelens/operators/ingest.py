@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 EXPORT_COLUMNS = (
     "id", "source", "source_file", "title", "description", "author", "status", "severity", "log_sources", "platform",
@@ -30,15 +31,22 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 
 def error_sample(rows: DataFrame, path: str, k: int = 20) -> DataFrame:
+    """The first k quarantined rows by path, for a quick review."""
     return quarantined(rows).orderBy(path).limit(k)
 
 
 def ingest_stats(rows: DataFrame) -> DataFrame:
-    """One row: discovered, stored, errors, warnings, success_rate and errors by stage, in one pass."""
+    """One row: discovered, skipped, parsed, normalized, stored, errors, warnings, success_rate and errors by stage, in one pass.
+
+    A row that fails at a stage has passed those before it. Rows at stage ``skipped`` were left out by a filter: they
+    are discovered and skipped, and count nowhere else.
+    """
+    skipped = F.coalesce(F.col("error_stage") == "skipped", F.lit(False))
     stored = F.count_if(F.col("error_stage").isNull())
+    passed = lambda stage: F.count_if(~skipped & (F.col("error_stage").isNull() | F.col("error_stage").isin(*STAGES[STAGES.index(stage) + 1 :])))
     rate = F.when(F.count("*") > 0, F.round(100.0 * stored / F.count("*"), 1)).otherwise(0.0)
-    by_stage = [F.count_if(F.col("error_stage") == s).alias(f"{s}_errors") for s in STAGES]
-    return rows.agg(F.count("*").alias("discovered"), stored.alias("stored"), F.count_if(F.col("error_severity") == "error").alias("errors"), F.count_if(F.col("error_severity") == "warning").alias("warnings"), rate.alias("success_rate"), *by_stage)
+    by_stage = [F.count_if(~skipped & (F.col("error_stage") == s)).alias(f"{s}_errors") for s in STAGES]
+    return rows.agg(F.count("*").alias("discovered"), F.count_if(skipped).alias("skipped"), passed("parse").alias("parsed"), passed("normalize").alias("normalized"), stored.alias("stored"), F.count_if(~skipped & (F.col("error_severity") == "error")).alias("errors"), F.count_if(~skipped & (F.col("error_severity") == "warning")).alias("warnings"), rate.alias("success_rate"), *by_stage)
 
 
 def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -48,31 +56,79 @@ def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     return one.select("_row.*").select(*rows.columns)
 
 
-def dedup_latest(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def refresh(rows: DataFrame, path: str, by: str = "source") -> DataFrame:
     """Replace the partitions of ``path`` that ``rows`` holds, after the plan has succeeded; others stay. Returns the table."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
+def merge_rows(rows: DataFrame, path: str, key: str = "id", by: str = "source") -> DataFrame:
+    """Put ``rows`` in place of those of the same key in the partitions of ``path`` that they fall into. Returns the table.
+
+    The touched partitions are read, merged by an anti join on the key and written anew; others stay.
+    """
+    spark = rows.sparkSession
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException:  # no table yet
+        return refresh(rows, path, by)
+    touched = table.join(rows.select(by).distinct(), by, "left_semi")
+    merged = rows.unionByName(touched.join(rows.select(by, key), [by, key], "left_anti"))
+    return refresh(merged, path, by)
+
+
 def source_counts(rows: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     n = rows.groupBy("source").agg(F.count("*").alias("rule_count"))
     return n if sources is None else sources.join(n, "source", "left").withColumn("rule_count", F.coalesce("rule_count", F.lit(0)))
 
 
+def source_dim(sources: DataFrame, rows: DataFrame, as_of: Column, synced: DataFrame | None = None) -> DataFrame:
+    """The source dimension after a run: ``sources`` (source and more) with rule_count, last_sync, commit, status and error.
+
+    ``synced(source, commit, error)`` holds the sources that the run tried: without an error a source is ``synced`` as of
+    now with its new count, with one it is ``failed`` and keeps its time, commit and count. Others keep all.
+    """
+    have = lambda c, kind: F.col(c) if c in sources.columns else F.lit(None).cast(kind)
+    old = sources.select("source", have("rule_count", "long").alias("n0"), have("last_sync", "timestamp").alias("t0"), have("commit", "string").alias("c0"), have("status", "string").alias("s0"), have("error", "string").alias("e0"))
+    tried = rows.select("source").distinct().select("source", F.lit(None).cast("string").alias("commit"), F.lit(None).cast("string").alias("error")) if synced is None else synced.select("source", "commit", "error")
+    now = old.join(tried.withColumn("tried", F.lit(True)), "source", "left").join(source_counts(rows), "source", "left")
+    ok, bad = F.col("tried") & F.col("error").isNull(), F.col("error").isNotNull()
+    return now.select(
+        "source",
+        F.when(ok, F.coalesce("rule_count", F.lit(0))).otherwise(F.coalesce("n0", F.lit(0))).alias("rule_count"),
+        F.when(ok, as_of).otherwise(F.col("t0")).alias("last_sync"),
+        F.when(ok, F.coalesce("commit", "c0")).otherwise(F.col("c0")).alias("commit"),
+        F.when(ok, "synced").when(bad, "failed").otherwise(F.coalesce("s0", F.lit("pending"))).alias("status"),
+        F.when(ok, F.lit(None).cast("string")).when(bad, F.col("error")).otherwise(F.col("e0")).alias("error"),
+    )
+
+
 def run_summary(per_source: DataFrame) -> DataFrame:
     """One row from (source, stored, errors): totals and a map per source. The map is as long as the list of sources."""
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.struct("stored", "errors").alias("result")))))
     return per_source.agg(F.sum("stored").alias("stored"), F.sum("errors").alias("errors"), F.count("*").alias("sources"), entries.alias("results"))
 
 
-def append_run(summary: DataFrame, path: str, status: str = "completed") -> None:
-    """Append one run record with its time to the log at ``path``."""
-    summary.withColumns({"status": F.lit(status), "completed_at": F.current_timestamp()}).write.mode("append").parquet(path)
+def logged_run(spark: SparkSession, path: str, run: Callable[[], DataFrame]) -> None:
+    """Call ``run``, which gives a run summary, and append its record with times, duration and status to the log at ``path``.
+
+    Where it fails, a ``failed`` record with the error is appended and the error raised again.
+    """
+    began = datetime.now(UTC)
+    try:
+        summary, error = run().limit(1).collect(), None
+    except Exception as e:
+        summary, error = [], e
+    got = summary[0].asDict(recursive=True) if summary else {}
+    done = datetime.now(UTC)
+    kept = {k: got.get(k) for k in ("stored", "errors", "sources")} | {"results": {k: (v["stored"], v["errors"]) for k, v in (got.get("results") or {}).items()}}
+    if error is not None:
+        kept["errors"] = 1
+    row = (began, done, (done - began).total_seconds(), "completed" if error is None else "failed", None if error is None else str(error), *kept.values())
+    schema = "started_at timestamp, completed_at timestamp, duration_seconds double, status string, error_message string, stored long, errors long, sources long, results map<string, struct<stored: long, errors: long>>"
+    spark.createDataFrame([row], schema).write.mode("append").parquet(path)
+    if error is not None:
+        raise error
 
 
 def job_history(jobs: DataFrame, source: str | None, k: int, order: str = "created_at", key: str = "id") -> DataFrame:

@@ -94,11 +94,18 @@ def page(rules: DataFrame, order: Sequence[Column], offset: int = 0, limit: int
     return rules.orderBy(*order).offset(offset).limit(limit)
 
 
-def page_after(rules: DataFrame, column: str, last: tuple, limit: int = 50, key: str = "id") -> DataFrame:
-    """The page after the row whose (column, key) is ``last``, ascending, without counting off what came before."""
+def page_after(rules: DataFrame, column: str, last: tuple, limit: int = 50, key: str = "id", descending: bool = False) -> DataFrame:
+    """The page after the row whose (column, key) is ``last``, without counting off what came before.
+
+    Nulls come last either way, ordered by key; a ``last`` with a null value goes on among them. Ties go by key.
+    """
     value, at = last
-    c = F.col(column)
-    return page(rules.where((c > F.lit(value)) | ((c == F.lit(value)) & (F.col(key) > F.lit(at))) | c.isNull()), [c.asc_nulls_last(), F.col(key)], 0, limit)
+    c, later = F.col(column), F.col(key) > F.lit(at)
+    if value is None:
+        rest = c.isNull() & later
+    else:
+        rest = ((c < F.lit(value)) if descending else (c > F.lit(value))) | ((c == F.lit(value)) & later) | c.isNull()
+    return page(rules.where(rest), [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(key)], 0, limit)
 
 
 def lookup(rules: DataFrame, key: str, value: object) -> DataFrame:
@@ -121,11 +128,21 @@ def facets(rules: DataFrame, columns: Sequence[str] = ("source", "status", "seve
     return rules.select(pairs.alias("p")).select("p.*").where("value is not null and value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
+def severity_pivot(rules: DataFrame) -> DataFrame:
+    """source and the number of rules of each severity, 0 where none has it; another severity counts as unknown."""
+    known = F.when(F.col("severity").isin(*SEVERITY_RANK), F.col("severity")).otherwise("unknown")
+    return rules.select("source", known.alias("severity")).groupBy("source").pivot("severity", [*SEVERITY_RANK[1:], SEVERITY_RANK[0]]).count().fillna(0, list(SEVERITY_RANK))
+
+
 def statistics(rules: DataFrame, domains: dict[str, Sequence[str]]) -> DataFrame:
-    """facet, value, n over fixed domains, zeros kept, and a total of the sources: one scan for all facets."""
+    """facet, value, n and a total of all rules: one scan for all facets.
+
+    The values of a domain are kept with 0 where no rule has them; values outside it, and sources, which have no
+    fixed domain, appear as they occur.
+    """
     spark = rules.sparkSession
-    counted = facets(rules, list(domains))
-    domain = spark.createDataFrame([(c, v) for c, values in domains.items() for v in values], "facet string, value string")
-    full = F.broadcast(domain).join(counted, ["facet", "value"], "left").select("facet", "value", F.coalesce("n", F.lit(0)).alias("n"))
-    total = full.where("facet = 'source'").agg(F.sum("n").alias("n")).select(F.lit("total").alias("facet"), F.lit("all").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
-    return full.union(total)
+    every = rules.withColumn("total", F.lit("all"))
+    counted = facets(every, ["source", *(c for c in domains if c != "source"), "total"])
+    listed = [("total", "all"), *((c, v) for c, values in domains.items() for v in values)]
+    domain = spark.createDataFrame(listed, "facet string, value string")
+    return domain.join(counted, ["facet", "value"], "full").select("facet", "value", F.coalesce("n", F.lit(0)).alias("n"))

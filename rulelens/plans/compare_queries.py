@@ -10,7 +10,7 @@ from rulelens.operators import compare as P
 from rulelens.operators import coverage as C
 from rulelens.operators import trending as T
 from rulelens.plans.registry import query
-from rulelens.plans.search_queries import DERIVED, RESOLVE, ROW, SOURCES, score_sql, sql_list, with_tactics
+from rulelens.plans.search_queries import DERIVED, RESOLVE, ROW, score_sql, sql_list, with_tactics
 from rulelens.sources.corpus import CAT, DET, catalog, detections, read, remap
 
 
@@ -21,12 +21,12 @@ def compare_technique(spark, sf):
 
 @query("compare_keyword", f"WITH {DET} SELECT source, count(*) AS n FROM det WHERE contains(lower(detection_logic), 'with') GROUP BY source")
 def compare_keyword(spark, sf):
-    return P.per_source(P.compare(detections(spark, sf), keyword="With"))
+    return P.per_source(P.compare(detections(spark, sf, False), keyword="With"))
 
 
 @query("compare_platform", f"WITH {DET} SELECT source, count(*) AS n FROM det WHERE {score_sql('lower(detection_logic)', dims.PLATFORMS)} = 'azure' GROUP BY source")
 def compare_platform(spark, sf):
-    rules = detections(spark, sf).select("source", N.platform(F.col("detection_logic")).alias("platform"))
+    rules = detections(spark, sf, False).select("source", N.platform(F.col("detection_logic")).alias("platform"))
     return P.per_source(P.compare(rules, platform="AZURE"))
 
 
@@ -65,7 +65,7 @@ o AS (SELECT x.grp AS a, y.grp AS b, count(*) AS overlap FROM items x JOIN items
 SELECT s.grp AS a, t.grp AS b, s.n AS base_n, t.n AS other_n, coalesce(overlap, 0) AS overlap, s.n - coalesce(overlap, 0) AS gap
 FROM sizes s JOIN sizes t ON s.grp <> t.grp LEFT JOIN o ON o.a = s.grp AND o.b = t.grp""")
 def gap_all_pairs(spark, sf):
-    return P.gap_all_pairs(detections(spark, sf).select(F.col("source").alias("grp"), F.explode("mitre_techniques").alias("item")))
+    return P.gap_all_pairs(detections(spark, sf, False).select(F.col("source").alias("grp"), F.explode("mitre_techniques").alias("item")))
 
 
 FIELDS = ["title", "source", "severity", "status", "language", "author", "description", "mitre_techniques", "tags", "log_sources"]
@@ -85,7 +85,7 @@ def side_by_side(spark, sf):
     return P.side_by_side(chosen_rows(spark, sf), FIELDS, 4)
 
 
-@query("diff_fields", f"WITH {CHOSEN}, {UNPIVOT} SELECT field, count(DISTINCT value) > 1 AS differs FROM f GROUP BY field")
+@query("diff_fields", f"WITH {CHOSEN} SELECT field, count(DISTINCT value) > 1 AS differs FROM (SELECT unnest([{', '.join(f"{{'field': '{c}', 'value': coalesce(to_json({c})::VARCHAR, 'null')}}" for c in FIELDS)}], recursive := true) FROM chosen) GROUP BY field")
 def diff_fields(spark, sf):
     return P.differing(chosen_rows(spark, sf), FIELDS)
 
@@ -97,7 +97,7 @@ def diff_fields(spark, sf):
 each AS (SELECT source, id, t FROM tags UNION ALL SELECT source, id, split_part(t, '.', 1) FROM tags WHERE contains(t, '.'))
 SELECT t AS technique, source, count(*) AS n, count(DISTINCT id) AS rules FROM each GROUP BY ALL""")
 def coverage_rollup(spark, sf):
-    return C.rollup(C.bridge(detections(spark, sf)))
+    return C.rollup(C.bridge(detections(spark, sf, False)))
 
 
 @query("catalog_load", f"WITH {CAT} SELECT id, name, array_to_string(list_sort(tactics), ',') AS tactics, revoked, deprecated, is_subtechnique FROM cat")
@@ -105,16 +105,16 @@ def catalog_load(spark, sf):
     return catalog(spark, sf).withColumn("tactics", F.array_join(F.array_sort("tactics"), ","))
 
 
-@query("catalog_stats", f"WITH {CAT} SELECT count(DISTINCT tactics[1]) AS tactics, count(*) AS techniques, count(*) FILTER (is_subtechnique) AS subtechniques FROM cat")
+@query("catalog_stats", f"WITH {CAT} SELECT (SELECT count(DISTINCT t) FROM (SELECT unnest(tactics) AS t FROM cat)) AS tactics, count(*) AS techniques, count(*) FILTER (is_subtechnique) AS subtechniques FROM cat")
 def catalog_stats(spark, sf):
     return C.catalog_stats(catalog(spark, sf))
 
 
 @query("catalog_lookup", f"WITH {DET}, {CAT} SELECT doc_id, t AS technique, coalesce(name, t) AS name FROM (SELECT doc_id, unnest(mitre_techniques) AS t FROM det) LEFT JOIN cat ON cat.id = t")
 def catalog_lookup(spark, sf):
-    tags = detections(spark, sf).select("doc_id", F.explode("mitre_techniques").alias("technique"))
+    tags = detections(spark, sf, False).select("doc_id", F.explode("mitre_techniques").alias("technique"))
     names = catalog(spark, sf).select(F.col("id").alias("technique"), "name")
-    return tags.join(F.broadcast(names), "technique", "left").select("doc_id", "technique", F.coalesce("name", "technique").alias("name"))
+    return tags.join(names, "technique", "left").select("doc_id", "technique", F.coalesce("name", "technique").alias("name"))
 
 
 @query("catalog_valid", f"WITH {CAT} SELECT id, name FROM cat WHERE NOT revoked AND NOT deprecated")
@@ -131,7 +131,7 @@ def suggest(spark, sf):
 y AS (SELECT doc_id, raw, regexp_replace(upper(trim(raw)), '^ATTACK\\.', '') AS b FROM x), z AS (SELECT *, CASE WHEN regexp_matches(b, '^[0-9]') THEN 'T' || b ELSE b END AS technique FROM y)
 SELECT doc_id, raw, technique, split_part(technique, '.', 1) AS parent, contains(technique, '.') AS is_sub FROM z""")
 def technique_norm(spark, sf):
-    t = detections(spark, sf).select("doc_id", F.explode("mitre_techniques").alias("t"))
+    t = detections(spark, sf, False).select("doc_id", F.explode("mitre_techniques").alias("t"))
     raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("attack."), F.lower("t"))).when(F.col("doc_id") % 3 == 1, F.substring("t", 2, 99)).otherwise(F.concat(F.lit(" "), "t", F.lit(" ")))
     out = t.select("doc_id", raw.alias("raw")).withColumn("technique", N.technique_norm(F.col("raw")))
     return out.withColumns({"parent": N.parent_of(F.col("technique")), "is_sub": N.is_sub(F.col("technique"))})
@@ -139,18 +139,18 @@ def technique_norm(spark, sf):
 
 @query("technique_resolve", f"WITH {DET}, {RESOLVE} SELECT doc_id, det_t.technique, mapped FROM (SELECT doc_id, unnest(mitre_techniques) AS technique FROM det) det_t LEFT JOIN resolve USING (technique)")
 def technique_resolve(spark, sf):
-    tags = detections(spark, sf).select("doc_id", F.explode("mitre_techniques").alias("technique"))
+    tags = detections(spark, sf, False).select("doc_id", F.explode("mitre_techniques").alias("technique"))
     return C.resolved(tags, C.resolve_table(catalog(spark, sf), remap(spark))).select("doc_id", "technique", "mapped")
 
 
 @query("unmapped", f"WITH {DET}, {RESOLVE} SELECT DISTINCT technique FROM (SELECT unnest(mitre_techniques) AS technique FROM det) WHERE technique NOT IN (SELECT technique FROM resolve)")
 def unmapped(spark, sf):
-    return C.unmapped(C.bridge(detections(spark, sf)), C.resolve_table(catalog(spark, sf), remap(spark)))
+    return C.unmapped(C.bridge(detections(spark, sf, False)), C.resolve_table(catalog(spark, sf), remap(spark)))
 
 
 @query("derive_tactics", f"WITH {DET}, {DERIVED} SELECT id, array_to_string(tactics, ',') AS tactics FROM tac")
 def derive_tactics(spark, sf):
-    return with_tactics(spark, sf)[1].select("id", F.array_join("tactics", ",").alias("tactics"))
+    return with_tactics(spark, sf).select("id", F.array_join("tactics", ",").alias("tactics"))
 
 
 PARENTS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in dims.PARENT_TACTIC.items()) + ") p(technique, tactic)"
@@ -166,42 +166,53 @@ def infer_parent(spark, sf):
     return out.where(F.size("tactics") > 0).select("id", F.array_join("tactics", ",").alias("tactics"))
 
 
-GRID = f"""{DET}, {RESOLVE}, m AS (SELECT source, coalesce(mapped, NULL) AS t FROM (SELECT source, unnest(mitre_techniques) AS technique FROM det) LEFT JOIN resolve USING (technique)),
-each AS (SELECT source, t FROM m WHERE t IS NOT NULL UNION ALL SELECT source, split_part(t, '.', 1) FROM m WHERE contains(t, '.')),
+#: Long form: one row per tactic, valid technique and source of the table, zero-filled.
+GRID = f"""{DET}, {RESOLVE}, m AS (SELECT source, mapped AS t FROM (SELECT source, unnest(mitre_techniques) AS technique FROM det) JOIN resolve USING (technique)),
+each AS (SELECT source, t, count(*) AS n FROM (SELECT source, t FROM m UNION ALL SELECT source, split_part(t, '.', 1) FROM m WHERE contains(t, '.')) GROUP BY ALL),
 cells AS (SELECT id AS technique, name, is_subtechnique, unnest(tactics) AS tactic FROM cat WHERE NOT revoked AND NOT deprecated),
-grid AS (SELECT list_position({sql_list([r[0] for r in dims.TACTICS])}, tactic) - 1 AS ord, tactic, c.technique, name, is_subtechnique,
-  {', '.join(f"count(*) FILTER (source = '{s}') AS {s}" for s in SOURCES)}, count(source) AS total, count(DISTINCT source) AS n_sources
-  FROM cells c LEFT JOIN each ON each.t = c.technique GROUP BY ALL)"""
+grid AS (SELECT list_position({sql_list([r[0] for r in dims.TACTICS])}, tactic) - 1 AS ord, tactic, c.technique, name, is_subtechnique, s.source, coalesce(n, 0) AS n
+  FROM cells c CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s LEFT JOIN each ON each.t = c.technique AND each.source = s.source)"""
 
 
 def grid(spark, sf):
-    cat = catalog(spark, sf)
-    tags = C.resolved(C.bridge(detections(spark, sf)), C.resolve_table(cat, remap(spark)))
-    return C.matrix(C.rollup(tags, "mapped"), cat, SOURCES)
+    """The matrix over all sources of the table, and their names."""
+    cat, rules = catalog(spark, sf), detections(spark, sf, False)
+    sources = C.known_sources(rules)
+    tags = C.resolved(C.bridge(rules), C.resolve_table(cat, remap(spark)))
+    return C.matrix(C.rollup(tags, "mapped"), cat, sources), sources
 
 
-@query("coverage_matrix", f"WITH {GRID} SELECT * FROM grid")
+@query("coverage_matrix", f"WITH {GRID} SELECT *, (sum(n) OVER w)::BIGINT AS total, (count_if(n > 0) OVER w)::INT AS n_sources FROM grid WINDOW w AS (PARTITION BY tactic, technique)")
 def coverage_matrix(spark, sf):
-    return grid(spark, sf)
+    return C.by_source(*grid(spark, sf))
 
 
-@query("coverage_gaps_view", f"WITH {GRID} SELECT tactic, technique FROM grid WHERE src3 + src4 = 0")
+@query("coverage_gaps_view", f"WITH {GRID} SELECT tactic, technique FROM grid GROUP BY ALL HAVING sum(CASE WHEN source IN ('src3', 'src4') THEN n ELSE 0 END) = 0")
 def coverage_gaps_view(spark, sf):
     """Cells that src3 and src4 leave open."""
-    two = grid(spark, sf).withColumn("total", F.col("src3") + F.col("src4"))
+    cells, sources = grid(spark, sf)
+    two = cells.withColumn("total", sum((F.col(s) for s in ("src3", "src4") if s in sources), F.lit(0)))
     return C.gaps_view(two, covered=False).select("tactic", "technique")
 
 
-@query("tactic_percent", f"WITH {GRID} SELECT tactic, count(*) FILTER (src3 > 0) AS covered, count(*) AS techniques, round(100 * avg((src3 > 0)::INT), 0) AS percent FROM grid GROUP BY tactic")
+@query("tactic_percent", f"WITH {GRID}, one AS (SELECT tactic, technique, sum(CASE WHEN source = 'src3' THEN n ELSE 0 END) AS k FROM grid GROUP BY ALL) SELECT tactic, count(*) FILTER (k > 0) AS covered, count(*) AS techniques, round(100 * avg((k > 0)::INT), 0) AS percent FROM one GROUP BY tactic")
 def tactic_percent(spark, sf):
-    return C.tactic_percent(grid(spark, sf).withColumn("total", F.col("src3")))
+    """Share of each tactic's techniques that src3 covers."""
+    cells, sources = grid(spark, sf)
+    return C.tactic_percent(cells.withColumn("total", F.col("src3") if "src3" in sources else F.lit(0)))
 
 
-@query("coverage_summary", f"""WITH {GRID}, one AS (SELECT technique, {', '.join(f'max({s}) AS {s}' for s in SOURCES)}, max(total) AS any_ FROM grid GROUP BY technique),
-e AS (SELECT unnest([{', '.join(f"{{'source': '{s}', 'n': {c}}}" for s, c in [*zip(SOURCES, SOURCES, strict=True), ('any', 'any_')])}], recursive := true) FROM one)
+@query("coverage_summary", f"""WITH {GRID}, one AS (SELECT technique, source, max(n) AS n FROM grid GROUP BY ALL), e AS (SELECT * FROM one UNION ALL SELECT technique, 'any', sum(n) FROM one GROUP BY technique)
 SELECT source, count(*) FILTER (n > 0) AS covered, count(*) AS techniques, round(100.0::DOUBLE * count(*) FILTER (n > 0) / count(*), 1) AS percent FROM e GROUP BY source""")
 def coverage_summary(spark, sf):
-    return C.summary(grid(spark, sf), SOURCES)
+    return C.summary(*grid(spark, sf))
+
+
+@query("coverage_summary_compat", f"""WITH {GRID}, e AS (SELECT technique, source, n FROM grid UNION ALL SELECT technique, 'any', sum(n) FROM grid GROUP BY tactic, technique)
+SELECT source, count(DISTINCT technique) FILTER (n > 0) AS covered, count(*) AS techniques, round(100.0::DOUBLE * count(DISTINCT technique) FILTER (n > 0) / count(*), 1) AS percent FROM e GROUP BY source""")
+def coverage_summary_compat(spark, sf):
+    """As the summary, but a technique counts once per tactic in the total."""
+    return C.summary(*grid(spark, sf), compat=True)
 
 
 @query("coverage_star", """SELECT p_type, n_name, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -210,7 +221,7 @@ def coverage_star(spark, sf):
     """The coverage count at scale: part type by supplier nation."""
     lines = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     star = lines.join(read(spark, sf, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")).join(read(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    star = star.join(F.broadcast(read(spark, sf, "nation").select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
+    star = star.join(read(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
     return star.groupBy("p_type", "n_name").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("orders"))
 
 
@@ -233,19 +244,19 @@ RECENT = f"""{DET}, recent AS (SELECT * FROM det WHERE rule_modified_date >= {AS
 @query("trending_techniques", f"""WITH {RECENT}, t AS (SELECT unnest(mitre_techniques) AS technique, source, rule_modified_date FROM recent)
 SELECT technique, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, strftime(max(rule_modified_date), '%Y-%m-%d %H:%M:%S') AS last FROM t GROUP BY technique ORDER BY n DESC, technique LIMIT 20""")
 def trending_techniques(spark, sf):
-    return T.techniques(detections(spark, sf), as_of(), 90).select("technique", "n", "sources", iso("last"))
+    return T.techniques(detections(spark, sf, False), as_of(), 90).select("technique", "n", "sources", iso("last"))
 
 
 @query("trending_platforms", f"""WITH {RECENT}, t AS (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS platform, source, rule_modified_date FROM recent)
 SELECT platform, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, strftime(max(rule_modified_date), '%Y-%m-%d %H:%M:%S') AS last FROM t WHERE platform <> '' GROUP BY platform ORDER BY n DESC, platform LIMIT 20""")
 def trending_platforms(spark, sf):
-    rules = detections(spark, sf).select("source", "rule_modified_date", N.platform(F.col("detection_logic")).alias("platform"))
+    rules = detections(spark, sf, False).select("source", "rule_modified_date", N.platform(F.col("detection_logic")).alias("platform"))
     return T.platforms(rules, as_of(), 90).select("platform", "n", "sources", iso("last"))
 
 
 @query("trending_summary", f"WITH {RECENT} SELECT source, count(*) AS n FROM recent GROUP BY source UNION ALL SELECT 'total', count(*) FROM recent")
 def trending_summary(spark, sf):
-    return T.summary(detections(spark, sf), as_of(), 90)
+    return T.summary(detections(spark, sf, False), as_of(), 90)
 
 
 @query("trending_window", """WITH w AS (SELECT unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS ws, * FROM events)
@@ -258,4 +269,4 @@ def trending_window(spark, sf):
 @query("age_bucket", f"""WITH {DET}, d AS (SELECT doc_id, date_diff('day', rule_modified_date, {AS_OF}) AS d FROM det)
 SELECT doc_id, CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d || 'd' WHEN d < 30 THEN (d // 7) || 'w' WHEN d < 365 THEN (d // 30) || 'mo' WHEN d >= 365 THEN (d // 365) || 'y' END AS age FROM d""")
 def age_bucket(spark, sf):
-    return detections(spark, sf).select("doc_id", N.age_bucket(F.col("rule_modified_date"), as_of()).alias("age"))
+    return detections(spark, sf, False).select("doc_id", N.age_bucket(F.col("rule_modified_date"), as_of()).alias("age"))

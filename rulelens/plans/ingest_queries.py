@@ -14,7 +14,11 @@ from rulelens.sources.corpus import DET, detections, read
 
 def folder(spark, name: str) -> str:
     """A new folder for written results, in the session's shared folder where it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rulelens-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rulelens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,7 +39,7 @@ def ingest_quarantine(spark, sf):
     return G.quarantined(landed(spark, sf)).select("page_id", "error_stage", "error_severity", "error_message")
 
 
-@query("ingest_stats", f"""WITH {LANDED} SELECT count(*) AS discovered, count(*) FILTER (stage IS NULL) AS stored, count(*) FILTER (stage = 'read') AS errors, count(*) FILTER (stage = 'normalize') AS warnings,
+@query("ingest_stats", f"""WITH {LANDED} SELECT count(*) AS discovered, 0::BIGINT AS skipped, count(*) FILTER (stage IS NULL OR stage IN ('normalize', 'store')) AS parsed, count(*) FILTER (stage IS NULL OR stage = 'store') AS normalized, count(*) FILTER (stage IS NULL) AS stored, count(*) FILTER (stage = 'read') AS errors, count(*) FILTER (stage = 'normalize') AS warnings,
 round(100.0::DOUBLE * count(*) FILTER (stage IS NULL) / count(*), 1) AS success_rate, 0::BIGINT AS discovery_errors, count(*) FILTER (stage = 'read') AS read_errors, 0::BIGINT AS parse_errors,
 count(*) FILTER (stage = 'normalize') AS normalize_errors, 0::BIGINT AS store_errors FROM landed""")
 def ingest_stats(spark, sf):
@@ -58,15 +62,38 @@ def refresh_partition(spark, sf):
     return table.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("run_summary", f"""WITH {LANDED}, s AS (SELECT source, count(*) FILTER (stage IS NULL) AS stored, count(*) FILTER (stage IS NOT NULL) AS errors FROM landed GROUP BY source)
+@query("error_sample", f"WITH {LANDED} SELECT url, stage AS error_stage FROM landed JOIN pages USING (page_id) WHERE stage IS NOT NULL ORDER BY url, page_id LIMIT 20")
+def error_sample(spark, sf):
+    """The first 20 errors, for a quick review (a report)."""
+    rows = landed(spark, sf).withColumn("at", F.struct("url", "page_id"))
+    return G.error_sample(rows, "at").select("url", "error_stage")
+
+
+def checked(spark, sf):
+    """Documents with the stage at which their ingest fails."""
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    return G.staged(docs, [("read", "error", F.col("text").isNull(), "no text"), ("normalize", "warning", F.length("text") < 40, "short text")])
+
+
+@query("run_summary", """WITH s AS (SELECT source, count(*) FILTER (length(text) >= 40) AS stored, count(*) FILTER (text IS NULL OR length(text) < 40) AS errors FROM documents GROUP BY source)
 SELECT sum(stored)::BIGINT AS stored, sum(errors)::BIGINT AS errors, count(*) AS sources, string_agg(source || '=' || stored || '/' || errors, ',' ORDER BY source) AS results FROM s""")
 def run_summary(spark, sf):
-    per = landed(spark, sf).groupBy("source").agg(F.count_if(F.col("error_stage").isNull()).alias("stored"), F.count_if(F.col("error_stage").isNotNull()).alias("errors"))
+    per = checked(spark, sf).groupBy("source").agg(F.count_if(F.col("error_stage").isNull()).alias("stored"), F.count_if(F.col("error_stage").isNotNull()).alias("errors"))
     out = G.run_summary(per)
     text = F.array_join(F.transform(F.array_sort(F.map_entries("results")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["stored"], F.lit("/"), e["value"]["errors"])), ",")
     return out.withColumn("results", text)
 
 
+@query("source_dim", """WITH s AS (SELECT source, count(*) AS n, count(*) FILTER (text IS NULL) > 0 AS bad FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT source, CASE WHEN bad THEN 0 ELSE n END AS rule_count, CASE WHEN bad THEN NULL ELSE '2024-12-31' END AS last_sync, CASE WHEN bad THEN 'failed' ELSE 'synced' END AS status, CASE WHEN bad THEN 'no text' END AS error FROM s""")
+def source_dim(spark, sf):
+    """Sources after a run that fails those with unreadable documents."""
+    rows = checked(spark, sf).where("source is not null")
+    tried = rows.groupBy("source").agg(F.lit(None).cast("string").alias("commit"), F.max(F.when(F.col("error_stage") == "read", F.col("error_message"))).alias("error"))
+    out = G.source_dim(tried.select("source"), rows, F.lit("2024-12-31").cast("timestamp"), tried)
+    return out.select("source", "rule_count", F.date_format("last_sync", "yyyy-MM-dd").alias("last_sync"), "status", "error")
+
+
 @query("job_history", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25")
 def job_history(spark, sf):
     jobs = read(spark, sf, "events").select("event_id", F.col("event_type").alias("source"), "ts")

@@ -15,9 +15,14 @@ def query(name: str, sql: str | None = None):
 
     def wrap(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-                spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
+            zone = spark.conf.get("spark.sql.session.timeZone")
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            try:
+                out = f(spark, sf_dir)
+                out.schema  # noqa: B018  the plan is analysed, its time zone settled
+                return out
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run

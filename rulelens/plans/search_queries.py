@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from rulelens.functions import dims
 from rulelens.functions import normalize as N
+from rulelens.operators import coverage as C
 from rulelens.operators import search as S
 from rulelens.plans.registry import query
 from rulelens.sources.corpus import CAT, DET, REMAP_SQL, catalog, detections, read, remap
 
 ROW = ["doc_id", "id", "source", "severity"]
-SOURCES = [f"src{k}" for k in range(20)]
 
 
 def sql_list(values) -> str:
@@ -60,16 +60,13 @@ tac AS (SELECT own.id, list_sort(list(DISTINCT u.tactic)) AS tactics FROM own, (
 
 
 def with_tactics(spark, sf):
-    from rulelens.operators import coverage as C
-
-    rules, cat = detections(spark, sf), catalog(spark, sf)
-    return rules, C.derive_tactics(C.bridge(rules), C.resolve_table(cat, remap(spark)), cat)
+    cat = catalog(spark, sf)
+    return C.derive_tactics(C.bridge(detections(spark, sf, False)), C.resolve_table(cat, remap(spark)), cat)
 
 
 @query("filter_tactic", f"WITH {DET}, {DERIVED} SELECT doc_id, det.id, source, severity FROM det JOIN tac ON det.id = tac.id WHERE list_contains(tactics, 'TA0002')")
 def filter_tactic(spark, sf):
-    rules, tactics = with_tactics(spark, sf)
-    joined = rules.select(*ROW).join(tactics.withColumnRenamed("tactics", "mitre_tactics"), "id")
+    joined = detections(spark, sf).select(*ROW).join(with_tactics(spark, sf).withColumnRenamed("tactics", "mitre_tactics"), "id")
     return S.search(joined, S.SearchSpec(tactics=["ta0002"])).select(*ROW)
 
 
@@ -119,26 +116,26 @@ def facets(spark, sf):
     return S.facets(detections(spark, sf))
 
 
-DOMAINS = {"source": SOURCES, "status": ["stable", "experimental", "deprecated", "unknown"], "severity": ["low", "medium", "high", "critical", "unknown"]}
+DOMAINS = {"status": ["stable", "experimental", "deprecated", "unknown"], "severity": ["low", "medium", "high", "critical", "unknown"]}
 
 
 @query("statistics", f"""WITH {DET}, dom AS (
-  SELECT 'source' AS facet, unnest({sql_list(SOURCES)}) AS value UNION ALL SELECT 'status', unnest({sql_list(DOMAINS['status'])}) UNION ALL SELECT 'severity', unnest({sql_list(DOMAINS['severity'])})
+  SELECT DISTINCT 'source' AS facet, source AS value FROM documents WHERE source <> '' UNION ALL SELECT 'status', unnest({sql_list(DOMAINS['status'])}) UNION ALL SELECT 'severity', unnest({sql_list(DOMAINS['severity'])})
 ), f AS (SELECT 'source' AS facet, source AS value FROM det UNION ALL SELECT 'status', status FROM det UNION ALL SELECT 'severity', severity FROM det),
 t AS (SELECT dom.facet, dom.value, count(f.value) AS n FROM dom LEFT JOIN f ON dom.facet = f.facet AND dom.value = f.value GROUP BY ALL)
-SELECT * FROM t UNION ALL SELECT 'total', 'all', sum(n)::BIGINT FROM t WHERE facet = 'source'""")
+SELECT * FROM t UNION ALL SELECT 'total', 'all', count(*) FROM documents""")
 def statistics(spark, sf):
     return S.statistics(detections(spark, sf), DOMAINS)
 
 
-@query("severity_pivot", f"WITH {DET} SELECT source, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical FROM det GROUP BY source")
+@query("severity_pivot", f"WITH {DET} SELECT source, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'unknown') AS unknown FROM det GROUP BY source")
 def severity_pivot(spark, sf):
-    return detections(spark, sf).groupBy("source").pivot("severity", ["low", "medium", "high", "critical"]).count().fillna(0)
+    return S.severity_pivot(detections(spark, sf))
 
 
 @query("platform_dist", f"WITH {DET} SELECT coalesce(nullif(p, ''), 'unknown') AS platform, count(*) AS n FROM (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS p FROM det) GROUP BY 1")
 def platform_dist(spark, sf):
-    p = detections(spark, sf).select(N.platform(F.col("detection_logic")).alias("p"))
+    p = detections(spark, sf, False).select(N.platform(F.col("detection_logic")).alias("p"))
     return p.groupBy(F.coalesce(F.nullif("p", F.lit("")), F.lit("unknown")).alias("platform")).agg(F.count("*").alias("n"))
 
 
@@ -146,13 +143,13 @@ def platform_dist(spark, sf):
 def source_counts(spark, sf):
     from rulelens.operators.ingest import source_counts as counts
 
-    return counts(detections(spark, sf))
+    return counts(detections(spark, sf, False))
 
 
 @query("dim_lookup", f"""WITH {DET}, plat AS (SELECT * FROM (VALUES {', '.join(f"('{r[0]}', '{r[1]}', '{r[2]}')" for r in dims.PLATFORMS)}) v(id, display_name, category)),
 c AS (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS p FROM det)
 SELECT p AS platform, coalesce(display_name, 'Unknown') AS display_name, coalesce(category, '') AS category, count(*) AS n FROM c LEFT JOIN plat ON plat.id = p GROUP BY ALL""")
 def dim_lookup(spark, sf):
-    used = detections(spark, sf).select(N.platform(F.col("detection_logic")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    used = detections(spark, sf, False).select(N.platform(F.col("detection_logic")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     out = used.join(F.broadcast(dims.platforms(spark)), "id", "left")
     return out.select(F.col("id").alias("platform"), F.coalesce("display_name", F.lit("Unknown")).alias("display_name"), F.coalesce("category", F.lit("")).alias("category"), "n")

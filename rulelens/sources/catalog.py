@@ -31,7 +31,7 @@ def load_stix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     page = F.concat(F.lit(f"{SITE}/techniques/"), F.replace(F.col("ref.external_id"), F.lit("."), F.lit("/")), F.lit("/"))
     techniques = patterns.select(F.col("ref.external_id").alias("id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("ref.url", page).alias("url"), flag("x_mitre_deprecated").alias("deprecated"), flag("revoked").alias("revoked"), F.contains("ref.external_id", F.lit(".")).alias("is_subtechnique"), F.filter("kill_chain_phases", lambda p: p["kill_chain_name"] == "mitre-attack").alias("phases"))
     phase = techniques.select("id", F.posexplode("phases").alias("pos", "p")).select("id", "pos", F.col("p.phase_name").alias("short_name"))
-    named = phase.join(F.broadcast(tactics.select(F.col("id").alias("tactic"), "short_name")), "short_name")  # tactics are a few dozen
+    named = phase.join(tactics.select(F.col("id").alias("tactic"), "short_name"), "short_name")
     ordered = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tactic"))), lambda x: x["tactic"]).alias("tactics"))
     full = techniques.drop("phases").join(ordered, "id", "left")
     return tactics, full.select("id", "name", F.coalesce("tactics", F.array().cast("array<string>")).alias("tactics"), "url", "deprecated", "revoked", "is_subtechnique")

@@ -13,14 +13,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One detection per document. Columns that a query does not use are pruned, the texts included."""
-    d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+def detections(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """One detection per document. Columns that a query does not use are pruned, the texts included.
+
+    ``labelled`` joins the labels, which status, severity and tags need; a doc_id that they repeat takes the largest.
+    Without it those three columns are missing and nothing is shuffled.
+    """
+    d = read(spark, sf_dir, "documents")
+    if labelled:
+        lab = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+        d = d.join(lab, "doc_id", "left")
+        graded = (
+            F.when(F.col("quality") == 1, "stable").when(F.col("quality") == 0, "experimental").otherwise("unknown").alias("status"),
+            F.when(F.col("toxic") == 1, "critical").when(F.col("n_chars") >= 8000, "high").when(F.col("n_chars") >= 2000, "medium").otherwise("low").alias("severity"),
+            F.array_compact(F.array("lang", "source", F.concat(F.lit("q"), F.col("quality").cast("string")))).alias("tags"),
+        )
+    else:
+        graded = ()
     n = F.col("doc_id") * 7 + F.col("n_chars")
     technique = F.concat(F.lit("T"), (1000 + n % 40).cast("string"))
     sub = F.concat(technique, F.lit(".00"), (1 + F.col("doc_id") % 3).cast("string"))
     path = F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".txt"))
-    return d.join(lab, "doc_id", "left").select(
+    return d.select(
         "doc_id",
         N.det_id(F.col("source"), path).alias("id"),
         "source",
@@ -28,11 +42,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"),
         F.lit(None).cast("string").alias("description"),
         F.concat(F.lit("author_"), F.col("doc_id") % 7).alias("author"),
-        F.when(F.col("quality") == 1, "stable").when(F.col("quality") == 0, "experimental").otherwise("unknown").alias("status"),
-        F.when(F.col("toxic") == 1, "critical").when(F.col("n_chars") >= 8000, "high").when(F.col("n_chars") >= 2000, "medium").otherwise("low").alias("severity"),
+        *graded,
         F.array("source", F.concat("lang", F.lit("_text"))).alias("log_sources"),
         F.when(F.col("doc_id") % 4 == 0, F.array(technique)).otherwise(F.array(technique, sub)).alias("mitre_techniques"),
-        F.array_compact(F.array("lang", "source", F.concat(F.lit("q"), F.col("quality").cast("string")))).alias("tags"),
         F.col("text").alias("detection_logic"),
         F.col("lang").alias("language"),
         F.when(F.col("doc_id") % 11 != 0, F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 365) * 86400)).alias("rule_modified_date"),
@@ -54,7 +66,7 @@ DET = """det AS (
     text AS detection_logic, lang AS language,
     CASE WHEN d.doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((d.doc_id % 365)::INT) END AS rule_modified_date, text AS raw_content
   FROM (SELECT *, sha256(source || ':docs/' || doc_id || '.txt') AS h, 'T' || (1000 + (doc_id * 7 + n_chars) % 40) AS t FROM documents) d
-  LEFT JOIN labels l ON l.doc_id = d.doc_id
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id
 )"""
 
 

@@ -72,6 +72,14 @@ def applicable(path: Column, spec: Discovery, compat_substring: bool = False) ->
     return ends & ~F.arrays_overlap(F.split(low, "/"), lits([w.lower() for w in spec.excluded]))
 
 
+def file_counts(files: DataFrame, specs: dict[str, Discovery] | None = None) -> DataFrame:
+    """source, n_files: how many landed files (source, path) are rule files of their source, 0 where none are."""
+    hit = F.lit(False)
+    for source, spec in (DISCOVERY if specs is None else specs).items():
+        hit = hit | ((F.col("source") == source) & discovered(F.col("path"), spec))
+    return files.groupBy("source").agg(F.count_if(hit).alias("n_files"))
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), content (null where it is not UTF-8) of all files below ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

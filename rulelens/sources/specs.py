@@ -272,12 +272,20 @@ def normalized(landed: DataFrame, source: str, repo_url: str, spec: SourceSpec |
     )
 
 
-def ingest(files: DataFrame, repos: dict[str, str]) -> DataFrame:
-    """Files of several sources as one table of detections with error columns; ``repos`` maps source to repository URL."""
+def ingest(files: DataFrame, repos: dict[str, str], catalog: DataFrame | None = None, remap: DataFrame | None = None) -> DataFrame:
+    """Files of several sources as one table of detections with error columns; ``repos`` maps source to repository URL.
+
+    With a technique ``catalog``, hunting rules, which state no tactics, get those of their techniques; retired ids go
+    by ``remap``, the public catalog's successors unless given.
+    """
+    from rulelens.operators import coverage
     from rulelens.sources.landing import landed
 
     out = None
     for source, url in repos.items():
         one = normalized(landed(files, source, DISCOVERY[source]), source, url)
+        if catalog is not None and source == "elastic_hunting":
+            table = coverage.resolve_table(catalog, coverage.technique_remap(files.sparkSession) if remap is None else remap)
+            one = coverage.with_tactics(one, table, catalog)
         out = one if out is None else out.unionByName(one)
     return out

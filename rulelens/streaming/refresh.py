@@ -7,18 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from rulelens.operators.ingest import refresh
+from rulelens.operators.ingest import merge_rows, refresh
 from rulelens.operators.trending import windowed
 
 
-def incremental_refresh(spark: SparkSession, landing: str, schema: str, plan: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Run ``plan`` over what has newly landed and refresh the partitions (sources) that it yields, then stop.
+def incremental_refresh(spark: SparkSession, landing: str, schema: str, plan: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, whole: bool = False) -> StreamingQuery:
+    """Run ``plan`` over what has newly landed and bring it into the partitions (sources) of ``table``, then stop.
 
-    A source is refreshed whole: its new files are taken to hold all its rules, as in a full refresh.
+    New rules replace those of the same id, one per id, the others of their source stay. With ``whole`` the new files are
+    taken to hold all rules of their source, as in a full refresh.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        refresh(plan(rows), table)
+        new = plan(rows)
+        if whole:
+            refresh(new, table)
+        else:
+            merge_rows(new.dropDuplicates(["id"]), table)
 
     stream = spark.readStream.schema(schema).parquet(landing)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

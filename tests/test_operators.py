@@ -132,16 +132,11 @@ def test_hints(spark):
 
 def test_sort_and_keyset_page(spark):
     rows = spark.createDataFrame([(i, f"t{i % 4}" if i % 5 else None, ["low", "critical", "medium", "unknown", "high"][i % 5]) for i in range(40)], "id int, title string, severity string")
-    got, last = [], None
-    first = search.page(rows, search.sort_order("title"), 0, 7).collect()
-    got, last = list(first), first[-1]
-    while True:
-        more = search.page_after(rows, "title", (last.title, last.id), 7).collect()
-        if not more or more[-1].title is None:
-            break
-        got, last = got + more, more[-1]
-    want = rows.orderBy(*search.sort_order("title")).collect()
-    assert got == want[: len(got)] and len(got) >= 28
+    for descending in (False, True):
+        got = search.page(rows, search.sort_order("title", descending), 0, 7).collect()
+        while more := search.page_after(rows, "title", (got[-1].title, got[-1].id), 7, descending=descending).collect():
+            got += more
+        assert got == rows.orderBy(*search.sort_order("title", descending)).collect()
     assert rows.orderBy(*search.sort_order("severity_rank", True)).head().severity == "critical"
     assert rows.orderBy(*search.sort_order("no such column")).head().title == "t0"
 
@@ -156,7 +151,7 @@ def test_refresh_replaces_only_its_sources(spark, tmp_path):
 def test_streams(spark, tmp_path):
     landing, table = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int").write.parquet(landing)
-    run = lambda: stream.incremental_refresh(spark, landing, "source string, n int", lambda d: d, table, str(tmp_path / "c")).awaitTermination(60)
+    run = lambda: stream.incremental_refresh(spark, landing, "source string, n int", lambda d: d, table, str(tmp_path / "c"), whole=True).awaitTermination(60)
     run()
     spark.createDataFrame([("a", 5)], "source string, n int").write.mode("append").parquet(landing)
     run()
@@ -172,12 +167,72 @@ def test_streams(spark, tmp_path):
     assert same(spark.table("live")) == same(trending.windowed(events))
 
 
+def test_stream_merges_part_of_a_source(spark, tmp_path):
+    landing, table, schema = str(tmp_path / "in"), str(tmp_path / "out"), "source string, id string, n int"
+    spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "z", 3)], schema).write.parquet(landing)
+    run = lambda: stream.incremental_refresh(spark, landing, schema, lambda d: d, table, str(tmp_path / "c")).awaitTermination(60)
+    run()
+    spark.createDataFrame([("a", "x", 5), ("a", "w", 6), ("c", "v", 7)], schema).write.mode("append").parquet(landing)
+    run()
+    assert {(r.source, r.id, r.n) for r in spark.read.parquet(table).collect()} == {("a", "x", 5), ("a", "y", 2), ("a", "w", 6), ("b", "z", 3), ("c", "v", 7)}
+
+
+def test_pivot_statistics_and_differences(spark):
+    rules = spark.createDataFrame([("a", "low", ["x, y"]), ("a", None, ["x", "y"]), (None, "odd", [])], "source string, severity string, tags array<string>")
+    got = {r.source: (r.low, r.unknown) for r in search.severity_pivot(rules).collect()}
+    assert got == {"a": (1, 1), None: (0, 1)}
+    stats = {(r.facet, r.value): r.n for r in search.statistics(rules, {"severity": ["low", "high"]}).collect()}
+    assert stats == {("source", "a"): 2, ("severity", "low"): 1, ("severity", "high"): 0, ("severity", "odd"): 1, ("total", "all"): 3}
+    rows = rules.limit(2).withColumn("pos", F.lit(1))
+    assert {r.field: r.differs for r in compare.differing(rows, ["source", "severity", "tags"]).collect()} == {"source": False, "severity": True, "tags": True}
+    assert coverage.known_sources(rules) == ["a"]
+    with pytest.raises(ValueError):
+        coverage.known_sources(spark.range(5).select(F.col("id").cast("string").alias("source")), 4)
+
+
+def test_catalog_stats_and_lookups(spark):
+    cat = spark.createDataFrame([("T1", "n", ["TA0001", "TA0002"], False, False, False)], "id string, name string, tactics array<string>, revoked boolean, deprecated boolean, is_subtechnique boolean")
+    assert coverage.catalog_stats(cat).head().asDict() == {"tactics": 2, "techniques": 1, "subtechniques": 0}
+    assert coverage.catalog_stats(cat, dims.tactics(spark)).head().tactics == 14
+    assert coverage.tactic_of(dims.tactics(spark), "ta0040").head().name == "Impact" and coverage.technique_of(cat, "t1").count() == 1
+    table = coverage.resolve_table(spark.createDataFrame([("T1059.001", "p", ["TA0002"], False, False, True)], cat.schema), coverage.technique_remap(spark))
+    assert coverage.resolved(spark.createDataFrame([("T1086",)], "technique string"), table).head().mapped == "T1059.001"
+    assert dims.display_name("aws") == "AWS" and dims.display_name("some_thing") == "Some Thing" and dims.display_name("") == "Unknown"
+    assert "aws" in dims.platforms_of("cloud") and dims.event_categories(spark).count() == len(dims.EVENT_CATEGORIES) and dims.data_sources(spark).count() == len(dims.DATA_SOURCES)
+
+
+def test_ingest_records(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p1", None, None, None), ("a", "p2", "parse", "warning", "m"), ("a", "p3", "skipped", None, "s"), ("b", "p0", "normalize", "error", "n"), ("b", "p5", "read", "error", "r")], "source string, path string, error_stage string, error_severity string, error_message string")
+    got = ingest.ingest_stats(rows).head()
+    assert (got.discovered, got.skipped, got.parsed, got.normalized, got.stored, got.errors, got.warnings) == (5, 1, 2, 1, 1, 2, 1)
+    assert [r.path for r in ingest.error_sample(rows, "path", 2).collect()] == ["p0", "p2"]
+    log = str(tmp_path / "log")
+    per = spark.createDataFrame([("a", 2, 1), ("b", 0, 3)], "source string, stored long, errors long")
+    ingest.logged_run(spark, log, lambda: ingest.run_summary(per))
+    with pytest.raises(ZeroDivisionError):
+        ingest.logged_run(spark, log, lambda: 1 / 0)
+    runs = {r.status: r for r in spark.read.parquet(log).collect()}
+    assert runs["completed"].stored == 2 and runs["completed"].results["b"].errors == 3 and runs["completed"].duration_seconds >= 0
+    assert runs["failed"].error_message == "division by zero" and runs["failed"].errors == 1
+    old = spark.createDataFrame([("a", 7, "old"), ("b", 8, "old"), ("c", 9, "old")], "source string, rule_count long, commit string")
+    tried = spark.createDataFrame([("a", "new", None), ("b", "new", "no route")], "source string, commit string, error string")
+    dim = {r.source: r for r in ingest.source_dim(old, rows.where("source = 'a'"), F.lit("2025-01-01").cast("timestamp"), tried).collect()}
+    assert (dim["a"].rule_count, dim["a"].commit, dim["a"].status) == (3, "new", "synced") and dim["a"].last_sync is not None
+    assert (dim["b"].rule_count, dim["b"].commit, dim["b"].status, dim["b"].error) == (8, "old", "failed", "no route")
+    assert (dim["c"].rule_count, dim["c"].status, dim["c"].last_sync) == (9, "pending", None)
+
+
+def test_sanitize_invalid_bytes(spark):
+    assert one(spark, N.sanitize(F.concat(F.unhex(F.lit("61FF62")).cast("string"), F.lit("\x07c")))) == "a\ufffdbc"
+
+
 def test_empty_tables(spark):
     rules = detections(spark, SF).limit(0)
     cat = catalog(spark, SF).limit(0)
     assert search.facets(rules).count() == 0 and coverage.rollup(coverage.bridge(rules)).count() == 0
     assert coverage.matrix(coverage.rollup(coverage.bridge(rules)), cat, ["a"]).count() == 0
-    assert search.statistics(rules, {"source": ["a"]}).count() == 2
+    assert {tuple(r) for r in search.statistics(rules, {"severity": ["low"]}).collect()} == {("severity", "low", 0), ("total", "all", 0)}
+    assert coverage.catalog_stats(cat).head().asDict() == {"tactics": 0, "techniques": 0, "subtechniques": 0}
     assert ingest.ingest_stats(ingest.staged(rules, [("read", "error", F.lit(False), "x")])).head().success_rate == 0.0
 
 

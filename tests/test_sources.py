@@ -158,6 +158,14 @@ def test_other_sources(rules):
     assert (t.platform, t.event_category, t.data_source_normalized) == ("azure", "siem", "sentinel")
 
 
+def test_hunting_rules_get_the_tactics_of_their_techniques(spark):
+    files = spark.createDataFrame([("elastic_hunting", "hunting/aws/h.toml", FILES["hunting/aws/h.toml"]), ("elastic_hunting", "hunting/llm/h2.toml", FILES["hunting/llm/h2.toml"]), ("elastic_hunting", "x.md", "x")], "source string, path string, content string")
+    cat = spark.createDataFrame([("T1078", "Valid Accounts", ["TA0001", "TA0003"], False, False, False), ("T1078.004", "Cloud Accounts", ["TA0005"], False, False, True)], "id string, name string, tactics array<string>, revoked boolean, deprecated boolean, is_subtechnique boolean")
+    out = {r.source_file: r for r in specs.ingest(files, {"elastic_hunting": REPOS["elastic_hunting"]}, cat).collect()}
+    assert out["hunting/aws/h.toml"].mitre_tactics == ["TA0001", "TA0003", "TA0005"] and out["hunting/llm/h2.toml"].mitre_tactics == []
+    assert landing.file_counts(files).head().n_files == 2
+
+
 def test_glob_and_filter(spark):
     paths = ["rules/a.yml", "rules/a/b/c.yaml", "rules-x/a.yml", "other/rules/a.yml", "rules/Deprecated/a.yml", "rules/latest_x.yml"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
