@@ -1,15 +1,17 @@
-"""Licence scans by a positional token index (DataFrame functions only).
+"""Licence scans by a positional rare-token index (DataFrame functions only).
 
 The licence templates below are indexed by word: word -> (template, position) postings. A file that holds all
-mandatory key phrases of a template looks up all its words in that template's postings, however common they are and
-whatever else stands there; matches that agree on the relative position (place in the file minus place in the
-template) are intersected, and a template with enough agreeing matches is reported. Templates and their words are a
-fixed, small set, so the index travels as a literal.
+mandatory key phrases of a template looks up that template's rarest words, by IDF over all files; each match proposes a
+relative position (place in the file minus place in the template), at which the whole wording is then read off. A
+template with enough words in place is reported. All but the commonest AGREE - 1 words of a wording are looked up, so
+no place where AGREE words agree is missed. Templates and their words are a fixed, small set, so the index travels as
+a literal. Files that lack the longest word of every phrase are split into words and counted, no more.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,6 @@ TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
 AGREE = 3
 
 
-def words_of(text: Column) -> Column:
-    """Words in order; null counts as empty. Only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
-
-
 def postings() -> list[tuple[str, int, int]]:
     """(word, wording number, position) for every word of every wording."""
     texts = [w for wordings, _ in TEMPLATES.values() for w in wordings]
@@ -65,86 +62,133 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[-1]), walk).otherwise(F.array().cast("array<int>"))
 
 
+#: All that is no part of a word once A-Z are lower-cased, that is what WORD leaves out.
+SEPARATORS = "".join(chr(c) for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
+
+
+def literals(values: Iterable[str]) -> Column:
+    """An array of strings without quotes, as one literal."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
+def words_of(text: Column) -> Column:
+    """Words in order; null counts as empty. One translation lower-cases A-Z and blanks separators, so no pattern is run."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def gate(words: Column) -> Column:
+    """False only where no base phrase and no key phrase can stand: the longest word of each is nowhere in the text."""
+    phrases = [p for p, _ in BASE] + [p for _, keys in TEMPLATES.values() for group in keys for p in group]
+    return F.arrays_overlap(words, literals(sorted({max(p.split(), key=len) for p in phrases})))
+
+
 def word_idf(docs: DataFrame) -> dict[str, float]:
     """IDF of the template words over all ``docs`` (at most one row per template word reaches the driver)."""
     vocabulary = sorted({w for w, _, _ in postings()})
-    hits = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("w"))
-    df = dict(hits.groupBy("w").count().collect())
-    n = docs.count()
-    return {w: math.log((1 + n) / (1 + df.get(w, 0))) for w in vocabulary}
+    hits = docs.select(F.explode_outer(F.array_union(F.array(F.lit("")), F.array_intersect(words_of(F.col("text")), literals(vocabulary)))).alias("w"))
+    df = dict(hits.groupBy("w").count().collect())  # "" stands for every file
+    return {w: math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) for w in vocabulary}
+
+
+def looked_up(wording: str, idf: dict[str, float]) -> list[tuple[int, str]]:
+    """(position, word) of the wording's rarest words: all but the AGREE - 1 commonest, ties by word and position."""
+    order = sorted(enumerate(wording.split()), key=lambda x: (-idf.get(x[1], 0.0), x[1], x[0]))
+    return order[: max(1, len(order) - (AGREE - 1))]
 
 
 def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """``docs`` (a text column needed) with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    Columns of those names are replaced; others pass through. Null or empty text: no words, no labels, score 0.
-    Every place of a phrase counts in n_base, overlapping phrases each. base_labels follow from the base phrases
+    Columns of those names are replaced; all others pass through, whatever their names. Null or empty text: no words,
+    no labels, score 0; repeated rows get equal results; texts of any length are read whole; an empty table stays
+    empty. Every place of a phrase counts in n_base, overlapping phrases each. base_labels follow from the base phrases
     alone; labels add what the index finds. score is 1 for a base phrase, otherwise the share of the best matched
-    wording's words found at agreeing positions, or 0. Rows are independent, so copies get equal results.
-    All words are looked up, so the frequencies ``idf`` change nothing.
+    wording's words found in place, or 0. ``idf`` (``word_idf`` of all files; all alike where not given) decides which
+    words are looked up, and so the work, but never the result.
     """
-    text = docs.withColumn("_words", words_of(F.col("text")))
-    starts = [phrase_starts(F.col("_words"), p) for p, _ in BASE]
-    text = text.withColumn("_starts", F.array(*starts))
-    every = F.flatten("_starts")
+    idf = idf or {}
+    row = "_scan_row"
+    wordings = [w for ws, _ in TEMPLATES.values() for w in ws]
+    words, found = F.col("_scan_words"), F.col("_scan_found")
+    # the columns of docs travel in one struct, so that no name can clash
+    text = docs.select(F.struct("*").alias(row)).withColumn("_scan_words", words_of(F.col("_scan_row.text"))).withColumn("_scan_gate", gate(words))
+    starts = F.array(*(phrase_starts(words, p) for p, _ in BASE))
+    text = text.withColumn("_scan_starts", F.when(F.col("_scan_gate"), starts).otherwise(F.array(*(F.array().cast("array<int>") for _ in BASE))))
 
     # only wordings of labels whose key phrases all stand in the file are looked up
-    joined = F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))
-    text = text.withColumn("_joined", joined)
+    text = text.withColumn("_scan_joined", F.when(F.col("_scan_gate"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(""))
     numbers, number, keyed = {}, 0, []
-    for label, (wordings, keys) in TEMPLATES.items():
-        numbers[label] = list(range(number, number := number + len(wordings)))
-        here = F.lit(True)
-        for group in keys:
-            any_of = F.lit(False)
-            for phrase in group:
-                any_of = any_of | F.contains("_joined", F.lit(f" {phrase} "))
-            here = here & any_of
-        keyed += [F.when(here, F.lit(t)) for t in numbers[label]]
-    text = text.withColumn("_keyed", F.array_compact(F.array(*keyed)))
+    for label, (ws, keys) in TEMPLATES.items():
+        numbers[label] = list(range(number, number := number + len(ws)))
+        here = " AND ".join("(" + " OR ".join(f"contains(_scan_joined, ' {p} ')" for p in group) + ")" for group in keys)
+        keyed.append(f"IF({here}, array({', '.join(map(str, numbers[label]))}), array())")
+    text = text.withColumn("_scan_keyed", F.expr(f"IF(_scan_gate, flatten(array({', '.join(keyed)})), array())"))
 
     index: dict[str, list[tuple[int, int]]] = {}
-    for w, t, i in postings():
-        index.setdefault(w, []).append((t, i))
+    for t, wording in enumerate(wordings):
+        for i, w in looked_up(wording, idf):
+            index.setdefault(w, []).append((t, i))
     # one literal map: word -> postings
-    entries = F.map_from_entries(F.array(*(F.struct(F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in ps))) for w, ps in index.items())))
-    words = F.col("_words")
-    vocabulary = F.array(*map(F.lit, index))
+    entries = F.expr("map(" + ", ".join(f"'{w}', array({', '.join(f"named_struct('t', {t}, 'i', {i})" for t, i in ps)})" for w, ps in index.items()) + ")")
+    vocabulary = literals(index)
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(vocabulary, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    # "wording:offset" once for each (place in file, place in template) pair, sorted: equal entries are neighbours
-    pairs = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(entries[h["w"]], lambda p: F.array_contains("_keyed", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("o")))))
+    proposals = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(entries[h["w"]], lambda p: F.array_contains("_scan_keyed", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("o")))))
     empty = F.array().cast("array<struct<t:int,o:int>>")
-    text = text.withColumn("_pairs", F.when(F.size("_keyed") > 0, F.array_sort(pairs)).otherwise(empty))
-    # enough agreeing matches: the entry AGREE - 1 places on is equal
-    agreed = F.filter(F.transform("_pairs", lambda p, i: F.when(F.get(F.col("_pairs"), i + (AGREE - 1)) == p, p)), lambda x: x.isNotNull())
-    text = text.withColumn("_agreed", agreed)
-
-    found = [F.when(F.arrays_overlap(F.transform("_agreed", lambda p: p["t"]), F.array(*map(F.lit, own))), F.lit(label)) for label, own in numbers.items()]
-    text = text.withColumn("_found", F.array_compact(F.array(*found)))
-    base = F.array_compact(F.array(*(F.when(F.size(F.get("_starts", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
-    text = text.withColumn("_base", base)
-
-    lengths = [len(w.split()) for wordings, _ in TEMPLATES.values() for w in wordings]
-    share = F.lit(0.0)
-    for label, own in numbers.items():
-        for t in own:
-            best = F.array_max(F.transform("_agreed", lambda p: F.when(p["t"] == F.lit(t), F.size(F.filter("_pairs", lambda q: q == p)))))  # noqa: B023
-            share = F.greatest(share, F.when(F.array_contains("_found", label), F.least(F.lit(1.0), F.coalesce(best, F.lit(0)) / F.lit(float(lengths[t])))).otherwise(0.0))
-    score = F.when(F.size(every) > 0, 1.0).when(F.size("_found") > 0, share).otherwise(0.0)
-    out = text.withColumns({
-        "n_words": F.size("_words").cast("long"),
+    text = text.withColumn("_scan_proposals", F.when(F.size("_scan_keyed") > 0, F.array_distinct(proposals)).otherwise(empty))
+    # the wording read off at each proposed place
+    whole = F.transform(literals(wordings), lambda w: F.split(w, " "))
+    agreeing = lambda p: F.size(F.filter(F.get(whole, p["t"]), lambda w, i: F.get(words, p["o"] + i) == w))
+    counted = F.transform("_scan_proposals", lambda p: F.struct(p["t"].alias("t"), agreeing(p).alias("n")))
+    text = text.withColumn("_scan_found", F.filter(counted, lambda x: x["n"] >= AGREE))
+
+    label_of = literals([label for label, own in numbers.items() for _ in own])
+    share = F.coalesce(F.array_max(F.transform(found, lambda x: x["n"] / F.size(F.get(whole, x["t"])))), F.lit(0.0))
+    starts = F.col("_scan_starts")
+    base = F.array_compact(F.array(*(F.when(F.size(F.get(starts, F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
+    text = text.withColumns({"_scan_base": base, "_scan_labels": F.transform(found, lambda x: F.get(label_of, x["t"])), "_scan_every": F.flatten(starts)})
+    every = F.col("_scan_every")
+    new = {
+        "n_words": F.size(words).cast("long"),
         "n_base": F.size(every).cast("long"),
         "first_word": F.array_min(every).cast("long"),
         "last_word": F.array_max(every).cast("long"),
-        "base_labels": F.array_join(F.array_sort(F.array_distinct("_base")), ","),
-        "labels": F.array_join(F.array_sort(F.array_union("_base", "_found")), ","),
-        "score": score,
-    })
-    return out.drop("_words", "_starts", "_keyed", "_pairs", "_agreed", "_joined", "_found", "_base")
+        "base_labels": F.array_join(F.array_sort(F.array_distinct("_scan_base")), ","),
+        "labels": F.array_join(F.array_sort(F.array_union("_scan_base", "_scan_labels")), ","),
+        "score": F.when(F.size(every) > 0, 1.0).when(F.size("_scan_labels") > 0, share).otherwise(0.0),
+    }
+    kept = [F.col(f"{row}.`{c}`") for c in docs.columns if c not in new]
+    return text.select(*kept, *(c.alias(name) for name, c in new.items()))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan(docs)
+    out = scan(docs, word_idf(docs))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _sql_list(values) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in values) + ")"
+
+
+_WORDINGS = [(t, label, w) for t, (label, w) in enumerate((label, w) for label, (ws, _) in TEMPLATES.items() for w in ws)]
+_KEYS = [(label, g, p) for label, (_, keys) in TEMPLATES.items() for g, group in enumerate(keys) for p in group]
+#: Every word of every wording, in every file whose key phrases stand; no index and no rarest words.
+OP9_SQL = rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t),
+phrase(label, p) AS {_sql_list((label, p) for p, label in BASE)},
+part AS (SELECT label, p, unnest(string_split(p, ' ')) AS w, unnest(range(len(string_split(p, ' ')))) AS k, len(string_split(p, ' ')) AS n FROM phrase),
+place AS (SELECT doc_id, label, i - k AS start FROM w JOIN part USING (w) GROUP BY doc_id, label, p, n, start HAVING count(*) = n),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
+keys(label, g, p) AS {_sql_list(_KEYS)},
+keyed AS (SELECT doc_id, label FROM (SELECT doc_id, label, g, bool_or(contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || p || ' ')) AS here FROM t, keys GROUP BY ALL) GROUP BY ALL HAVING bool_and(here)),
+wording(t, label, p) AS {_sql_list(_WORDINGS)},
+posting AS (SELECT t, label, unnest(string_split(p, ' ')) AS w, unnest(range(len(string_split(p, ' ')))) AS k, len(string_split(p, ' ')) AS n FROM wording),
+agreed AS (SELECT doc_id, label, t, n, count(*) AS c FROM w JOIN posting USING (w) JOIN keyed USING (doc_id, label) GROUP BY doc_id, label, t, n, i - k HAVING count(*) >= {AGREE}),
+more AS (SELECT doc_id, max(c / n::DOUBLE) AS share FROM agreed GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM agreed UNION ALL SELECT doc_id, label FROM place) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM t LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id) LEFT JOIN every USING (doc_id)"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op6_topk": topk.OP6_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
 }

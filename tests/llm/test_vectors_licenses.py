@@ -1,7 +1,9 @@
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from tests.llm import cases
 from tests.llm.test_dedup import groups
 
@@ -171,6 +173,49 @@ def test_licenses(spark):
     assert license_scan.scan(cases.empty(spark), license_scan.word_idf(cases.empty(spark))).count() == 0
 
 
+def plain_scan(text):
+    """labels and score by looking at every place of every wording."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels, best, joined = set(base(text)[4].split(",")) - {""}, 0.0, f" {' '.join(words)} "
+    for label, (wordings, keys) in license_scan.TEMPLATES.items():
+        if all(any(f" {p} " in joined for p in group) for group in keys):
+            for wording in map(str.split, wordings):
+                for o in range(-len(wording), len(words)):
+                    n = sum(0 <= o + i < len(words) and words[o + i] == w for i, w in enumerate(wording))
+                    if n >= license_scan.AGREE:
+                        labels.add(label)
+                        best = max(best, n / len(wording))
+    return ",".join(sorted(labels)), 1.0 if base(text)[1] else best
+
+
+def test_labels_and_score_against_a_plain_model(spark):
+    rng = random.Random(3)
+    wordings = [w.split() for ws, _ in license_scan.TEMPLATES.values() for w in ws]
+    keys = [p.split() for _, groups in license_scan.TEMPLATES.values() for g in groups for p in g]
+    rows = []
+    for i in range(120):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            piece = list(rng.choice(wordings + keys))
+            for _ in range(rng.randrange(3)):  # words lost, changed or put in
+                at = rng.randrange(len(piece))
+                piece[at : at + rng.randrange(2)] = [rng.choice(["the", "xx", "license"])]
+            text += piece[: rng.randrange(1, len(piece) + 1)] + ["of"] * rng.randrange(3)
+        rows.append(cases.row(i, rng.choice([" ", ", ", "\n"]).join(w.title() if rng.random() < 0.3 else w for w in text)))
+    docs = spark.createDataFrame(rows, cases.SCHEMA)
+    want = {r[0]: plain_scan(r[1]) for r in rows}
+    assert sum(bool(labels) for labels, _ in want.values()) > 40
+    for idf in (None, license_scan.word_idf(docs)):
+        got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs, idf).collect()}
+        assert got == {k: (labels, pytest.approx(score)) for k, (labels, score) in want.items()}
+
+
+def test_scan_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("MIT License", 1, 2, 3, 4)], "text string, _words int, _scan_row int, `a.b` int, score int")
+    out = license_scan.scan(docs).head().asDict()
+    assert (out["_words"], out["_scan_row"], out["a.b"], out["score"], out["labels"]) == (1, 2, 3, 1.0, "mit")
+
+
 def test_notices_do_not_displace_each_other(spark):
     labels = ["bsd", "mpl", "isc", "unlicense"]
     whole = [license_scan.TEMPLATES[name][0][0] for name in labels]
