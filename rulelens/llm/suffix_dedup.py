@@ -15,12 +15,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.llm.common import batches, cut, mix64, prefix_hash, runs, small_side, span_hash, text_batches
 
 LENGTH, GRAM = 200, 50
+KEY = ["k", "q"]
 #: Different surroundings of an anchor up to which a suffix array takes it, and bytes sorted in one array.
 GROUP_MOST, ARRAY_BYTES = 20_000, 1_000_000
 
@@ -64,14 +65,14 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """k, s0, s1, f, whole of every run of ``docs(k, text)``."""
+    """k, q, s0, s1, f, whole of every run of ``docs(k, q, text)``."""
 
     def run(frames):
         for pdf in batches(frames):
             out = anchored([t.encode("utf-8", "surrogatepass") for t in pdf.text], length)
-            yield pd.DataFrame({"k": pdf.k.to_numpy()[out["doc"]], "s0": out["s0"].astype(np.int32), "s1": out["s1"].astype(np.int32), "f": out["f"], "whole": out["whole"]})
+            yield pd.DataFrame({"k": pdf.k.to_numpy()[out["doc"]], "q": pdf.q.to_numpy()[out["doc"]], "s0": out["s0"].astype(np.int32), "s1": out["s1"].astype(np.int32), "f": out["f"], "whole": out["whole"]})
 
-    return text_batches(docs).where(F.octet_length("text") >= length).select("k", "text").mapInPandas(run, "k long, s0 int, s1 int, f long, whole long")
+    return text_batches(docs).where(F.octet_length("text") >= length).select("k", "q", "text").mapInPandas(run, "k long, q long, s0 int, s1 int, f long, whole long")
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -170,7 +171,7 @@ def repeated_starts(data: np.ndarray, valid: np.ndarray, length: int = LENGTH) -
 
 
 def sorted_groups(slices: DataFrame, length: int) -> DataFrame:
-    """k, lo, hi: byte spans covered by repeated windows among ``slices(f, k, s0, s1, part)``, compared within each f."""
+    """k, q, lo, hi: byte spans covered by repeated windows among ``slices(f, k, q, s0, s1, part)``, compared within each f."""
 
     def spans(pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.frombuffer(b"".join(pdf.part), dtype=np.uint8)
@@ -184,11 +185,11 @@ def sorted_groups(slices: DataFrame, length: int) -> DataFrame:
         hit = repeated_starts(data, valid, length)[at]
         row, at = row[hit], at[hit]
         if not len(at):
-            return pd.DataFrame({"k": [], "lo": [], "hi": []})
+            return pd.DataFrame({"k": [], "q": [], "lo": [], "hi": []})
         lo = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])])
         hi = np.r_[lo[1:], len(at)] - 1
         start = pdf.s0.to_numpy() - base
-        return pd.DataFrame({"k": pdf.k.to_numpy()[row[lo]], "lo": at[lo] + start[row[lo]], "hi": at[hi] + start[row[hi]] + length})
+        return pd.DataFrame({"k": pdf.k.to_numpy()[row[lo]], "q": pdf.q.to_numpy()[row[lo]], "lo": at[lo] + start[row[lo]], "hi": at[hi] + start[row[hi]] + length})
 
     def run(frames):
         held = None
@@ -208,49 +209,52 @@ def sorted_groups(slices: DataFrame, length: int) -> DataFrame:
         while lo < len(pdf):
             hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + ARRAY_BYTES))
             hi = int(np.searchsorted(f, f[min(hi, len(f) - 1)], side="right")) if hi < len(f) else len(f)
-            yield spans(pdf.iloc[lo:hi]).astype({"k": "int64", "lo": "int32", "hi": "int32"})
+            yield spans(pdf.iloc[lo:hi]).astype({"k": "int64", "q": "int64", "lo": "int32", "hi": "int32"})
             lo = hi
 
-    return slices.repartition("f").sortWithinPartitions("f").mapInPandas(run, "k long, lo int, hi int")
+    return slices.repartition("f").sortWithinPartitions("f").mapInPandas(run, "k long, q long, lo int, hi int")
 
 
 def counted_groups(slices: DataFrame, length: int) -> DataFrame:
     """The same spans by counting windows (128-bit hashes)."""
-    each = slices.select("k", "part", "s0", F.explode(F.sequence(F.lit(0), F.col("s1") - F.col("s0"))).alias("i"))
+    each = slices.select("k", "q", "part", "s0", F.explode(F.sequence(F.lit(0), F.col("s1") - F.col("s0"))).alias("i"))
     window = F.substring("part", F.col("i") + 1, F.lit(length))
-    each = each.select("k", (F.col("s0") + F.col("i")).alias("lo"), F.xxhash64(window, F.lit("a")).alias("h1"), F.xxhash64(F.lit("b"), window).alias("h2"))
+    each = each.select("k", "q", (F.col("s0") + F.col("i")).alias("lo"), F.xxhash64(window, F.lit("a")).alias("h1"), F.xxhash64(F.lit("b"), window).alias("h2"))
     many = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return each.join(many, ["h1", "h2"]).select("k", F.col("lo").cast("int").alias("lo"), (F.col("lo") + length).cast("int").alias("hi"))
+    return each.join(many, ["h1", "h2"]).select("k", "q", F.col("lo").cast("int").alias("lo"), (F.col("lo") + length).cast("int").alias("hi"))
 
 
 # ---------------------------------------------------------------- the operator
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of the row; equal rows share it, and repeat each other anyway."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
+    """doc_id, text (null: empty) and the row's key of 128 bits (k, q); equal rows share it, and repeat each other anyway."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(row_key(F.col("doc_id"), F.col("text")))
+
+
+def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
+    return {"k": F.xxhash64(doc_id, text), "q": F.xxhash64(F.lit("q"), text, doc_id)}
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """k and spans (array of lo, hi byte places, may overlap) of the rows of ``keyed`` that hold repeated windows."""
+    """k, q and spans (array of lo, hi byte places, may overlap) of the rows of ``keyed`` that hold repeated windows."""
     table = cut(anchors(rows, length))
     often = cut(table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))  # a join of its own can split a hot anchor
     shared = cut(table.join(often, "f"))
-    kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "s0", "s1")).alias("r")))
-    same = shared.join(kinds.where("c > 1").select("f", "whole"), ["f", "whole"]).select("k", F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
+    kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "q", "s0", "s1")).alias("r")))
+    same = shared.join(kinds.where("c > 1").select("f", "whole"), ["f", "whole"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
 
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     rims = cut(kinds.select("f", "r.*").join(several, "f"))
-    per_row = cut(rims.groupBy("k").agg(F.collect_list(F.struct("f", "s0", "s1", "kinds")).alias("runs")))  # at most a row's own runs
-    texts = rows.select("k", F.encode("text", "utf-8").alias("bytes")).join(small_side(per_row.select("k")), "k", "left_semi")
+    per_row = cut(rims.groupBy(*KEY).agg(F.collect_list(F.struct("f", "s0", "s1", "kinds")).alias("runs")))  # at most a row's own runs
+    texts = rows.select(*KEY, F.encode("text", "utf-8").alias("bytes")).join(small_side(per_row.select(*KEY)), KEY, "left_semi")
     part = lambda r: F.struct(r["f"].alias("f"), r["s0"].alias("s0"), r["s1"].alias("s1"), r["kinds"].alias("kinds"), F.substring("bytes", r["s0"] + 1, r["s1"] - r["s0"] + length).alias("part"))
     # rows that are equal give each run once
-    sliced = texts.dropDuplicates(["k"]).join(per_row, "k").select("k", F.explode(F.transform("runs", part)).alias("x")).select("k", "x.*")
+    sliced = texts.dropDuplicates(KEY).join(per_row, KEY).select(*KEY, F.explode(F.transform("runs", part)).alias("x")).select(*KEY, "x.*")
     sliced = cut(sliced)
     found = sorted_groups(sliced.where(F.col("kinds") <= GROUP_MOST), length).union(counted_groups(sliced.where(F.col("kinds") > GROUP_MOST), length))
     spans = same.union(found)
-    return cut(spans.groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    return cut(spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
@@ -266,8 +270,8 @@ def merged(spans, n: int) -> list[tuple[int, int]]:
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with repeated spans and these, rows without); only the former's texts are shuffled while keys are few."""
-    some = small_side(spans.select("k"))
-    return rows.join(some, "k", "left_semi").join(spans, "k"), rows.join(some, "k", "left_anti")
+    some = small_side(spans.select(*KEY))
+    return rows.join(some, KEY, "left_semi").join(spans, KEY), rows.join(some, KEY, "left_anti")
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -298,11 +302,11 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated strings cut out of text (where a cut splits a character its rest goes too).
 
-    All columns and rows stay, other columns unchanged; texts without repeats, null ones included, stay as they are.
+    All columns and rows stay, whatever their names, other columns unchanged; texts without repeats, null ones
+    included, stay as they are. Rows that repeat as a whole lose all their long strings; an empty table stays empty.
     """
-    spans = repeated_spans(keyed(docs), length).select(F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    some = small_side(spans.select("_k"))
+    rows = docs.select(F.struct("*").alias("row"))  # so that columns of any name pass through
+    rows = rows.withColumns(row_key(F.col("row.doc_id"), F.coalesce("row.text", F.lit(""))))
 
     @F.pandas_udf("string")
     def cut_out(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -313,9 +317,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(b"".join(data[a:b] for a, b in zip([0, *(hi for _, hi in gone)], [*(lo for lo, _ in gone), len(data)], strict=True)).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    hit = rows.join(some, "_k", "left_semi").join(spans, "_k").withColumn("text", cut_out("text", "_spans"))
-    free = rows.join(some, "_k", "left_anti")
-    return hit.select(*docs.columns).union(free.select(*docs.columns))
+    hit, free = with_spans(rows, repeated_spans(keyed(docs), length))
+    own = [cut_out("row.text", "spans").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return hit.select(*own).union(free.select("row.*"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
