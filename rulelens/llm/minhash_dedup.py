@@ -187,7 +187,7 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float, plain_a: np.ndarr
 
 
 def plain_of(data: bytes | None) -> np.ndarray | None:
-    return None if data is None else np.frombuffer(data, np.int32)
+    return None if data is None else np.frombuffer(data, np.int64)
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY
 
     def run(frames):
         for pdf in frames:
-            ok = [alignment(np.frombuffer(x, np.int32), np.frombuffer(y, np.int32), similarity, plain_of(p), plain_of(q)) >= similarity for x, y, p, q in zip(pdf.ka, pdf.kb, pdf.pa, pdf.pb, strict=True)]
+            ok = [alignment(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), similarity, plain_of(p), plain_of(q)) >= similarity for x, y, p, q in zip(pdf.ka, pdf.kb, pdf.pa, pdf.pb, strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
     left = tokens.select(F.col("rep").alias("a"), F.col("kmers").alias("ka"), F.col("plain").alias("pa"))
@@ -204,25 +204,19 @@ def verified(pairs: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY
 
 
 def token_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, kmers (32-bit hashes as bytes) and, where k-mers repeat, plain (without labels) of the documents named in ``ids(rep)``."""
+    """rep, kmers (64-bit hashes as bytes) and, where k-mers repeat, plain (without labels) of the documents named in ``ids(rep)``."""
 
     def run(frames):
         for pdf in batches(frames):
             plain, h, first, _ = both_kmers(pdf.text.tolist())
-            low, same = ((x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in (h, plain))
+            h, plain = h.view(np.int64), plain.view(np.int64)
             spans = list(zip(first[:-1], first[1:], strict=True))
-            # places whose 32 bits repeat within a text (about one text in a thousand long ones) keep the first
-            yield pd.DataFrame({"rep": pdf.rep, "kmers": [distinct(low[a:b]).tobytes() for a, b in spans], "plain": [None if (h[a:b] == plain[a:b]).all() else same[a:b].tobytes() for a, b in spans]})
+            yield pd.DataFrame({"rep": pdf.rep, "kmers": [h[a:b].tobytes() for a, b in spans], "plain": [None if (h[a:b] == plain[a:b]).all() else plain[a:b].tobytes() for a, b in spans]})
 
     mine = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small_side(ids), "rep", "left_semi")
     return mine.mapInPandas(run, "rep long, kmers binary, plain binary").dropDuplicates(["rep"])
 
 
-def distinct(values: np.ndarray) -> np.ndarray:
-    _, at = np.unique(values, return_index=True)
-    return values if len(at) == len(values) else values[np.sort(at)]
-
-
 def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     """Links between texts of one bucket that are in different components, as many as join components.
 
@@ -230,7 +224,7 @@ def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     pairs that can reach the similarity are aligned.
     """
     reps, comps, block = pdf.rep.to_numpy(), pdf.component.to_numpy(), pdf.block.to_numpy()
-    own = [np.frombuffer(k, np.int32) for k in pdf.kmers]
+    own = [np.frombuffer(k, np.int64) for k in pdf.kmers]
     plain = [plain_of(k) for k in pdf.plain]
     size = np.array([len(k) for k in own])
     every, doc = np.concatenate(own), np.repeat(np.arange(len(own)), size)
@@ -320,11 +314,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the row whose doc_id is the smallest; all columns stay.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id stay.
+    Of rows that repeat a doc_id one stays; rows without doc_id, and null and empty texts, stay. Columns of any name
+    pass through; an empty table stays empty.
     """
     found = cut(near_duplicates(docs))
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(found.where("not kept").select("doc_id").distinct())
+    out = docs.join(small_side(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head() is not None:
         out = out.where("doc_id is null").unionByName(out.where("doc_id is not null").dropDuplicates(["doc_id"]))
     return out

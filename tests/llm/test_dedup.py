@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.llm import cases
 
 from rulelens.llm import minhash_dedup, suffix_dedup
@@ -92,7 +93,7 @@ def test_near_duplicates_awkward(spark):
 
 
 def test_alignment_is_banded_and_ordered():
-    a = np.arange(100, dtype=np.int32)
+    a = np.arange(100, dtype=np.int64)
     assert minhash_dedup.alignment(a, a, 0.8) == 1.0
     assert minhash_dedup.alignment(a, np.delete(a, 50), 0.8) == 0.99
     assert minhash_dedup.alignment(a, np.concatenate([a[50:], a[:50]]), 0.8) < 0.8
@@ -165,3 +166,14 @@ def test_anchors_cover_all_windows():
     for d, lo, hi in zip(out["doc"], out["s0"], out["s1"], strict=True):
         seen[int(d)] += range(lo, hi + 1)
     assert {d: sorted(s) for d, s in seen.items()} == {i: list(range(len(t) - 199)) for i, t in enumerate(texts) if len(t) >= 200}
+
+
+def test_cuts_keep_columns_of_any_name(spark):
+    rng = random.Random(2)
+    same = cases.words(rng, 60)
+    docs = spark.createDataFrame([(1, f"{same} one", "a", 5), (2, f"{same} two", "b", 6), (3, None, "c", 7), (3, None, "c", 7)], "doc_id long, text string, k string, `_k.x` int").withColumn("spans", F.lit(1)).withColumn("row", F.lit(2)).withColumn("_gone", F.lit(3))
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.k, r["_k.x"], r.spans, r.row, len(r.text or "") < 20) for r in out.collect()) == [(1, "a", 5, 1, 2, True), (2, "b", 6, 1, 2, True), (3, "c", 7, 1, 2, True), (3, "c", 7, 1, 2, True)]
+    left = minhash_dedup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3}
