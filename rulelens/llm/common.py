@@ -16,9 +16,11 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir; where that is unset, an own one, on one machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rulelens-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")

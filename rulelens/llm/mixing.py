@@ -54,7 +54,11 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
 
 
 def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` joined with its source's row of ``targets`` and ``copies``, the times the mix takes each document."""
+    """``docs`` joined with its source's row of ``targets`` and ``copies``, the times the mix takes each document.
+
+    Columns of ``docs`` named like one of ``targets`` or ``copies`` are replaced; ``mix`` keeps them all.
+    """
+    docs = docs.drop(*(c for c in [*targets.columns, "copies"] if c != "source"))
     side = small_side(cut(targets)).withColumnRenamed("source", "target_source")
     joined = docs.join(side, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
     draw = unit_hash(F.lit(seed), F.col("doc_id").cast("string"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import batches, cut, small_side, text_batches
+from rulelens.llm.common import BROADCAST_ROWS, batches, cut, small_side, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Plans tried, the one with the fewest sequences wins: number of groups for the rounding, and places that a sequence of
@@ -46,21 +46,33 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether merging by id, after splitting by PATTERN, gives the ids of this tokenizer."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    if not plain or model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    made = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip([-1, *made], made))  # noqa: B905  merges come in the order of their ids
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """Function from text to ids for the byte-level BPE file at ``path`` (special strings become their ids).
 
-    The same merges run in tiktoken, which is several times faster; texts that hold a special token's string go to
-    the tokenizer itself.
+    The same merges run in tiktoken, which is several times faster, where the file is of that plain kind; other files,
+    and texts that hold a special token's string, go to the tokenizer itself.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec.get("added_tokens", [])]
-    chars = byte_of_char()
-    ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = None
+    if byte_level(spec):
+        chars = byte_of_char()
+        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @lru_cache(maxsize=1)
     def whole():
@@ -69,7 +81,7 @@ def encoder(path: str):
         return Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if fast is None or any(s in text for s in special):
             return np.array(whole().encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
@@ -271,17 +283,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += length
         ids += n
     salts = max(64, -(-max(counts.values(), default=0) // 10_000))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = salted.groupBy("length", "_salt").count()
-    before = before.select("length", "_salt", F.coalesce(F.sum("count").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("_own", own).join(small_side(cut(before)), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
-    table = spark.createDataFrame(slots, "_length long, _from long, _to long, _first long, offset long")
-    return (
-        ranked.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-        .withColumn("sequence_id", F.col("_first") + F.col("_rank") - F.col("_from"))
-        .select(*pieces.columns, "sequence_id", "offset")
-    )
+    salted = pieces.select(F.struct("*").alias("row"), F.col("length").alias("size"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).alias("salt"))
+    before = salted.groupBy("size", "salt").count()
+    before = before.select("size", "salt", F.coalesce(F.sum("count").over(W.partitionBy("size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("size", "salt").orderBy("row.doc_id", "row.piece", "row.ids_crc32"))
+    ranked = salted.withColumn("own", own).join(small_side(cut(before)), ["size", "salt"]).select("row", "size", (F.col("before") + F.col("own") - 1).alias("rank"))
+    table = spark.createDataFrame(slots, "size long, from long, to long, first long, place long")
+    table = F.broadcast(table) if len(slots) <= BROADCAST_ROWS else table
+    placed = ranked.join(table, (ranked["size"] == table["size"]) & (ranked["rank"] >= table["from"]) & (ranked["rank"] < table["to"]))
+    return placed.select("row.*", (F.col("first") + F.col("rank") - F.col("from")).alias("sequence_id"), F.col("place").alias("offset"))
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -298,7 +308,12 @@ def default_tokenizer() -> str:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Places of all pieces of ``docs(doc_id, text)``: one row per piece."""
+    """Places of all pieces of ``docs(doc_id, text)``: one row per piece; extra columns are left out.
+
+    Null and empty texts are documents of the end id alone. Only texts of more tokens than the capacity are cut, however
+    long. Repeated rows are packed each; an empty table gives an empty result. Pieces of one length take their places
+    by doc_id, piece and content; equal ones may change places, which changes nothing else.
+    """
     return place(cut(token_pieces(docs, tokenizer or default_tokenizer()))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
