@@ -11,7 +11,7 @@ from rulelens.operators import coverage as C
 from rulelens.operators import trending as T
 from rulelens.plans.registry import query
 from rulelens.plans.search_queries import DERIVED, RESOLVE, ROW, score_sql, sql_list, with_tactics
-from rulelens.sources.corpus import CAT, DET, catalog, detections, read, remap
+from rulelens.sources.corpus import CAT, DET, catalog, detections, read, remap, spread
 
 
 @query("compare_technique", f"WITH {DET} SELECT doc_id, id, source, severity FROM det WHERE list_contains(mitre_techniques, 'T1011')")
@@ -26,7 +26,7 @@ def compare_keyword(spark, sf):
 
 @query("compare_platform", f"WITH {DET} SELECT source, count(*) AS n FROM det WHERE {score_sql('lower(detection_logic)', dims.PLATFORMS)} = 'azure' GROUP BY source")
 def compare_platform(spark, sf):
-    rules = detections(spark, sf, False).select("source", N.platform(F.col("detection_logic")).alias("platform"))
+    rules = spread(detections(spark, sf, False).select("source", "detection_logic")).select("source", N.platform(F.col("detection_logic")).alias("platform"))
     return P.per_source(P.compare(rules, platform="AZURE"))
 
 
@@ -250,7 +250,7 @@ def trending_techniques(spark, sf):
 @query("trending_platforms", f"""WITH {RECENT}, t AS (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS platform, source, rule_modified_date FROM recent)
 SELECT platform, count(*) AS n, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, strftime(max(rule_modified_date), '%Y-%m-%d %H:%M:%S') AS last FROM t WHERE platform <> '' GROUP BY platform ORDER BY n DESC, platform LIMIT 20""")
 def trending_platforms(spark, sf):
-    rules = detections(spark, sf, False).select("source", "rule_modified_date", N.platform(F.col("detection_logic")).alias("platform"))
+    rules = spread(detections(spark, sf, False).select("source", "rule_modified_date", "detection_logic")).select("source", "rule_modified_date", N.platform(F.col("detection_logic")).alias("platform"))
     return T.platforms(rules, as_of(), 90).select("platform", "n", "sources", iso("last"))
 
 

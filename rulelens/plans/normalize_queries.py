@@ -8,7 +8,7 @@ from rulelens.functions import dims
 from rulelens.functions import normalize as N
 from rulelens.plans.registry import query
 from rulelens.plans.search_queries import score_sql, sql_list
-from rulelens.sources.corpus import DET, detections, read
+from rulelens.sources.corpus import DET, detections, read, spread
 
 
 def pick(values: list, by: str):
@@ -99,12 +99,12 @@ def label_map(spark, sf):
 
 @query("classify_score", f"SELECT page_id, {score_sql('lower(html)', dims.PLATFORMS)} AS platform FROM pages")
 def classify_score(spark, sf):
-    return read(spark, sf, "pages").select("page_id", N.platform(F.col("html")).alias("platform"))
+    return spread(read(spark, sf, "pages").select("page_id", "html")).select("page_id", N.platform(F.col("html")).alias("platform"))
 
 
 @query("classify_category", f"SELECT page_id, {score_sql('lower(html)', dims.EVENT_CATEGORIES)} AS event_category FROM pages")
 def classify_category(spark, sf):
-    return read(spark, sf, "pages").select("page_id", N.event_category(F.col("html")).alias("event_category"))
+    return spread(read(spark, sf, "pages").select("page_id", "html")).select("page_id", N.event_category(F.col("html")).alias("event_category"))
 
 
 FIRST = ["bolt", "ring", "red", "widget"]
@@ -125,7 +125,7 @@ SELECT topic, keyword, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w JOIN
 def keyword_hits(spark, sf):
     """Token mode: explode the tokens and join the keywords, for keyword lists too long for an expression."""
     words = spark.createDataFrame(TOPIC_ROWS, "topic string, keyword string")
-    tokens = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), F.lit(0))).alias("keyword"))
+    tokens = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), F.lit(0))).alias("keyword"))
     per_doc = tokens.join(F.broadcast(words), "keyword").groupBy("topic", "keyword", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("topic", "keyword").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 

@@ -9,7 +9,7 @@ from rulelens.functions import normalize as N
 from rulelens.operators import coverage as C
 from rulelens.operators import search as S
 from rulelens.plans.registry import query
-from rulelens.sources.corpus import CAT, DET, REMAP_SQL, catalog, detections, read, remap
+from rulelens.sources.corpus import CAT, DET, REMAP_SQL, catalog, detections, read, remap, spread
 
 ROW = ["doc_id", "id", "source", "severity"]
 
@@ -135,7 +135,7 @@ def severity_pivot(spark, sf):
 
 @query("platform_dist", f"WITH {DET} SELECT coalesce(nullif(p, ''), 'unknown') AS platform, count(*) AS n FROM (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS p FROM det) GROUP BY 1")
 def platform_dist(spark, sf):
-    p = detections(spark, sf, False).select(N.platform(F.col("detection_logic")).alias("p"))
+    p = spread(detections(spark, sf, False).select("detection_logic")).select(N.platform(F.col("detection_logic")).alias("p"))
     return p.groupBy(F.coalesce(F.nullif("p", F.lit("")), F.lit("unknown")).alias("platform")).agg(F.count("*").alias("n"))
 
 
@@ -150,6 +150,6 @@ def source_counts(spark, sf):
 c AS (SELECT {score_sql('lower(detection_logic)', dims.PLATFORMS)} AS p FROM det)
 SELECT p AS platform, coalesce(display_name, 'Unknown') AS display_name, coalesce(category, '') AS category, count(*) AS n FROM c LEFT JOIN plat ON plat.id = p GROUP BY ALL""")
 def dim_lookup(spark, sf):
-    used = detections(spark, sf, False).select(N.platform(F.col("detection_logic")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    used = spread(detections(spark, sf, False).select("detection_logic")).select(N.platform(F.col("detection_logic")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     out = used.join(F.broadcast(dims.platforms(spark)), "id", "left")
     return out.select(F.col("id").alias("platform"), F.coalesce("display_name", F.lit("Unknown")).alias("display_name"), F.coalesce("category", F.lit("")).alias("category"), "n")

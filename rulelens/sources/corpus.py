@@ -9,10 +9,24 @@ from rulelens.functions import dims
 from rulelens.functions import normalize as N
 
 
+SPREAD_BYTES = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for heavy work on the texts of a table that is small and of fewer files than cores.
+
+    One task reads a row group whole, so such a table would be worked on by a few tasks. Others stay as they are: what is
+    dealt out anew is at most SPREAD_BYTES a core, whatever the cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def detections(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """One detection per document. Columns that a query does not use are pruned, the texts included.
 
