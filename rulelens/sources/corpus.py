@@ -23,7 +23,7 @@ def spread(df: DataFrame) -> DataFrame:
     dealt out anew is at most SPREAD_BYTES a core, whatever the cluster.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SPREAD_BYTES and len(df.inputFiles()) < cores else df
 
 
