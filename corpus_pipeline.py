@@ -13,27 +13,45 @@ from rulelens.llm.common import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go.
+
+    Null and empty texts stay; repeated rows go or stay together; an empty table stays empty; all columns stay.
+    """
     return toxicity.reject(docs, toxicity.fit(*toxicity.learning_rows(spark, docs, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest doc_id.
+
+    Null and empty texts and rows without doc_id stay; of rows that repeat a doc_id one stays; an empty table stays
+    empty; all columns stay.
+    """
     return minhash_dedup.drop_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that still occur more than once are cut out of the texts."""
+    """Long strings that still occur more than once are cut out of the texts.
+
+    All rows and columns stay; null, empty and short texts are unchanged; rows that repeat as a whole lose all their
+    long strings; an empty table stays empty.
+    """
     return suffix_dedup.remove_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources come near their target weights."""
+    """Documents are repeated or left out so that sources come near their target weights.
+
+    A null source is a source; null and empty texts weigh nothing and go with their source's rate; rows that repeat a
+    doc_id share its draw; an empty table stays empty; all columns stay.
+    """
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their places in as few sequences as possible."""
+    """Pieces of at most 1024 tokens with their places in as few sequences as possible.
+
+    Null and empty texts are an end id alone; repeated rows are packed each; an empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 
