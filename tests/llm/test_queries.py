@@ -1,5 +1,6 @@
 import pytest
 from tests import oracle
+from tests.llm import cases
 from tests.conftest import SF
 
 import corpus_pipeline
@@ -48,3 +49,17 @@ def test_pipeline(spark, tmp_path):
     first = packed.where("piece = 0")
     assert first.count() == mixed.count()
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).head()[0] <= 1024
+
+
+@pytest.mark.parametrize("table", [cases.awkward, cases.empty])
+def test_pipeline_stages_on_awkward_and_empty_tables(spark, tmp_path, table):
+    docs = table(spark)
+    columns, n = docs.columns, docs.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
+        if not n:
+            assert docs.count() == 0
+        elif name == "minhash_dedup":
+            assert {1, 2, 3} <= {r.doc_id for r in docs.collect()}
