@@ -140,6 +140,21 @@ def test_top_k_against_all_pairs(spark, monkeypatch):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_top_k_of_several_dimensions_eliminates_pairs(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (40 * rng.normal(size=8)[:, None] * np.eye(8)[i % 8][:, None] + rng.normal(size=(8, 1))).ravel().round().astype(int).tolist()[: 8 - 3 * (i % 10 == 0)]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, vec array<long>").repartition(5)
+    count = spark.sparkContext.accumulator(0)
+    got = {(r.query_id, r["rank"]): (r.score, r.vec_id) for r in topk.top_k(table, table.where("vec_id % 75 = 0"), evaluated=count).collect()}
+    pairs = 0
+    for q, v in rows[::75]:
+        own = [(-int(np.dot(v, x)), i) for i, x in rows if len(x) == len(v) and i != q]
+        pairs += len(own)
+        assert [got[q, k + 1] for k in range(10)] == [(-s, i) for s, i in sorted(own)[:10]]
+    assert len(got) == 400
+    assert 0 < count.value < pairs / 2
+
+
 def test_large_products_stay_exact():
     q = np.array([[1 << 40, 3]], dtype=np.int64)
     assert topk.products(q, np.array([[1 << 20, 5]], dtype=np.int64)).tolist() == [[(1 << 60) + 15]]
