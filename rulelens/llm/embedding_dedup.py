@@ -250,48 +250,77 @@ def centroids(points: DataFrame, shard: int, most: int, sample: int) -> dict[tup
     return out
 
 
-def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, reach: dict[tuple, np.ndarray] | None = None) -> DataFrame:
-    """``points`` with ``shards``, the numbers of the nearest centroids of its label (0 where it has none), and ``asks``.
+def by_label(pdf: pd.DataFrame, most: int = 512):
+    """(label, dim), row positions and the matrix of their vectors, at most ``most`` rows at a time."""
+    for key, own in pdf.groupby(["label", "dim"], dropna=False).indices.items():
+        for lo in range(0, len(own), most):
+            at = own[lo : lo + most]
+            yield key, at, np.array(pdf.vec.iloc[at].tolist(), dtype=float)
+
+
+def nearest(x: np.ndarray, centers: np.ndarray, count: int) -> np.ndarray:
+    """Numbers of the ``count`` centroids (all, if fewer) nearest to every row of ``x``, the nearest first."""
+    near = -(x @ centers.T)
+    some = np.argpartition(near, min(count, len(centers)) - 1, axis=1)[:, :count]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
-    ``asks`` are the shards that a vector is compared in: the same, or with ``reach`` all centroids at most that far.
-    """
-    shared = points.sparkSession.sparkContext.broadcast((centers, reach))  # at most CENTROIDS_MOST vectors
+
+def assign(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int) -> DataFrame:
+    """``points`` with ``shards``, the numbers of the nearest centroids of its label (0 where it has none)."""
+    shared = points.sparkSession.sparkContext.broadcast(centers)  # at most CENTROIDS_MOST vectors
 
     def run(frames):
         for pdf in frames:
-            shards, asks = [], []
-            for label, dim, vec in zip(pdf.label, pdf.dim, pdf.vec, strict=True):
-                c = shared.value[0].get((label, dim))
-                shards.append([0] if c is None else np.argsort(-(c @ vec), kind="stable")[:overlap].tolist())
-                asks.append(shards[-1] if c is None or shared.value[1] is None else np.flatnonzero(angles(c, vec) <= shared.value[1][label, dim]).tolist())
-            pdf["shards"], pdf["asks"] = shards, asks
-            yield pdf[["rep", "label", "dim", "vec", "copies", "shards", "asks"]]
+            shards = np.full(len(pdf), None, dtype=object)
+            for key, at, x in by_label(pdf):
+                own = nearest(x, shared.value[key], overlap).tolist() if key in shared.value else [[0]] * len(at)
+                for i, numbers in zip(at, own, strict=True):
+                    shards[i] = numbers
+            yield pdf.assign(shards=shards)
 
-    return points.mapInPandas(run, points.schema.simpleString()[7:-1] + ",shards:array<int>,asks:array<int>")
+    return points.mapInPandas(run, points.schema.simpleString()[7:-1] + ",shards:array<int>")
 
 
-def angles(centers: np.ndarray, vec: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(centers @ vec / np.linalg.norm(vec), -1, 1))
+def angles(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The angle of every row of ``x`` with every unit centroid."""
+    return np.arccos(np.clip(x @ centers.T / np.linalg.norm(x, axis=1, keepdims=True), -1, 1))
 
 
-def reaches(points: DataFrame, centers: dict[tuple, np.ndarray], threshold: float) -> dict[tuple, np.ndarray]:
-    """How far from each centroid a vector can be that links with one whose nearest centroid it is (the angles' triangle inequality)."""
-    shared = points.sparkSession.sparkContext.broadcast(centers)
+def reaches(placed: DataFrame, centers: dict[tuple, np.ndarray], threshold: float) -> dict[tuple, np.ndarray]:
+    """How far from each centroid a vector can be that links with one whose first shard it is (the angles' triangle inequality)."""
+    shared = placed.sparkSession.sparkContext.broadcast(centers)
 
     def run(frames):
         for pdf in frames:
-            pdf = pdf[[key in shared.value for key in zip(pdf.label, pdf.dim, strict=True)]]
-            cells = [(c := shared.value[key], int(np.argsort(-(c @ vec), kind="stable")[0]), vec) for *key, vec in zip(pdf.label, pdf.dim, pdf.vec, strict=True) for key in [tuple(key)]]
-            far = [float(angles(c[i : i + 1], vec)[0]) for c, i, vec in cells]
-            yield pd.DataFrame({"label": pdf.label.to_numpy(), "dim": pdf.dim.to_numpy(), "cell": [i for _, i, _ in cells], "far": far})
+            for key, at, x in by_label(pdf):
+                if key in shared.value:
+                    own = pdf.iloc[at]
+                    cell = own.shards.str[0].to_numpy(dtype=int)
+                    yield pd.DataFrame({"label": own.label, "dim": own.dim, "cell": cell, "far": angles(x, shared.value[key])[np.arange(len(x)), cell]})
 
-    schema = points.select("label", "dim").schema.simpleString()[7:-1]
+    schema = placed.select("label", "dim").schema.simpleString()[7:-1]
     out = {key: np.full(len(c), -1.0) for key, c in centers.items()}
-    for r in points.mapInPandas(run, schema + ",cell:int,far:double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far")).collect():  # a row for each centroid
+    for r in placed.mapInPandas(run, schema + ",cell:int,far:double").groupBy("label", "dim", "cell").agg(F.max("far").alias("far")).collect():  # a row for each centroid
         out[r.label, r.dim][r.cell] = r.far + math.acos(threshold) + 1e-6
     return out
 
 
+def asked_shards(placed: DataFrame, centers: dict[tuple, np.ndarray], reach: dict[tuple, np.ndarray]) -> DataFrame:
+    """``placed`` with ``asks``, all shards that can hold a link of the vector: those whose centroid is within its reach."""
+    shared = placed.sparkSession.sparkContext.broadcast((centers, reach))
+
+    def run(frames):
+        for pdf in frames:
+            asks = pdf.shards.to_numpy(dtype=object, copy=True)
+            for key, at, x in by_label(pdf):
+                if key in shared.value[0]:
+                    for i, near in zip(at, angles(x, shared.value[0][key]) <= shared.value[1][key], strict=True):
+                        asks[i] = np.flatnonzero(near).tolist()
+            yield pdf.assign(asks=asks)
+
+    return placed.mapInPandas(run, placed.schema.simpleString()[7:-1] + ",asks:array<int>")
+
+
 def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int, whole: bool = False) -> DataFrame:
     """(rep, links, root): link counts per shard, and for each linked vector the smallest one it is connected to there.
 
@@ -300,14 +329,15 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
     every shard that can hold a link of it, so that the result is exact.
     """
     keys = ["label", "dim", "shard"]
-    placed = cut(assign(points, centers, 1 if whole else overlap, reaches(points, centers, threshold) if whole else None))
-    wide = placed.withColumn("shard", F.explode("shards")).drop("asks")
+    placed = cut(assign(points, centers, 1 if whole else overlap))
+    wide = placed.withColumn("shard", F.explode("shards"))
     parts = wide.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     parts, part = cut(parts), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     wide = cut(wide.join(parts, keys).withColumn("part", part))
     asks = wide
     if whole:
-        asks = placed.withColumn("shard", F.explode("asks")).drop("asks").withColumn("shards", F.array().cast("array<int>")).join(parts, keys).withColumn("part", part)
+        found = asked_shards(placed, centers, reaches(placed, centers, threshold))
+        asks = found.withColumn("shard", F.explode("asks")).drop("asks").withColumn("shards", F.array().cast("array<int>")).join(parts, keys).withColumn("part", part)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf.vec)
