@@ -275,6 +275,12 @@ def linked_in_buckets(rows: DataFrame, tokens: DataFrame, similarity: float) ->
     return each.join(tokens, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
+def one_document(member: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of a doc_id that stands on several texts; ``member(doc_id, rep)``."""
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top")
+    return member.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, class_id (smallest doc_id of its group), kept.
 
@@ -295,7 +301,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = cut(rows.join(lead.select("key", "b"), "key"))
     tokens = cut(token_table(docs, cut(shared.select("rep").distinct())))
     first = cut(shared.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
-    links = cut(verified(first, tokens, similarity))
+    member = cut(named.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).select("doc_id", "rep"))
+    links = cut(verified(first, tokens, similarity).union(one_document(member)))
     comp = cut(components(links))
 
     placed = cut(shared.select("key", "rep", "n").join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
@@ -304,7 +311,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if more.head() is not None:
         comp = cut(components(links.union(more)))
 
-    member = named.select("doc_id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
     member = member.join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     member = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = table.select("doc_id").join(member, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

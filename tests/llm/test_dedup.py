@@ -92,6 +92,15 @@ def test_near_duplicates_awkward(spark):
     assert minhash_dedup.drop_near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_a_document_of_two_texts_unites_their_groups(spark):
+    rng = random.Random(12)
+    x, y, z = (cases.words(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([cases.row(*r) for r in ((5, x), (5, y), (2, x), (7, y), (8, y), (9, z))], cases.SCHEMA)
+    got = {(r.doc_id, r.class_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {(5, 2, False), (2, 2, True), (7, 2, False), (8, 2, False), (9, 9, True)}
+    assert sorted(r.doc_id for r in minhash_dedup.drop_near_duplicates(docs).collect()) == [2, 9]
+
+
 def test_alignment_is_banded_and_ordered():
     a = np.arange(100, dtype=np.int64)
     assert minhash_dedup.alignment(a, a, 0.8) == 1.0
