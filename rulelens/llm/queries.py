@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rulelens.llm import embedding_dedup, language_id, license_scan, minhash_dedup, mixing, packing, quality, suffix_dedup, topk, toxicity
+from rulelens.llm import alignment, conversations, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, packing, quality, sharding, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality": quality.op10_quality,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_conversations": conversations.op13_conversations,
 }
 ORACLES = {
     "op1_mixing": mixing.OP1_SQL,
     "op4_embedding_dedup": embedding_dedup.OP4_SQL,
     "op6_topk": topk.OP6_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
+    "op13_conversations": conversations.OP13_SQL,
 }
