@@ -57,7 +57,11 @@ def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def refresh(rows: DataFrame, path: str, by: str = "source") -> DataFrame:
-    """Replace the partitions of ``path`` that ``rows`` holds, after the plan has succeeded; others stay. Returns the table."""
+    """Replace the partitions of ``path`` that ``rows`` holds, after the plan has succeeded; others stay. Returns the table.
+
+    A source without rows keeps its old ones here, as a folder of partitions cannot be told of it; versions that can
+    empty a source are in ``store.snapshots``.
+    """
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
@@ -65,15 +69,17 @@ def refresh(rows: DataFrame, path: str, by: str = "source") -> DataFrame:
 def merge_rows(rows: DataFrame, path: str, key: str = "id", by: str = "source") -> DataFrame:
     """Put ``rows`` in place of those of the same key in the partitions of ``path`` that they fall into. Returns the table.
 
-    The touched partitions are read, merged by an anti join on the key and written anew; others stay.
+    The touched partitions are read, merged by an anti join on the key and written anew; others stay. A null partition or
+    key is one like others.
     """
     spark = rows.sparkSession
     try:
         table = spark.read.parquet(path)
     except AnalysisException:  # no table yet
         return refresh(rows, path, by)
-    touched = table.join(rows.select(by).distinct(), by, "left_semi")
-    merged = rows.unionByName(touched.join(rows.select(by, key), [by, key], "left_anti"))
+    theirs = rows.select(F.col(by).alias("_by"), F.col(key).alias("_key"))
+    touched = table.join(theirs.select("_by").distinct(), F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+    merged = rows.unionByName(touched.join(theirs, F.col(by).eqNullSafe(F.col("_by")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti"))
     return refresh(merged, path, by)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -80,11 +81,27 @@ def file_counts(files: DataFrame, specs: dict[str, Discovery] | None = None) ->
     return files.groupBy("source").agg(F.count_if(hit).alias("n_files"))
 
 
+def escaped_glob(root: str) -> str:
+    """A folder's name with the characters that file systems take for patterns escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", root)
+
+
+def relative_path(spark: SparkSession, path: Column, root: str) -> Column:
+    """``path`` below ``root``, whatever the root and however often its name occurs: the same id follows on any mount.
+
+    The root is taken as a literal prefix, in the form that the file system itself gives its files. Paths are file paths, so
+    nothing in them is decoded.
+    """
+    jvm = spark._jvm
+    own = jvm.org.apache.hadoop.fs.Path(root)
+    prefix = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString().rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), content (null where it is not UTF-8) of all files below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    return files.select(F.replace(below, F.lit("%20"), F.lit(" ")).alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(escaped_glob(root))
+    return files.select(relative_path(spark, F.col("path"), root).alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
 
 
 def decoded_json(content: str, form: str) -> str | None:

@@ -1,6 +1,6 @@
 import pytest
 
-from rulelens.plans import compare_queries, ingest_queries, normalize_queries, search_queries  # noqa: F401
+from rulelens.plans import compare_queries, ingest_queries, normalize_queries, search_queries, store_queries  # noqa: F401
 from rulelens.plans.registry import ORACLES, QUERIES
 from tests import oracle
 from tests.conftest import SF
