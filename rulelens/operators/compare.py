@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rulelens.operators.search import any_element, contains_text
@@ -33,19 +36,48 @@ def gap(items: DataFrame, base: object, other: object, group: str = "grp", item:
     return items.where(F.col(group).isin(base, other)).groupBy(item).agg(flag(base).alias("in_base"), flag(other).alias("in_other"))
 
 
+#: Items whose sets of groups a task turns into pair counts at once, and groups of a tile of the product.
+ITEMS_AT_ONCE, TILE = 8192, 2048
+
+
+def set_overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b, overlap of different groups: how many of the items' sets hold both, by products of bit matrices, tile by tile."""
+    for pdf in frames:
+        for lo in range(0, len(pdf), ITEMS_AT_ONCE):
+            sets = pdf.groups.iloc[lo : lo + ITEMS_AT_ONCE]
+            row = np.repeat(np.arange(len(sets)), sets.map(len))
+            names, code = np.unique(np.concatenate(sets.to_list()), return_inverse=True)
+            tiles = []
+            for at in range(0, len(names), TILE):
+                bits = np.zeros((len(sets), min(TILE, len(names) - at)), dtype=np.float32)
+                here = (code >= at) & (code < at + TILE)
+                bits[row[here], code[here] - at] = 1
+                tiles.append((at, bits))
+            for s, left in tiles:
+                for t, right in tiles:
+                    both = left.T @ right  # whole numbers below 2^24 are exact
+                    a, b = np.nonzero(both)
+                    off = a + s != b + t
+                    a, b = a[off], b[off]
+                    yield pd.DataFrame({"a": names[a + s], "b": names[b + t], "overlap": both[a, b].astype(np.int64)})
+
+
 def gap_all_pairs(items: DataFrame, group: str = "grp", item: str = "item") -> DataFrame:
-    """Every ordered pair of groups: sizes of both, overlap, missing in the second.
+    """Every ordered pair of groups: sizes of both, overlap, missing in the second. Null groups and items do not count.
 
-    The join is on the item over distinct (group, item), so its output is bounded by items x groups^2; groups are
-    sources, few by nature.
+    Each item gets the set of its groups; pairs are counted from the sets within tasks, as products of bit matrices, before
+    anything is shuffled: no item is joined with itself. The result has a row for each pair of groups.
     """
-    one = items.select(F.col(group).alias("a"), F.col(item).alias("i")).where("a is not null and i is not null").distinct()
-    size = one.groupBy("a").agg(F.count("*").alias("n"))
-    both = one.join(one.select(F.col("a").alias("b"), "i"), "i").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("overlap"))
-    listed = size.agg(F.collect_list(F.struct("a", "n")).alias("s"))  # one entry per source, as the output has one row per pair
-    pairs = listed.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x.a <> y.a")
-    pairs = pairs.select("x.a", F.col("y.a").alias("b"), F.col("x.n").alias("base_n"), F.col("y.n").alias("other_n"))
-    return pairs.join(both, ["a", "b"], "left").select("a", "b", "base_n", "other_n", F.coalesce("overlap", F.lit(0)).alias("overlap"), (F.col("base_n") - F.coalesce("overlap", F.lit(0))).alias("gap"))
+    one = items.select(F.col(group).alias("g"), F.col(item).alias("i")).where("g is not null and i is not null")
+    kind = one.schema["g"].dataType.simpleString()
+    sets = one.groupBy("i").agg(F.collect_set("g").alias("groups")).select("groups")
+    both = sets.mapInPandas(set_overlaps, f"a {kind}, b {kind}, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    size = one.distinct().groupBy("g").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.orderBy("g")))
+    last = size.agg(F.max("k").alias("last"), F.lit(1).alias("_one"))
+    left = size.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").select(F.col("g").alias("a"), F.col("n").alias("base_n"), "k", F.explode(F.sequence(F.lit(1), "last")).alias("other"))
+    pairs = left.where("k <> other").join(size.select(F.col("g").alias("b"), F.col("n").alias("other_n"), F.col("k").alias("other")), "other")
+    overlap = F.coalesce("overlap", F.lit(0))
+    return pairs.join(both, ["a", "b"], "left").select("a", "b", "base_n", "other_n", overlap.alias("overlap"), (F.col("base_n") - overlap).alias("gap"))
 
 
 def unpivoted(rows: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -59,8 +59,12 @@ def derive_tactics(tags: DataFrame, table: DataFrame, catalog: DataFrame) -> Dat
 def matrix(counts: DataFrame, catalog: DataFrame, sources: Sequence[str], tactic: str | None = None, subtechniques: bool = True) -> DataFrame:
     """One row per (tactic, valid technique): counts per source (zero-filled), total and n_sources, in kill-chain order.
 
-    ``counts`` is a roll-up. An unknown tactic raises ValueError.
+    A wide report of chosen ``sources``, each a column, so none may have the name of another column; ``long_matrix`` takes
+    any. ``counts`` is a roll-up. An unknown tactic, and a source of such a name, raise ValueError.
     """
+    clash = {"ord", "tactic", "technique", "name", "is_subtechnique", "total", "n_sources"} & set(sources)
+    if clash:
+        raise ValueError(f"sources named like columns: {sorted(clash)}")
     if tactic is not None:
         tactic = tactic.upper()
         if tactic not in {r[0] for r in dims.TACTICS}:
@@ -79,6 +83,83 @@ def matrix(counts: DataFrame, catalog: DataFrame, sources: Sequence[str], tactic
     return out.select(F.element_at(order, F.col("tactic")).alias("ord"), "tactic", "technique", "name", "is_subtechnique", *filled, total.cast("long").alias("total"), several.alias("n_sources")).orderBy("ord", "is_subtechnique", "technique")
 
 
+# ---------------------------------------------------------------- the matrix in long form: any number of sources, any names
+
+
+def cells(catalog: DataFrame, tactic: str | None = None, subtechniques: bool = True) -> DataFrame:
+    """ord, tactic, technique, name, is_subtechnique of every valid technique under each of its tactics."""
+    if tactic is not None:
+        tactic = tactic.upper()
+        if tactic not in {r[0] for r in dims.TACTICS}:
+            raise ValueError(f"unknown tactic {tactic}")
+    order = F.create_map(*(F.lit(x) for k, r in enumerate(dims.TACTICS) for x in (r[0], k)))
+    out = valid(catalog).select(F.col("id").alias("technique"), "name", "is_subtechnique", F.explode("tactics").alias("tactic"))
+    if tactic:
+        out = out.where(F.col("tactic") == tactic)
+    if not subtechniques:
+        out = out.where("not is_subtechnique")
+    return out.select(F.element_at(order, F.col("tactic")).alias("ord"), "tactic", "technique", "name", "is_subtechnique")
+
+
+def levels(counts: DataFrame) -> DataFrame:
+    """technique, source, n, n_sources and of_all from a roll-up, by grouping sets: one row per technique and source, and one
+    of all sources together (``of_all``). A null source is a source."""
+    sets = counts.groupingSets([["technique", "source"], ["technique"]], "technique", "source")
+    return sets.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("n_sources"), (F.grouping("source") == 1).alias("of_all"))
+
+
+def long_matrix(counts: DataFrame, catalog: DataFrame, sources: DataFrame, tactic: str | None = None, subtechniques: bool = True) -> DataFrame:
+    """One row per cell of the catalog and source of ``sources``: n (zero-filled), total and n_sources of the cell.
+
+    ``counts`` is a roll-up. Sources may be any number of any names, null too; nothing runs while the plan is made. The
+    result has a row for each cell and source by definition; the catalog-sized cells are what is copied to the sources.
+    """
+    each = levels(counts)
+    own = each.where("not of_all").select(F.col("technique").alias("_t"), F.col("source").alias("_s"), "n")
+    total = each.where("of_all").select("technique", F.col("n").alias("total"), "n_sources")
+    grid = sources.select("source").distinct().crossJoin(F.broadcast(cells(catalog, tactic, subtechniques).join(total, "technique", "left")))
+    out = grid.join(own, (F.col("technique") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return out.select("ord", "tactic", "technique", "name", "is_subtechnique", "source", zero("n", "long"), zero("total", "long"), zero("n_sources", "int"))
+
+
+def cell_totals(counts: DataFrame, catalog: DataFrame, sources: Sequence[str | None] | None = None, tactic: str | None = None, subtechniques: bool = True) -> DataFrame:
+    """The cells of the catalog with total and n_sources over all sources, or over the chosen ones (None is the null source)."""
+    if sources is not None:
+        some = F.col("source").isin(*(s for s in sources if s is not None)) if any(s is not None for s in sources) else F.lit(False)
+        counts = counts.where(F.coalesce(some, F.lit(False)) | (F.col("source").isNull() if None in sources else F.lit(False)))
+    total = counts.groupBy("technique").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("n_sources"))
+    joined = cells(catalog, tactic, subtechniques).join(total, "technique", "left")
+    return joined.select("ord", "tactic", "technique", "name", "is_subtechnique", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("n_sources", F.lit(0)).cast("int").alias("n_sources"))
+
+
+def long_summary(counts: DataFrame, catalog: DataFrame, sources: DataFrame, compat: bool = False) -> DataFrame:
+    """level ('source' or 'all'), source ('any' for all), covered, techniques, percent over the valid techniques.
+
+    A source may itself be called any: ``level`` tells it from all of them. With ``compat`` a technique counts in the total
+    once for each of its tactics, and once when covered.
+    """
+    grid = cells(catalog)
+    size = grid.agg((F.count("*") if compat else F.count_distinct("technique")).alias("techniques")).withColumn("_k", F.lit(1))
+    used = counts.where("n > 0").join(grid.select("technique").distinct(), "technique", "left_semi")
+    found = used.groupingSets([["source"], []], "source").agg(F.count_distinct("technique").alias("covered"), (F.grouping("source") == 1).alias("of_all"))
+    listed = sources.select("source", F.lit(False).alias("of_all")).distinct()
+    every = listed.unionByName(size.select(F.lit(None).cast("string").alias("source"), F.lit(True).alias("of_all")))
+    own = found.select(F.col("source").alias("_s"), F.col("of_all").alias("_all"), "covered")
+    out = every.join(own, F.col("source").eqNullSafe(F.col("_s")) & (F.col("of_all") == F.col("_all")), "left").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k")
+    covered = F.coalesce("covered", F.lit(0))
+    return out.where("techniques > 0").select(
+        F.when(F.col("of_all"), "all").otherwise("source").alias("level"),
+        F.when(F.col("of_all"), "any").otherwise(F.col("source")).alias("source"),
+        covered.alias("covered"),
+        "techniques",
+        F.round(100.0 * covered / F.col("techniques"), 1).alias("percent"),
+    )
+
+
+# ---------------------------------------------------------------- the matrix as a wide report of chosen sources
+
+
 def known_sources(rules: DataFrame, most: int = 1000) -> list[str]:
     """The sorted sources of ``rules`` for a pivot; more than ``most`` raise ValueError, as each becomes a column."""
     found = [r.source for r in rules.select("source").where("source is not null").distinct().limit(most + 1).collect()]

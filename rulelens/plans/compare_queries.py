@@ -174,45 +174,43 @@ grid AS (SELECT list_position({sql_list([r[0] for r in dims.TACTICS])}, tactic)
   FROM cells c CROSS JOIN (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) s LEFT JOIN each ON each.t = c.technique AND each.source = s.source)"""
 
 
-def grid(spark, sf):
-    """The matrix over all sources of the table, and their names."""
+def counted(spark, sf):
+    """The roll-up over resolved techniques, the catalog, and the sources of the table."""
     cat, rules = catalog(spark, sf), detections(spark, sf, False)
-    sources = C.known_sources(rules)
     tags = C.resolved(C.bridge(rules), C.resolve_table(cat, remap(spark)))
-    return C.matrix(C.rollup(tags, "mapped"), cat, sources), sources
+    return C.rollup(tags, "mapped"), cat, rules.select("source")
 
 
 @query("coverage_matrix", f"WITH {GRID} SELECT *, (sum(n) OVER w)::BIGINT AS total, (count_if(n > 0) OVER w)::INT AS n_sources FROM grid WINDOW w AS (PARTITION BY tactic, technique)")
 def coverage_matrix(spark, sf):
-    return C.by_source(*grid(spark, sf))
+    return C.long_matrix(*counted(spark, sf))
 
 
 @query("coverage_gaps_view", f"WITH {GRID} SELECT tactic, technique FROM grid GROUP BY ALL HAVING sum(CASE WHEN source IN ('src3', 'src4') THEN n ELSE 0 END) = 0")
 def coverage_gaps_view(spark, sf):
     """Cells that src3 and src4 leave open."""
-    cells, sources = grid(spark, sf)
-    two = cells.withColumn("total", sum((F.col(s) for s in ("src3", "src4") if s in sources), F.lit(0)))
-    return C.gaps_view(two, covered=False).select("tactic", "technique")
+    counts, cat, _ = counted(spark, sf)
+    return C.gaps_view(C.cell_totals(counts, cat, ["src3", "src4"]), covered=False).select("tactic", "technique")
 
 
 @query("tactic_percent", f"WITH {GRID}, one AS (SELECT tactic, technique, sum(CASE WHEN source = 'src3' THEN n ELSE 0 END) AS k FROM grid GROUP BY ALL) SELECT tactic, count(*) FILTER (k > 0) AS covered, count(*) AS techniques, round(100 * avg((k > 0)::INT), 0) AS percent FROM one GROUP BY tactic")
 def tactic_percent(spark, sf):
     """Share of each tactic's techniques that src3 covers."""
-    cells, sources = grid(spark, sf)
-    return C.tactic_percent(cells.withColumn("total", F.col("src3") if "src3" in sources else F.lit(0)))
+    counts, cat, _ = counted(spark, sf)
+    return C.tactic_percent(C.cell_totals(counts, cat, ["src3"]))
 
 
 @query("coverage_summary", f"""WITH {GRID}, one AS (SELECT technique, source, max(n) AS n FROM grid GROUP BY ALL), e AS (SELECT * FROM one UNION ALL SELECT technique, 'any', sum(n) FROM one GROUP BY technique)
 SELECT source, count(*) FILTER (n > 0) AS covered, count(*) AS techniques, round(100.0::DOUBLE * count(*) FILTER (n > 0) / count(*), 1) AS percent FROM e GROUP BY source""")
 def coverage_summary(spark, sf):
-    return C.summary(*grid(spark, sf))
+    return C.long_summary(*counted(spark, sf)).drop("level")
 
 
 @query("coverage_summary_compat", f"""WITH {GRID}, e AS (SELECT technique, source, n FROM grid UNION ALL SELECT technique, 'any', sum(n) FROM grid GROUP BY tactic, technique)
 SELECT source, count(DISTINCT technique) FILTER (n > 0) AS covered, count(*) AS techniques, round(100.0::DOUBLE * count(DISTINCT technique) FILTER (n > 0) / count(*), 1) AS percent FROM e GROUP BY source""")
 def coverage_summary_compat(spark, sf):
     """As the summary, but a technique counts once per tactic in the total."""
-    return C.summary(*grid(spark, sf), compat=True)
+    return C.long_summary(*counted(spark, sf), compat=True).drop("level")
 
 
 @query("coverage_star", """SELECT p_type, n_name, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey

@@ -241,3 +241,56 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_gap_of_all_pairs_against_sets(spark):
+    rng = random.Random(7)
+    items = [(rng.randrange(60) or None, f"i{rng.randrange(40)}" if rng.random() > 0.05 else None) for _ in range(900)]
+    sets = {}
+    for g, i in items:
+        if g is not None and i is not None:
+            sets.setdefault(g, set()).add(i)
+    got = {(r.a, r.b): (r.base_n, r.other_n, r.overlap, r.gap) for r in compare.gap_all_pairs(spark.createDataFrame(items, "grp int, item string")).collect()}
+    assert got == {(a, b): (len(x), len(y), len(x & y), len(x - y)) for a, x in sets.items() for b, y in sets.items() if a != b}
+    assert compare.gap_all_pairs(spark.createDataFrame([("a", "x")], "grp string, item string")).count() == 0
+    assert compare.gap_all_pairs(spark.createDataFrame([], "grp string, item string")).count() == 0
+
+
+def test_gap_of_two_thousand_sources(spark):
+    """Every item in every third source; more than one tile of the product."""
+    items = spark.range(2400).select(F.concat(F.lit("s"), F.col("id")).alias("grp"), F.explode(F.array(*(F.lit(k) for k in range(6)))).alias("item")).where("(cast(substring(grp, 2) as int) + item) % 3 = 0")
+    got = compare.gap_all_pairs(items)
+    assert "SortMergeJoin [i" not in got._jdf.queryExecution().toString()
+    n = got.agg(F.count("*").alias("n"), F.sum("overlap").alias("o"), F.max("overlap").alias("m")).head()
+    assert n.n == 2400 * 2399 and n.m == 2 and n.o == 2 * 3 * 800 * 799
+
+
+def test_matrix_of_many_odd_sources(spark):
+    """Null sources and sources named like columns count, whatever their number; nothing runs while the plan is made."""
+    schema = "id string, name string, tactics array<string>, revoked boolean, deprecated boolean, is_subtechnique boolean"
+    cat = spark.createDataFrame([("T1", "one", ["TA0001", "TA0002"], False, False, False), ("T1.001", "sub", ["TA0002"], False, False, True), ("T2", "two", ["TA0040"], False, False, False), ("T3", "gone", ["TA0040"], True, False, False)], schema)
+    names = [None, "total", "any", "name", "technique", "source", "", *(f"s{i}" for i in range(5000))]
+    rules = spark.createDataFrame([(s, f"r{k}", ["T1.001"] if k % 2 else ["T1", "T9"]) for k, s in enumerate(names)], "source string, id string, mitre_techniques array<string>")
+    status = spark.sparkContext.statusTracker()
+    before = len(status.getJobIdsForGroup())
+    counts = coverage.rollup(coverage.bridge(rules))
+    matrix, summary = coverage.long_matrix(counts, cat, rules), coverage.long_summary(counts, cat, rules)
+    assert len(status.getJobIdsForGroup()) == before
+    cell = lambda s, t: matrix.where(F.col("source").eqNullSafe(F.lit(s)) & (F.col("technique") == t)).select("n", "total", "n_sources").distinct().collect()
+    assert matrix.count() == len(names) * 4
+    total = len(names)
+    assert cell(None, "T1") == [(1, total, total)] and cell("total", "T1.001") == [(1, total // 2, total // 2)] and cell("any", "T1.001") == [(0, total // 2, total // 2)] and cell("name", "T2") == [(0, 0, 0)]
+    odd = {(r.level, r.source): (r.covered, r.techniques, r.percent) for r in summary.collect()}
+    assert odd["all", "any"] == (2, 3, 66.7) and odd["source", "any"] == (1, 3, 33.3) and odd["source", "total"] == (2, 3, 66.7) and odd["source", None] == (1, 3, 33.3) and len(odd) == total + 1
+    compat = {(r.level, r.source): (r.covered, r.techniques) for r in coverage.long_summary(counts, cat, rules, compat=True).collect()}
+    assert compat["all", "any"] == (2, 4)
+    totals = {r.technique: (r.total, r.n_sources) for r in coverage.cell_totals(counts, cat, [None, "any"]).collect()}
+    assert totals == {"T1": (2, 2), "T1.001": (0, 0), "T2": (0, 0)}
+    assert [r.technique for r in coverage.gaps_view(coverage.cell_totals(counts, cat, tactic="ta0002", subtechniques=False), covered=True).collect()] == ["T1"]
+    empty = rules.limit(0)
+    none = coverage.rollup(coverage.bridge(empty))
+    assert coverage.long_matrix(none, cat, empty).count() == 0 and [tuple(r)[2:] for r in coverage.long_summary(none, cat, empty).collect()] == [(0, 3, 0.0)]
+    with pytest.raises(ValueError):
+        coverage.matrix(counts, cat, ["total"])
+    with pytest.raises(ValueError):
+        coverage.cells(cat, "ta9999")
