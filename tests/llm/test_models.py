@@ -188,3 +188,45 @@ def test_attention_gradient():
         down = loss()
         p[at] = old
         assert (up - down) / (2 * eps) == pytest.approx(g[at] - 1e-4 * old, abs=1e-5)
+
+
+def test_clean_texts_of_any_length_stay_clean():
+    """Marked words that chance puts into clean texts do not add up; more of them than chance, or a strong one, do."""
+    rng = random.Random(3)
+    chance, strong = [f"weak{c}" for c in "abcdefghijklmnop"], "grimbaz"
+    ids, weight = [], []
+    for w, evidence in [*((w, 3.0) for w in chance), (strong, 30.0)]:
+        ids.append(next(b for k, b in enumerate(toxicity.pieces([w])) if k == len(toxicity.BEGINNINGS))[1][0])
+        weight.append(evidence)
+    order = np.argsort(ids)
+    model = toxicity.Model(np.array(ids), np.array(weight)[order], -2.0, 1e-3, 3.0)
+    text = lambda n, marks: " ".join([*(f"w{rng.randrange(10**9)}" for _ in range(n)), *marks])
+    assert toxicity.different_words([text(100, []), "a a\nA", None, ""]).tolist() == [100, 1, 0, 0]
+    assert model.marks([text(50, chance[:3]), strong, None, "x"]).tolist() == [3, 1, 0, 0]
+    assert model.score([text(5, chance[:1])])[0] >= 0.5  # in a short text one is more than chance gives
+    assert (model.score([text(1000, chance[:2]), text(20_000, chance[:12]), text(40_000, chance)]) < 0.5).all()
+    assert (model.score([text(1000, chance[:6]), text(1000, [strong]), text(2000, [*chance[:2], strong])]) >= 0.5).all()
+    low, high = model.score([text(3000, chance[:1]), text(3000, chance[:14])])
+    assert low < high
+
+
+def test_quantiles_of_chance():
+    from math import exp, factorial
+
+    means = [0.0, 0.005, 0.02, 0.4, 3.0, 40.0]
+    for mean, k in zip(means, toxicity.poisson_quantile(np.array(means), 0.01), strict=True):
+        beyond = lambda n: 1 - sum(exp(-mean) * mean**j / factorial(j) for j in range(int(n) + 1))  # noqa: B023, E731
+        assert beyond(k) <= 0.01 and (k == 0 or beyond(k - 1) > 0.01)
+    assert 550 < toxicity.poisson_quantile(np.array([500.0]), 0.01)[0] < 560
+    marks, words, evidence = np.array([0] * 950 + [1] * 50), np.full(1000, 200), np.array([0.0] * 950 + [2.5] * 30 + [8.2] * 20)
+    # the 20 texts with a strong word are as many as toxic documents with one word explain
+    rate, mark = toxicity.chance_marks(marks, words, evidence, np.array([1] * 20 + [4] * 80), np.array([8.4] * 20 + [30.0] * 80), 0.1)
+    assert rate == pytest.approx(0.03 / 0.9 / 200) and mark == 3.0
+    assert toxicity.chance_marks(marks[:950], words[:950], evidence[:950], marks, evidence, 0.1) == (0.0, 0.0)
+    assert toxicity.chance_marks(np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0, int), np.zeros(0), 0.1) == (0.0, 0.0)
+
+
+def test_batches_shorter_than_a_run():
+    for texts in (["a"], [""], [None], ["ab", None][:1], []):
+        assert toxicity.different_words(texts).sum() == sum(bool(t) for t in texts)
+        assert len(toxicity.Model(np.array([5]), np.ones(1), -1.0, 0.1, 1.0).score(texts)) == len(texts)
