@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -35,18 +35,59 @@ def error_sample(rows: DataFrame, path: str, k: int = 20) -> DataFrame:
     return quarantined(rows).orderBy(path).limit(k)
 
 
+def stat_columns() -> list[Column]:
+    """The counters of an ingest, as aggregates over ``staged`` rows."""
+    skipped = F.coalesce(F.col("error_stage") == "skipped", F.lit(False))
+    stored = F.count_if(F.col("error_stage").isNull())
+
+    def passed(stage: str) -> Column:
+        return F.count_if(~skipped & (F.col("error_stage").isNull() | F.col("error_stage").isin(*STAGES[STAGES.index(stage) + 1 :])))
+
+    rate = F.when(F.count("*") > 0, F.round(100.0 * stored / F.count("*"), 1)).otherwise(0.0)
+    return [
+        F.count("*").alias("discovered"),
+        F.count_if(skipped).alias("skipped"),
+        passed("parse").alias("parsed"),
+        passed("normalize").alias("normalized"),
+        stored.alias("stored"),
+        F.count_if(~skipped & (F.col("error_severity") == "error")).alias("errors"),
+        F.count_if(~skipped & (F.col("error_severity") == "warning")).alias("warnings"),
+        rate.alias("success_rate"),
+        *(F.count_if(~skipped & (F.col("error_stage") == s)).alias(f"{s}_errors") for s in STAGES),
+    ]
+
+
 def ingest_stats(rows: DataFrame) -> DataFrame:
     """One row: discovered, skipped, parsed, normalized, stored, errors, warnings, success_rate and errors by stage, in one pass.
 
     A row that fails at a stage has passed those before it. Rows at stage ``skipped`` were left out by a filter: they
     are discovered and skipped, and count nowhere else.
     """
-    skipped = F.coalesce(F.col("error_stage") == "skipped", F.lit(False))
-    stored = F.count_if(F.col("error_stage").isNull())
-    passed = lambda stage: F.count_if(~skipped & (F.col("error_stage").isNull() | F.col("error_stage").isin(*STAGES[STAGES.index(stage) + 1 :])))
-    rate = F.when(F.count("*") > 0, F.round(100.0 * stored / F.count("*"), 1)).otherwise(0.0)
-    by_stage = [F.count_if(~skipped & (F.col("error_stage") == s)).alias(f"{s}_errors") for s in STAGES]
-    return rows.agg(F.count("*").alias("discovered"), F.count_if(skipped).alias("skipped"), passed("parse").alias("parsed"), passed("normalize").alias("normalized"), stored.alias("stored"), F.count_if(~skipped & (F.col("error_severity") == "error")).alias("errors"), F.count_if(~skipped & (F.col("error_severity") == "warning")).alias("warnings"), rate.alias("success_rate"), *by_stage)
+    return rows.agg(*stat_columns())
+
+
+def write_ingested(rows: DataFrame, path: str) -> dict[str, object]:
+    """Write ``staged`` rows to ``path`` and return the counters of ``ingest_stats``: one job does all.
+
+    Accepted and quarantined rows go to ``quarantined=false`` and ``quarantined=true`` below ``path``, each with its error
+    columns; the counters are observed on the rows as they are written, so no second pass reads or computes them again.
+    """
+    seen = Observation()
+    marked = rows.observe(seen, *stat_columns()).withColumn("quarantined", F.col("error_stage").isNotNull())
+    marked.write.partitionBy("quarantined").parquet(path)
+    return seen.get
+
+
+def recorded_ingest(spark: SparkSession, rows: DataFrame, path: str, log: str) -> dict[str, object]:
+    """``write_ingested`` with a record of the run appended to the log at ``log``, also where writing fails."""
+    got: dict[str, object] = {}
+
+    def run() -> DataFrame:
+        got.update(write_ingested(rows, path))
+        return spark.createDataFrame([(got["stored"], got["errors"])], "stored long, errors long")
+
+    logged_run(spark, log, run)
+    return got
 
 
 def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -37,7 +37,22 @@ def summary(rules: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
 
 
 def windowed(events: DataFrame, width: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """window_start, event_type, n, last, users per sliding window; works on a stream that has a watermark too."""
-    users = F.approx_count_distinct("user_id") if events.isStreaming else F.count_distinct("user_id")
+    """window_start, event_type, n, last, users (exact) per sliding window; works on a stream that has a watermark too.
+
+    A stream knows no distinct count, so there the users of a window are kept as a set in its state: right in every output
+    mode, but a window's users must fit one task. ``windowed_append`` has no such bound.
+    """
+    users = F.size(F.collect_set("user_id")).cast("long") if events.isStreaming else F.count_distinct("user_id")
     out = events.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last"), users.alias("users"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "last", "users")
+
+
+def windowed_append(events: DataFrame, width: str = "7 days", slide: str = "1 day") -> DataFrame:
+    """As ``windowed``, in two steps: per window, type and user, then per window and type.
+
+    On a stream with a watermark, in append mode: each user of a window is a small state of its own, spread over all tasks
+    and dropped when the watermark passes the window; a window comes out once, whole and exact. Late rows do not count.
+    """
+    per_user = events.groupBy(F.window("ts", width, slide), "event_type", "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    out = per_user.groupBy("window", "event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.count("user_id").alias("users"))
+    return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "last", "users")

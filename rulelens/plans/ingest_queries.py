@@ -39,13 +39,23 @@ def ingest_quarantine(spark, sf):
     return G.quarantined(landed(spark, sf)).select("page_id", "error_stage", "error_severity", "error_message")
 
 
-@query("ingest_stats", f"""WITH {LANDED} SELECT count(*) AS discovered, 0::BIGINT AS skipped, count(*) FILTER (stage IS NULL OR stage IN ('normalize', 'store')) AS parsed, count(*) FILTER (stage IS NULL OR stage = 'store') AS normalized, count(*) FILTER (stage IS NULL) AS stored, count(*) FILTER (stage = 'read') AS errors, count(*) FILTER (stage = 'normalize') AS warnings,
+STATS = f"""WITH {LANDED} SELECT count(*) AS discovered, 0::BIGINT AS skipped, count(*) FILTER (stage IS NULL OR stage IN ('normalize', 'store')) AS parsed, count(*) FILTER (stage IS NULL OR stage = 'store') AS normalized, count(*) FILTER (stage IS NULL) AS stored, count(*) FILTER (stage = 'read') AS errors, count(*) FILTER (stage = 'normalize') AS warnings,
 round(100.0::DOUBLE * count(*) FILTER (stage IS NULL) / count(*), 1) AS success_rate, 0::BIGINT AS discovery_errors, count(*) FILTER (stage = 'read') AS read_errors, 0::BIGINT AS parse_errors,
-count(*) FILTER (stage = 'normalize') AS normalize_errors, 0::BIGINT AS store_errors FROM landed""")
+count(*) FILTER (stage = 'normalize') AS normalize_errors, 0::BIGINT AS store_errors FROM landed"""
+
+
+@query("ingest_stats", STATS)
 def ingest_stats(spark, sf):
     return G.ingest_stats(landed(spark, sf))
 
 
+@query("ingest_observed", STATS)
+def ingest_observed(spark, sf):
+    """Write rows and quarantine, with the counters observed on the way."""
+    got = G.write_ingested(landed(spark, sf), folder(spark, "ingested"))
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{c} {'double' if c == 'success_rate' else 'long'}" for c in got))
+
+
 @query("dedup_first", "SELECT min(doc_id) AS doc_id, sha256(text) AS id FROM documents GROUP BY text")
 def dedup_first(spark, sf):
     rows = read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("id"))

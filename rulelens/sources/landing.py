@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 from rulelens.functions.normalize import lits, repair_lines
 
@@ -104,6 +104,43 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(relative_path(spark, F.col("path"), root).alias("path"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
 
 
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative to root) and location of all files below ``root``, none of which is opened; empty files are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(escaped_glob(root))
+    return files.select(relative_path(spark, F.col("path"), root).alias("path"), F.col("path").alias("location"))
+
+
+@F.pandas_udf(LongType())
+def first_bad_byte(content: pd.Series) -> pd.Series:
+    """Where the bytes stop being UTF-8, from 0; null for null and for valid bytes."""
+
+    def place(data: bytes | None) -> int | None:
+        try:
+            if data is not None:
+                bytes(data).decode("utf-8")
+        except UnicodeDecodeError as e:
+            return e.start
+        return None
+
+    return pd.Series([place(x) for x in content], dtype="Int64")
+
+
+def read_rule_files(spark: SparkSession, root: str, spec: Discovery) -> DataFrame:
+    """path, content (null where it is not UTF-8) and bad_byte_at of the rule files of one source below ``root``.
+
+    Paths are filtered first, from the listing alone: the content of other files is never read. The list of the chosen files
+    goes through the driver, as the index of any read of files does. A root without rule files gives no rows.
+    """
+    chosen = listed_files(spark, root).where(discovered(F.col("path"), spec) & applicable(F.col("path"), spec))
+    places = [r.location for r in chosen.select("location").collect()]
+    if not places:
+        return spark.createDataFrame([], "path string, content string, bad_byte_at long")
+    files = spark.read.format("binaryFile").load([escaped_glob(p) for p in places])
+    valid = F.expr("try_validate_utf8(cast(content as string))")
+    bad = first_bad_byte(F.when(valid.isNull(), F.col("content")))
+    return files.select(relative_path(spark, F.col("path"), root).alias("path"), valid.alias("content"), bad.alias("bad_byte_at"))
+
+
 def decoded_json(content: str, form: str) -> str | None:
     """JSON text of a YAML (first document) or TOML file, null if it is malformed or no mapping.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rulelens.operators.ingest import merge_rows, refresh
-from rulelens.operators.trending import windowed
+from rulelens.operators.trending import windowed, windowed_append
 from rulelens.store.snapshots import SnapshotTable
 
 
@@ -56,5 +56,10 @@ def snapshot_refresh(spark: SparkSession, landing: str, schema: str, plan: Calla
 
 
 def trending_stream(events: DataFrame, late: str = "1 day", width: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """Windowed counts of a stream of events; rows later than the watermark are dropped."""
+    """Windowed counts of a stream of events, exact users too; rows later than the watermark are dropped."""
     return windowed(events.withWatermark("ts", late), width, slide)
+
+
+def trending_append(events: DataFrame, late: str = "1 day", width: str = "7 days", slide: str = "1 day") -> DataFrame:
+    """The same for append mode, with a state per user of a window that expires with it; for any number of users."""
+    return windowed_append(events.withWatermark("ts", late), width, slide)

@@ -243,3 +243,64 @@ def test_relative_paths_do_not_depend_on_the_root(spark, tmp_path, root):
     (base / "rules" / "sub dir" / "b%20c.yml").write_text("b")
     got = {r.path: r.content for r in read_files(spark, str(base)).collect()}
     assert got == {"a.yml": "a", "rules/sub dir/b%20c.yml": "b"}
+
+
+def test_only_rule_files_are_opened(spark, tmp_path):
+    from rulelens.sources.landing import DISCOVERY, listed_files, read_rule_files
+
+    root = tmp_path / "clone of [x]"
+    files = {"rules/a.yml": b"a: 1", "rules/deep er/b.yaml": "b: é".encode(), "rules/bad.yml": b"ok\xff\xfe", "rules/tests/c.yml": b"c", "other/d.yml": b"d", "rules/e.txt": b"e"}
+    for name, data in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    assert {r.path for r in listed_files(spark, str(root)).collect()} == set(files)
+    assert "content" not in listed_files(spark, str(root))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    got = read_rule_files(spark, str(root), DISCOVERY["sigma"])
+    assert {r.path: (r.content, r.bad_byte_at) for r in got.collect()} == {"rules/a.yml": ("a: 1", None), "rules/deep er/b.yaml": ("b: é", None), "rules/bad.yml": (None, 2)}
+    assert len(got.inputFiles()) == 3
+    assert read_rule_files(spark, str(root), DISCOVERY["splunk"]).count() == 0
+
+
+def test_one_job_writes_rows_quarantine_and_counters(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [None, "parse", "skipped", "read"][i % 4]) for i in range(40)], "id int, error_stage string").withColumns({"error_severity": F.when(F.col("error_stage") == "read", "error").when(F.col("error_stage") == "parse", "warning"), "error_message": F.lit("m")})
+    path, log = str(tmp_path / "out"), str(tmp_path / "log")
+    status = spark.sparkContext.statusTracker()
+    before = len(status.getJobIdsForGroup())
+    got = ingest.write_ingested(rows, path)
+    assert len(status.getJobIdsForGroup()) == before + 1
+    assert got == ingest.ingest_stats(rows).head().asDict() and got["stored"] == 10 and got["errors"] == 10
+    back = spark.read.parquet(path)
+    assert back.where("quarantined = 'true'").count() == 30 and back.where("quarantined = 'false'").count() == 10
+    ingest.recorded_ingest(spark, rows, str(tmp_path / "second"), log)
+    with pytest.raises(Exception):  # noqa: B017  the folder is there already
+        ingest.recorded_ingest(spark, rows, path, log)
+    runs = sorted((r.status, r.stored, r.errors) for r in spark.read.parquet(log).collect())
+    assert runs == [("completed", 10, 10), ("failed", None, 1)]
+
+
+def test_stream_of_trends_is_exact_and_drops_late_rows(spark, tmp_path):
+    from rulelens.operators import trending
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    rng = random.Random(5)
+    frame_of = lambda rows: spark.createDataFrame([(i, d, h, u, t) for i, d, h, u, t in rows], "event_id long, d int, h int, user_id long, event_type string").select("event_id", F.timestamp_seconds(1704067200 + F.col("d") * 86400 + F.col("h") * 3600).alias("ts"), "user_id", "event_type")
+    first = [(i, rng.randrange(20), rng.randrange(24), rng.choice([None, 1, 2, 3, 4]), rng.choice(["a", "b"])) for i in range(300)]
+    ahead, late, last = [(900, 40, 0, 9, "a")], [(901, 5, 0, 77, "a")], [(902, 41, 0, 9, "b")]
+    spool = str(tmp_path / "spool")
+    for k, rows in enumerate((first, ahead, late + last)):
+        frame_of(rows).coalesce(1).write.parquet(f"{spool}/{k}")
+        for f in os.listdir(f"{spool}/{k}"):
+            os.utime(f"{spool}/{k}/{f}", (1_700_000_000 + k * 100,) * 2)
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(spool)
+    out = str(tmp_path / "windows")
+    q = stream.trending_append(live).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    want = trending.windowed(frame_of(first + ahead + last)).where("window_start < '2024-02-03'")  # ended before the watermark
+    key = lambda df: sorted(map(tuple, df.select("window_start", "event_type", "n", "last", "users").collect()))
+    assert key(spark.read.parquet(out)) == key(want) and want.count() > 30
+    assert key(trending.windowed_append(frame_of(first))) == key(trending.windowed(frame_of(first)))
+    whole = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{spool}/0")
+    q = stream.trending_stream(whole).writeStream.format("memory").queryName("exact").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert key(spark.table("exact")) == key(trending.windowed(frame_of(first)))
