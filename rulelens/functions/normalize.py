@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -40,7 +41,7 @@ def lits(values: Sequence) -> Column:
 
 
 def lit_map(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    return F.create_map(*(x if isinstance(x, Column) else F.lit(x) for pair in values.items() for x in pair))
 
 
 def vocabulary(c: Column, table: dict[str, Sequence[str]], other: str = "unknown") -> Column:
@@ -106,10 +107,31 @@ def label_map(c: Column) -> Column:
 
 
 def keyword_score(text: Column, taxonomy: tuple) -> Column:
-    """Id with most keywords contained in the text (already lower case), the earliest defined among equals, '' if none."""
-    scores = [F.struct(sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-k).alias("o"), F.lit(i).alias("id")) for k, (i, words) in enumerate(dims.keywords(taxonomy))]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["id"]).otherwise("")
+    """Id with most keywords contained in the text (already lower case), the earliest defined among equals, '' if none.
+
+    Keywords of letters, digits, ``_`` and ``-`` alone stand within a run of such characters, so a text's different runs are
+    taken once and searched instead of the whole text. The few keywords that are found are counted by id. The expression is
+    short, however long the taxonomy: the keywords are literals of it.
+    """
+    ids, owners = [], {}
+    for k, (i, words) in enumerate(dims.keywords(taxonomy)):
+        ids.append(i)
+        for w in words:
+            owners.setdefault(w, []).append(k)
+    runs = text
+    if all(re.fullmatch("[a-z0-9_-]+", w) for w in owners):
+        runs = F.array_join(F.array_distinct(F.split(text, "[^a-z0-9_-]+")), " ")
+    of = lit_map({w: lits(numbers) for w, numbers in owners.items()})
+
+    def best(hits: Column) -> Column:
+        counts = F.transform(F.array_distinct(hits), lambda k: F.struct(F.size(F.filter(hits, lambda x: x == k)).alias("n"), (-k).alias("o")))
+        return F.when(F.size(hits) > 0, F.element_at(lits(ids), (1 - F.array_max(counts)["o"]).cast("int"))).otherwise("")
+
+    def scored(where: Column) -> Column:
+        found = F.filter(lits(list(owners)), lambda w: F.contains(where, w))
+        return let(F.flatten(F.transform(found, lambda w: F.element_at(of, w))), best)
+
+    return F.when(text.isNull(), "").otherwise(let(runs, scored))
 
 
 def hinted(hint: Column, taxonomy: tuple) -> Column:
