@@ -49,10 +49,11 @@ def refresh_bridge(rules: SnapshotTable, column: str = "mitre_techniques") -> Ve
         return None
     rows = rules.read(version=now).select("source", "id", column)
     scope = None
-    if seen < 0 and bridge.version() is not None:  # a first refresh that failed before its mark
+    changed = rules.changes_since(seen) if seen >= 0 else None
+    if changed is None and bridge.version() is not None:  # versions expired, or a first refresh failed before its mark
         scope = bridge.read().select("source", "id").distinct()
-    elif seen >= 0:
-        scope = rules.changes_since(seen).select("source", "id")
+    elif changed is not None:
+        scope = changed.select("source", "id")
         touched, names = keyed(scope, ("source", "id"))
         rows = rows.join(touched, same_key(("source", "id"), names), "left_semi")
     out = bridge.apply(exploded(rows, column), scope)

@@ -1,7 +1,7 @@
 """Free-text search through a kept table of n-grams.
 
-``postings/<write>/`` of a snapshot table holds, for each text column, which blocks of rows hold which three characters in
-a row of the lower-cased text, sorted by them. A search looks up the term's own n-grams, reads only the files and row groups
+``postings/<write>/<column>/`` of a snapshot table tells which blocks of rows hold which three characters in a row of the
+column's lower-cased text, sorted by them. A search looks up the term's own n-grams, reads only the files and row groups
 with blocks that hold all of them, and verifies the term there. Data files never change, so their postings are made once;
 a version needs those of its new files only.
 """
@@ -36,40 +36,44 @@ def _folders(table: SnapshotTable, version: Version) -> set[str]:
     return {r.folder for r in table.files(version).select(F.split_part("file", F.lit("/"), F.lit(1)).alias("folder")).distinct().collect()}
 
 
-def indexed_folders(table: SnapshotTable, version: Version) -> set[str]:
-    """The writes of a version that have all their postings."""
+def indexed_folders(table: SnapshotTable, version: Version, columns: Sequence[str]) -> set[str]:
+    """The writes of a version that have all postings of all the columns."""
     out = set()
     for folder in _folders(table, version):
-        fs, done = table._fs(f"postings/{folder}/_SUCCESS")
-        if fs.exists(done):
+        marks = [table._fs(f"postings/{folder}/{c}/_SUCCESS") for c in columns]
+        if all(fs.exists(mark) for fs, mark in marks):
             out.add(folder)
     return out
 
 
-def index_new_files(table: SnapshotTable, columns: Sequence[str]) -> list[str]:
-    """Make the postings of the newest version's writes that have none yet; the writes so indexed.
+def index_new_files(table: SnapshotTable, columns: Sequence[str]) -> list[tuple[str, str]]:
+    """Make the postings of the newest version's writes that have none yet; the (write, column) pairs so indexed.
 
-    A row group of a file is worked on where it is read: its blocks are complete there, so that (n-gram, block) pairs
-    combine before the one shuffle, which sorts them by n-gram.
+    A file is worked on where it is read: its blocks are complete there, so that (n-gram, block) pairs combine before the
+    one shuffle, which sorts them by n-gram. Each column has postings of its own, and only its text is read for them.
     """
-    version = table.version()
-    new = sorted(_folders(table, version) - indexed_folders(table, version))
-    for folder in new:
-        rows = table.spark.read.schema(version.schema).parquet(f"{table.path}/data/{folder}")
-        each = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), text_grams(c).alias("grams")) for c in columns))).alias("e")
-        name = F.concat(F.lit(f"{folder}/"), F.col("_metadata.file_name")).alias("file")
-        pairs = rows.select(name, F.col(BLOCK).alias("block"), each).select("file", "block", "e.field", F.explode("e.grams").alias("gram")).distinct()
-        order = ["field", "gram", "file", "block"]
-        pairs.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").parquet(f"{table.path}/postings/{folder}")
-    return new
+    version, done = table.version(), []
+    for column in columns:
+        for folder in sorted(_folders(table, version) - indexed_folders(table, version, [column])):
+            rows = table.spark.read.schema(version.schema).parquet(f"{table.path}/data/{folder}")
+            name = F.concat(F.lit(f"{folder}/"), F.col("_metadata.file_name")).alias("file")
+            pairs = rows.select(name, F.col(BLOCK).alias("block"), F.explode(text_grams(column)).alias("gram")).distinct()
+            order = ["gram", "file", "block"]
+            ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+            ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{table.path}/postings/{folder}/{column}")
+            done.append((folder, column))
+    return done
 
 
 def candidate_blocks(table: SnapshotTable, folders: Sequence[str], term: str, columns: Sequence[str]) -> DataFrame:
     """file, block of the blocks where one of the columns holds all n-grams of the term."""
     wanted = grams(term)
-    postings = table.spark.read.parquet(*(f"{table.path}/postings/{f}" for f in sorted(folders)))
-    hit = postings.where(F.col("field").isin(*columns) & F.col("gram").isin(*wanted))
-    return hit.groupBy("field", "file", "block").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("file", "block").distinct()
+    out = None
+    for column in columns:
+        postings = table.spark.read.parquet(*(f"{table.path}/postings/{f}/{column}" for f in sorted(folders)))
+        hit = postings.where(F.col("gram").isin(*wanted)).groupBy("file", "block").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("file", "block")
+        out = hit if out is None else out.union(hit)
+    return out.distinct()
 
 
 def runs_of(blocks: Sequence[int]) -> list[tuple[int, int]]:
@@ -86,11 +90,11 @@ def runs_of(blocks: Sequence[int]) -> list[tuple[int, int]]:
 def search_text(table: SnapshotTable, term: str, columns: Sequence[str]) -> DataFrame:
     """The rows where one of the columns contains the term, ignoring case: the same as a scan of all rows.
 
-    Terms shorter than an n-gram, and files without postings, are scanned. The driver sees the names of the files that
+    Terms shorter than an n-gram, and files without postings of all the columns, are scanned. The driver sees the names of the files that
     have candidates, and of their blocks at most ``RUNS_MOST`` runs.
     """
     version = table.version()
-    folders = indexed_folders(table, version)
+    folders = indexed_folders(table, version, columns)
     keep = contains_text(term, columns)
     if not grams(term) or not folders:
         return table.read(version=version).where(keep)

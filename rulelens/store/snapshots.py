@@ -212,10 +212,36 @@ class SnapshotTable:
         self.changes(old).withColumn("file", F.lit(None).cast("string")).limit(0).write.parquet(f"{self.path}/changes/{log}")
         return self._publish_manifest(self.files(old).join(small.select("file"), "file", "left_anti").unionByName(written), old.number + 1, log, old.schema)
 
-    def changes_since(self, number: int) -> DataFrame:
-        """Distinct keys that versions after ``number`` touched: what a table derived from this one must bring up to date."""
+    def changes_since(self, number: int) -> DataFrame | None:
+        """Distinct keys that versions after ``number`` touched: what a table derived from this one must bring up to date.
+
+        None where a version in between has expired, so that the derived table must be made anew.
+        """
         last = self.version()
-        logs = [v.changes for n in range(number + 1, last.number + 1) if (v := self.version(n))]
-        if not logs:
+        between = [self.version(n) for n in range(number + 1, last.number + 1)]
+        if None in between:
+            return None
+        if not between:
             return self.changes(last).select(*self.key).limit(0)
-        return self.spark.read.parquet(*(f"{self.path}/changes/{x}" for x in logs)).select(*self.key).distinct()
+        return self.spark.read.parquet(*(f"{self.path}/changes/{v.changes}" for v in between)).select(*self.key).distinct()
+
+    def expire(self, keep: int) -> int:
+        """Delete all but the newest ``keep`` versions, and the data files that only those refer to; how many files went.
+
+        Files of a write that is under way belong to no version and stay. Pointers go first: what a failure leaves behind
+        is unused.
+        """
+        if keep < 1:
+            raise ValueError("at least one version must stay")
+        last = self.version()
+        old = [v for n in range(max(0, last.number - keep + 1)) if (v := self.version(n))]
+        kept = [v for n in range(max(0, last.number - keep + 1), last.number + 1) if (v := self.version(n))]
+        if not old:
+            return 0
+        listed = lambda versions: self.spark.read.parquet(*(f"{self.path}/manifests/{v.manifest}" for v in versions)).select("file").distinct()
+        gone = [r.file for r in listed(old).join(listed(kept), "file", "left_anti").collect()]
+        fs, _ = self._fs("")
+        names = [f"versions/{v.number:012d}" for v in old] + [f"{d}/{x}" for v in old for d, x in (("manifests", v.manifest), ("changes", v.changes))]
+        for name in names + [f"data/{n}" for n in gone]:
+            fs.delete(self._fs(name)[1], True)
+        return len(gone)

@@ -131,6 +131,21 @@ def test_stream_of_versions(spark, tmp_path):
     assert rows_of(table) == sorted([("a", "2", "only", 1), (None, "2", "n2", 1), ("b", "1", "b", 1)], key=str)
 
 
+def test_old_versions_expire_with_their_files(spark, small):
+    for k in range(3):
+        small.apply(frame(spark, [("a", "1", f"x{k}", k), ("b", f"new{k}", "y", k)]))
+    now, last = rows_of(small), small.version().number
+    under_way = f"{small.path}/data/other"
+    os.makedirs(under_way)
+    assert small.expire(2) > 0 and rows_of(small) == now and len(rows_of(small, small.version(last - 1))) == len(now) - 1
+    assert small.version(0) is None and small.version(1) is None and os.path.isdir(under_way) and small.expire(2) == 0
+    on_disk = {f"{d}/{f}" for d in os.listdir(f"{small.path}/data") for f in os.listdir(f"{small.path}/data/{d}") if f.endswith(".parquet")}
+    assert on_disk == {r.file for v in (last - 1, last) for r in small.files(small.version(v)).collect()}
+    assert small.changes_since(last - 1).count() == 2 and small.changes_since(0) is None
+    with pytest.raises(ValueError):
+        small.expire(0)
+
+
 # ---------------------------------------------------------------- posting table
 
 
@@ -143,7 +158,10 @@ def test_search_gives_the_rows_of_a_scan(spark, tmp_path):
     rng = random.Random(1)
     table = SnapshotTable(spark, str(tmp_path / "t"), rows_per_file=40, block_rows=4)
     table.apply(frame(spark, texts(rng, 200)))
-    assert len(N.index_new_files(table, ["title", "source"])) == 1 and N.index_new_files(table, ["title", "source"]) == []
+    assert len(N.index_new_files(table, ["title"])) == 1 and N.index_new_files(table, ["title"]) == []
+    scanned_too = N.search_text(table, "s1", ["title", "source"])  # one of the columns has no postings yet
+    assert scanned_too.count() == table.read().where("source = 's1'").count()
+    assert len(N.index_new_files(table, ["title", "source"])) == 1
     for term in ["license", "POWERSHELL RUND", "Étude", "STRASSE", "a_b%c", "x", "", "🙂end", "multi\nline", "i\nl", "nothing", "s1", "s2  ", "e l"]:
         got = sorted(r.id for r in N.search_text(table, term, ["title", "source"]).collect())
         want = sorted(r.id for r in table.read().where(contains_text(term, ["title", "source"])).collect())
@@ -158,7 +176,7 @@ def test_unread_files_stay_unread_and_refresh_keeps_the_table(spark, tmp_path):
     for name in {r.file for r in table.files().collect()} - set(holds):
         os.rename(f"{table.path}/data/{name}", f"{table.path}/data/{name}.away")  # reading it would fail
     assert [r.id for r in N.search_text(table, "NEEDLE", ["title"]).collect()] == ["0120"]
-    blocks = N.candidate_blocks(table, sorted(N.indexed_folders(table, table.version())), "needle", ["title"]).collect()
+    blocks = N.candidate_blocks(table, sorted(N.indexed_folders(table, table.version(), ["title"])), "needle", ["title"]).collect()
     assert len(blocks) == 1  # of 80
     for name in {r.file for r in table.files().collect()} - set(holds):
         os.rename(f"{table.path}/data/{name}.away", f"{table.path}/data/{name}")
@@ -215,6 +233,18 @@ def test_bridge_follows_the_rules(spark, tmp_path):
     assert "Generate explode" not in B.with_techniques(B.bridge_table(rules), ["t1"])._jdf.queryExecution().toString()
 
 
+def test_bridge_is_made_anew_where_versions_expired(spark, tmp_path):
+    schema = "source string, id string, mitre_techniques array<string>"
+    rules = SnapshotTable(spark, str(tmp_path / "rules"))
+    rules.apply(spark.createDataFrame([("a", "1", ["T1"]), ("b", "1", ["T2"])], schema))
+    B.refresh_bridge(rules)
+    rules.apply(spark.createDataFrame([], schema), spark.createDataFrame([("b",)], "source string"))
+    rules.apply(spark.createDataFrame([("c", "1", ["T3"])], schema))
+    rules.expire(1)
+    B.refresh_bridge(rules)
+    assert sorted(r.technique for r in B.tags(B.bridge_table(rules)).collect()) == ["T1", "T3"]
+
+
 def test_bridge_refresh_that_died_before_its_mark(spark, tmp_path, monkeypatch):
     schema = "source string, id string, mitre_techniques array<string>"
     rules = SnapshotTable(spark, str(tmp_path / "rules"))
