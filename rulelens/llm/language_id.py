@@ -20,6 +20,8 @@ FOLDS, HELD_OUT = 5, 0
 DIM = 4096
 #: Sampled documents per language at most (expected number; languages with fewer are taken whole).
 PER_LANGUAGE = 600
+#: Languages learned at most, those of most documents (machines grow with their square), and documents of all of them together.
+LANGUAGES_MOST, SAMPLE_MOST = 64, 20_000
 #: Families of language codes (fixed values); another code is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"),
@@ -53,7 +55,8 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, decay: float = 1e-4) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge loss, accelerated gradient descent); y is +1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    used = np.flatnonzero(x.any(axis=0))  # a column of zeros keeps weight 0
+    x1 = np.hstack([x[:, used], np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     v = np.ones(x1.shape[1]) / np.sqrt(x1.shape[1])
     for _ in range(20):
@@ -67,7 +70,9 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 150, decay: float = 1e-4)
         new = z - rate * (-2 * x1.T @ (weight * y * slack) + decay * z)
         z = new + (t - 1) / (t + 2) * (new - w)
         w = new
-    return w
+    out = np.zeros(x.shape[1] + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 class Model:
@@ -131,9 +136,14 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on ``docs(doc_id, text, lang)``: about ``per_language`` documents of each language, by a hash of doc_id."""
+    """Fit on ``docs(doc_id, text, lang)``: about ``per_language`` documents of each language, by a hash of doc_id.
+
+    The LANGUAGES_MOST languages of most documents are learned (ties by code), from SAMPLE_MOST documents at most; codes
+    beyond them, such as junk, are never predicted. Repeated rows are drawn together; null texts and languages are left out.
+    """
     usable = text_batches(docs).where("lang is not null and text is not null")
-    counts = dict(usable.groupBy("lang").count().collect())  # one row per language
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_MOST).collect()}
+    per_language = min(per_language, SAMPLE_MOST // max(1, len(counts)))
     pick = F.lit(False)
     for lang, n in counts.items():
         pick = pick | ((F.col("lang") == lang) & sample_rate("doc_id", "lang", per_language / n))
@@ -158,7 +168,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(doc_id, text)`` with lang_pred and score: one row per row, whole texts.
 
-    Null texts and texts without a letter get ``und`` and score 0, as do all texts if the model knows no language.
+    Null texts and texts without a letter get ``und`` and score 0, as do all texts if the model knows no language. Repeated
+    rows and equal texts get the same; texts of any length are read whole; an empty table gives an empty one; other columns
+    do not come along. Of languages with equal wins the larger sum of margins is taken, then the later code.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -149,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id and score in 0..1, one row per row; a null text counts as empty."""
+    """``docs(doc_id, text)`` to doc_id and score in 0..1, one row per row; a null text counts as empty.
+
+    Repeated rows and equal texts score alike; texts of any length are read whole; an empty table gives an empty one; other
+    columns do not come along.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):

@@ -279,7 +279,8 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Strings are judged on the input; overlaps count; nothing crosses documents. A null text is empty. Rows that
     repeat (also with a null doc_id) are each other's copies, so all of their long strings go. Texts shorter than
-    ``length`` bytes stay. Extra columns do not come along.
+    ``length`` bytes stay; texts of any length are read whole; an empty table gives an empty result. Extra columns do not
+    come along.
     """
     rows = keyed(docs)
     hit, free = with_spans(rows, repeated_spans(rows, length))

@@ -230,3 +230,42 @@ def test_batches_shorter_than_a_run():
     for texts in (["a"], [""], [None], ["ab", None][:1], []):
         assert toxicity.different_words(texts).sum() == sum(bool(t) for t in texts)
         assert len(toxicity.Model(np.array([5]), np.ones(1), -1.0, 0.1, 1.0).score(texts)) == len(texts)
+
+
+def test_junk_languages_do_not_grow_the_model(spark):
+    rng = random.Random(2)
+    rows = [cases.row(i, text_in(rng, lang, 40), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(300))]
+    rows += [cases.row(1000 + i, text_in(rng, "en", 5), f"junk{i}") for i in range(10_000)]
+    old = language_id.LANGUAGES_MOST
+    language_id.LANGUAGES_MOST = 8
+    try:
+        model = language_id.fit(spark.createDataFrame(rows, cases.SCHEMA))
+    finally:
+        language_id.LANGUAGES_MOST = old
+    assert len(model.langs) <= 8 and set(SYLLABLES) <= set(model.langs)
+
+
+def test_machines_and_votes_against_a_plain_model():
+    rng = np.random.default_rng(5)
+    x = np.zeros((60, 40), dtype=np.float32)
+    x[:, :12] = rng.random((60, 12))  # the other columns stay unused
+    y = np.where(x[:, 0] + x[:, 1] > 1, 1.0, -1.0)
+    w = language_id.fit_svm(x, y)
+    assert w.shape == (41,) and (w[12:40] == 0).all() and (np.sign(x @ w[:40] + w[40]) == y).mean() > 0.95
+    # the minimum: small steps in any direction do not lower the objective
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    value = lambda v: (weight * np.maximum(0, 1 - y * (x @ v[:40] + v[40])) ** 2).sum() + 0.5 * 1e-4 * (v @ v)
+    assert value(w) < value(np.zeros(41)) * 0.6
+    model = object.__new__(language_id.Model)
+    model.machines = [("a", "b"), ("a", "c"), ("b", "c")]
+    for m in rng.normal(size=(50, 3)):
+        wins = {n: 0 for n in "abc"}
+        total, least = {n: 0.0 for n in "abc"}, {n: 40.0 for n in "abc"}
+        for (p, q), v in zip(model.machines, m, strict=True):
+            wins[p if v > 0 else q] += 1
+            for n, s in ((p, v), (q, -v)):
+                total[n] += s
+                least[n] = min(least[n], s)
+        best, sure = model.vote(m[None], ["a", "b", "c"])
+        want = max("abc", key=lambda n: (wins[n], total[n]))
+        assert "abc"[best[0]] == want and sure[0] == pytest.approx(least[want])
