@@ -133,38 +133,63 @@ def increasing(values: np.ndarray) -> int:
     return len(tails)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bits of long integers."""
+def common(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence within the band, by bits of long integers.
+
+    Every pairing of places at most ``band`` apart is considered, and some up to a sixteenth further. Bit i of ``left``
+    stands for place low + i of ``a``, 0 where a common subsequence grows there. The window of places within the band
+    moves along ``b`` in steps: what leaves it can grow no more.
+    """
     ends = []
     for step in (1, -1):
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[::step][:n] != b[::step][:n])
         ends.append(int(differ[0]) if len(differ) else n)
         a, b = (x[::step][ends[-1] :][::step] for x in (a, b))
-    at: dict[int, list[int]] = {}
-    for i, v in enumerate(a.tolist()):
-        at.setdefault(v, []).append(i)
-    left = full = (1 << len(a)) - 1
-    for v in b.tolist():
-        places = at.get(v)
-        if places is None:
-            continue
-        if len(places) == 1:
-            mask = 1 << places[0]
+    names, code = np.unique(a, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    first = np.searchsorted(code[order], np.arange(len(names) + 1)).tolist()
+    found = np.searchsorted(names, b)
+    found[found == len(names)] = 0
+    known = names[found] == b if len(names) else np.zeros(len(b), bool)
+    # places of a k-mer are walked while they are few, and kept as one long integer where they are many
+    many, masks = max(64, len(a) // 500), {}
+    step = max(1, band // 16)
+    width = 2 * band + 1 + step
+    full = (1 << width) - 1
+    left, low, grown = full, -band, 0
+    for j in np.flatnonzero(known).tolist():
+        move = j - band - low
+        if move >= step:
+            # growth that leaves the window is kept as a number
+            out = min(move, width)
+            grown += out - (left & ((1 << out) - 1)).bit_count()
+            left = (left >> out) | (full ^ (full >> out))
+            low += move
+        c = found[j]
+        lo, hi = first[c], first[c + 1]
+        if hi - lo > many:
+            if c not in masks:
+                bits = np.zeros(len(a), np.uint8)
+                bits[order[lo:hi]] = 1
+                masks[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            mask = (masks[c] >> low if low >= 0 else masks[c] << -low) & full
         else:
-            bits = np.zeros(len(a), np.uint8)
-            bits[places] = 1
-            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            bits = bytearray(width // 8 + 1)
+            for i in order[lo:hi].tolist():
+                if low <= i < low + width:
+                    bits[(i - low) >> 3] |= 1 << ((i - low) & 7)
+            mask = int.from_bytes(bits, "little")
         both = left & mask
         left = ((left + both) | (left - both)) & full
-    return sum(ends) + len(a) - left.bit_count()
+    return sum(ends) + grown + width - left.bit_count()
 
 
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float, plain_a: np.ndarray | None = None, plain_b: np.ndarray | None = None) -> float:
     """Similarity of two sequences of distinct k-mers by their best alignment within the band.
 
-    Where k-mers repeat, ``plain_a`` or ``plain_b`` has them without labels, and the best alignment of these decides
-    when that of the labelled ones falls short.
+    Where k-mers repeat, ``plain_a`` or ``plain_b`` has them without labels, and the best alignment of these, within the
+    same band, decides when that of the labelled ones falls short.
 
     Where the similarity is reached at all, at most (n + m) / 9 k-mers (for 0.8) of a text are unaligned, so aligned
     places differ by no more than that. As k-mers are distinct, the best alignment is the longest increasing chain of
@@ -182,7 +207,8 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float, plain_a: np.ndarr
     aligned = increasing(at_b[np.abs(at_a - at_b) <= band])
     if aligned < similarity * (n + m - aligned) and (plain_a is not None or plain_b is not None):
         a, b = (a if plain_a is None else plain_a), (b if plain_b is None else plain_b)
-        n, m, aligned = len(a), len(b), common(a, b)
+        n, m = len(a), len(b)
+        aligned = common(a, b, band)
     return aligned / (n + m - aligned)
 
 

@@ -186,3 +186,33 @@ def test_cuts_keep_columns_of_any_name(spark):
     assert sorted((r.doc_id, r.k, r["_k.x"], r.spans, r.row, len(r.text or "") < 20) for r in out.collect()) == [(1, "a", 5, 1, 2, True), (2, "b", 6, 1, 2, True), (3, "c", 7, 1, 2, True), (3, "c", 7, 1, 2, True)]
     left = minhash_dedup.drop_near_duplicates(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 3}
+
+
+def plain_common(a, b, band):
+    best = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + 1 if x == y and abs(i - j) <= band else 0)
+    return best[-1, -1]
+
+
+def test_common_subsequence_within_the_band():
+    rng = np.random.default_rng(5)
+    for t in range(200):
+        kinds = rng.integers(1, 12)
+        a, b = rng.integers(0, kinds, rng.integers(0, 40)), rng.integers(0, kinds, rng.integers(0, 40))
+        if t % 2:
+            b = np.insert(np.delete(a, np.arange(len(a))[::9]), 0, rng.integers(0, kinds, 2))
+        whole, band = plain_common(a, b, 100), int(rng.integers(1, 10))
+        assert minhash_dedup.common(a, b, 100) == whole
+        assert plain_common(a, b, band) <= minhash_dedup.common(a, b, band) <= whole
+
+
+def test_long_repetitive_texts_align_like_short_ones():
+    rng = np.random.default_rng(6)
+    for n in (900, 9000, 60_000):
+        plain = rng.integers(0, max(50, n // 30), n)
+        other = np.delete(plain, np.sort(rng.choice(n, n // 12, replace=False)))
+        ones, twos = np.arange(n), rng.permutation(len(other))  # labels that agree in number, not in order
+        assert minhash_dedup.alignment(ones, twos, 0.8) < 0.8
+        assert minhash_dedup.alignment(ones, twos, 0.8, plain, other) == len(other) / n
