@@ -2,9 +2,11 @@
 
 Vectors go to the shards of their nearest centroids (several each, so shards overlap). In each shard a flat graph is
 built by robust pruning; the adjacency lists of a vector from all its shards are united; a greedy search from the
-shard's medoid, widened over everything in range, finds each vector's neighbours, and cosines are verified in double
-precision. Blocked products complete every shard. Recall is audited against brute force on a bounded set of queries of
-every class of link counts; more overlap is used if it is low, and labels where it stays low are searched exactly.
+shard's medoids, widened over everything in range, finds each vector's neighbours, and cosines are verified in double
+precision. Each shard compares a bounded set of its vectors with all others: where the graph's recall is below the bar
+there, blocked products search that shard anew. Recall over all shards is audited against brute force on a bounded set
+of queries of every class of link counts; more overlap is used if it is low, and labels where it stays low are searched
+exactly.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ CENTROIDS_MOST, SAMPLE = 4096, 20_000
 DEGREE, BEAM, ALPHA, STARTS = 16, 48, 2.2, 32
 #: Shards of a vector, first and at most; audited queries; the recall that ends the search.
 OVERLAP, OVERLAP_MOST, AUDITED, RECALL = 2, 6, 200, 0.97
+#: Vectors of a shard that audit its graph.
+ASKED_IN_SHARD = 64
 
 
 # ---------------------------------------------------------------- a flat graph in one shard
@@ -181,16 +185,36 @@ def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float
     return np.concatenate([*out_q, np.zeros(0, int)]), np.concatenate([*out_n, np.zeros(0, int)])
 
 
-def repaired(x: np.ndarray, queries: np.ndarray, q: np.ndarray, k: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The found pairs (q, k) and all that blocked products find besides: none of a shard's pairs is missing."""
-    pairs = [q * len(x) + k]
-    for lo in range(0, len(queries), 256):
-        i, j = np.nonzero(queries[lo : lo + 256] @ x.T >= least)
-        code = (i + lo) * len(x) + j
-        mine = pairs[0][(q >= lo) & (q < lo + 256)]
-        pairs.append(np.setdiff1d(code, mine))
-    code = np.concatenate(pairs)
-    return code // len(x), code % len(x)
+def by_products(x: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) index pairs with cosine >= least, by blocked products of all queries with all rows."""
+    found = [np.nonzero(queries[lo : lo + 256] @ x.T >= least) for lo in range(0, len(queries), 256)]
+    return np.concatenate([q + 256 * i for i, (q, _) in enumerate(found)]), np.concatenate([k for _, k in found])
+
+
+def audited_links(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, least: float, same: bool, whole: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """(query, node) index pairs with cosine >= least and (links of audited queries, those that the graph found, 1 if repaired).
+
+    The graph is searched for every query; with ``same`` the queries are the rows themselves, so a link found from
+    either end counts for both. Up to ASKED_IN_SHARD queries are compared with all rows: where the graph's share of
+    their links is below RECALL, products search the whole shard; otherwise only what these comparisons found is
+    added. ``whole`` asks for products in any case.
+    """
+    n = len(x)
+    if whole:
+        return *by_products(x, queries, least), (0, 0, 1)
+    q, k = in_range(x, graph, queries, least)
+    code = q * n + k
+    if same:
+        code = np.union1d(code, k * n + q)
+    asked = np.random.default_rng(len(queries)).permutation(len(queries))[:ASKED_IN_SHARD]
+    true_q, true_k = by_products(x, queries[asked], least)
+    true = asked[true_q] * n + true_k
+    others = true[true // n != true % n] if same else true  # a row always meets itself
+    hits = int(np.isin(others, code).sum())
+    if hits < RECALL * len(others):
+        return *by_products(x, queries, least), (len(others), hits, 1)
+    code = np.union1d(code, true)
+    return code // n, code % n, (len(others), hits, 0)
 
 
 def roots_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -322,11 +346,12 @@ def asked_shards(placed: DataFrame, centers: dict[tuple, np.ndarray], reach: dic
 
 
 def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, threshold: float, most: int, whole: bool = False) -> DataFrame:
-    """(rep, links, root): link counts per shard, and for each linked vector the smallest one it is connected to there.
+    """(rep, links, root, asked, met, repaired): link counts per shard, and for each linked vector the smallest one it is connected to there.
 
-    A pair is counted in the smallest shard that both vectors share, which loses none as every shard's pairs are
-    complete. The roots of all shards span the components. With ``whole`` a vector is held by one shard and compared in
-    every shard that can hold a link of it, so that the result is exact.
+    A pair is counted in the smallest shard that both vectors share. The roots of all shards span the components. With
+    ``whole`` a vector is held by one shard and compared by products in every shard that can hold a link of it, so that
+    the result is exact. A row without rep for each searched shard tells how many links its audit asked for, how many
+    of these the graph had met, and whether the shard was repaired.
     """
     keys = ["label", "dim", "shard"]
     placed = cut(assign(points, centers, 1 if whole else overlap))
@@ -353,8 +378,8 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
 
     def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        left = left.sort_values("rep", ignore_index=True)
+            return pd.DataFrame({c: [] for c in ("rep", "links", "root", "asked", "met", "repaired")}).astype("Int64")
+        left, right = left.sort_values("rep", ignore_index=True), right.sort_values("rep", ignore_index=True)
         shard = int(left.shard.iloc[0])
         place = pd.Index(left.rep)
         x = unit(left.vec)
@@ -366,8 +391,9 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
             graph[i, : len(at)] = at
         raw, ask = np.array(left.vec.tolist(), dtype=float), np.array(right.vec.tolist(), dtype=float)
         at = unit(right.vec)
-        q, k = repaired(x, at, *in_range(x, graph, at, threshold - 1e-9), threshold - 1e-9)
         reps, asked = left.rep.to_numpy(), right.rep.to_numpy()
+        same = len(reps) == len(asked) and bool((reps == asked).all())
+        q, k, (true, met, anew) = audited_links(x, graph, at, threshold - 1e-9, same, whole)
         keep = reps[k] != asked[q]
         q, k = q[keep], k[keep]
         exact = np.concatenate([np.einsum("ij,ij->i", raw[k[s : s + 200_000]], ask[q[s : s + 200_000]]) for s in range(0, len(q), 200_000)] or [np.zeros(0)])
@@ -381,9 +407,10 @@ def search(points: DataFrame, centers: dict[tuple, np.ndarray], overlap: int, th
             keep = np.fromiter((not (mine_l[b] & mine_r[a]) for a, b in zip(q, k, strict=True)), bool, len(q))
             q, k = q[keep], k[keep]
         links = np.bincount(q, weights=left.copies.to_numpy()[k], minlength=len(right)).astype("int64")
-        return pd.concat([pd.DataFrame({"rep": asked, "links": links, "root": asked}), joined[joined["rep"] != joined["root"]]])
+        audited = pd.DataFrame({"rep": [None], "asked": [true], "met": [met], "repaired": [anew]})
+        return pd.concat([pd.DataFrame({"rep": asked, "links": links, "root": asked}), joined[joined["rep"] != joined["root"]], audited]).astype("Int64")
 
-    return graphs.groupBy(*both).cogroup(asking.groupBy(*both)).applyInPandas(find, "rep long, links long, root long")
+    return graphs.groupBy(*both).cogroup(asking.groupBy(*both)).applyInPandas(find, "rep long, links long, root long, asked long, met long, repaired long")
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -427,7 +454,18 @@ def audit(points: DataFrame, found: DataFrame, threshold: float, audited: int) -
     return float(both.groupby("class").share.mean().min()), [(label, int(dim)) for label, dim in low]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def links_of(pairs: DataFrame) -> DataFrame:
+    """(rep, links) of all vectors over all shards of ``search``."""
+    return pairs.where("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def graph_report(pairs: DataFrame) -> DataFrame:
+    """One row over all shards of ``search``: shards, audited links, graph_recall (1.0 without any) and repaired_share."""
+    own = pairs.where("rep is null")
+    return own.agg(F.count("*").alias("shards"), F.coalesce(F.sum("asked"), F.lit(0)).alias("audited"), F.coalesce(F.sum("met") / F.nullif(F.sum("asked"), F.lit(0)), F.lit(1.0)).alias("graph_recall"), F.coalesce(F.avg("repaired"), F.lit(0.0)).alias("repaired_share"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, report: dict | None = None) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept, audit_recall.
 
     Vectors are compared within equal labels and equal dimensions. Null vectors or labels, zero vectors and vectors
@@ -435,6 +473,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     node whose copies all count as links; rows that repeat a vec_id count as vectors of their own where the vector
     is the same. Rows with a null vec_id come back without links, component_id null, kept true. Further columns do
     not come along. audit_recall is the audited recall of the links in the worst class of link counts (1.0 without any).
+    ``report`` takes the columns of ``graph_report`` for the last search by graphs, its overlap, and its recall in the
+    worst class before labels are searched exactly: links are missed where graphs miss them or no shard holds both ends.
     """
     good = cut(usable(vectors))
     points = cut(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")).select("rep", "label", "dim", "vec", "copies"))
@@ -442,17 +482,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     overlap = OVERLAP
     while True:
         pairs = cut(search(points, centers, overlap, threshold, SHARD_MOST))
-        found = cut(pairs.groupBy("rep").agg(F.sum("links").alias("links")))
+        found = cut(links_of(pairs))
         recall, low = audit(points, found, threshold, AUDITED)
         if not low or overlap >= OVERLAP_MOST:
             break
         overlap += 2
+    if report is not None:
+        report |= graph_report(pairs).head().asDict() | {"recall": recall, "overlap": overlap}
     if low:  # the labels that overlap does not settle are searched exactly
         keys = F.broadcast(points.sparkSession.createDataFrame([(getattr(x, "item", lambda x=x: x)(), dim) for x, dim in low], points.select("label", "dim").schema))
         redone = cut(points.join(keys, ["label", "dim"], "left_semi").select(*points.columns))
         kept = pairs.join(redone.select("rep"), "rep", "left_anti")
         pairs = cut(kept.unionByName(search(redone, centers, 1, threshold, SHARD_MOST, whole=True)))
-        found = cut(pairs.groupBy("rep").agg(F.sum("links").alias("links")))
+        found = cut(links_of(pairs))
         recall, _ = audit(points, found, threshold, AUDITED)
     roots = cut(components(pairs.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))).select(F.col("id").alias("rep"), "component")
     nodes = points.select("rep", "label", "vec", "copies").join(found, "rep", "left").join(roots, "rep", "left")

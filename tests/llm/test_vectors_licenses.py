@@ -92,6 +92,45 @@ def test_labels_below_the_bar_are_searched_exactly(spark, monkeypatch):
     assert got == {(r[0], int(near[i].sum()) - 1, rows[want[i]][0], 1.0) for i, r in enumerate(rows)}
 
 
+def test_graphs_decide_the_links(spark):
+    rng = np.random.default_rng(8)
+    sizes = [2] * 60 + [5] * 30 + [20] * 10 + [200] * 3
+    x = np.concatenate([rng.normal(size=24) + 0.12 * rng.normal(size=(n, 24)) for n in sizes])
+    rows = [(i, v.tolist(), 0, 0.1, 5) for i, v in enumerate(x)]
+    x = np.array([[float(np.float32(c)) for c in v] for v in x])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    table, graphs = spark.createDataFrame(rows, VECTORS), {}
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table, report=graphs).collect()}
+    assert near.sum() > 10_000 and all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.97 * near.sum()
+    assert graphs["repaired_share"] == 0 and graphs["graph_recall"] >= 0.97 and graphs["recall"] >= 0.97 and graphs["audited"] > 100
+
+
+def test_only_shards_below_the_bar_are_searched_by_products(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(50, 12)), 6, axis=0) + 0.1 * rng.normal(size=(300, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, k = embedding_dedup.by_products(x, x, 0.93)
+    assert len(q) == (x @ x.T >= 0.93).sum()
+    for lost in (0.0, 0.5, 1.0):
+        keep = rng.random(len(q)) >= lost
+        monkeypatch.setattr(embedding_dedup, "in_range", lambda *_, keep=keep: (q[keep], k[keep]))
+        a, b, (asked, met, anew) = embedding_dedup.audited_links(x, None, x, 0.93, same=False)
+        assert set(zip(a, b, strict=True)) == set(zip(q, k, strict=True))
+        assert anew == (lost > 0) and (met == asked if not lost else met < 0.97 * asked) and (met == 0 or lost < 1)
+    # a graph just above the bar decides: only what the audit itself met is added
+    keep = np.ones(len(q), bool)
+    keep[np.flatnonzero(q != k)[:1]] = False
+    monkeypatch.setattr(embedding_dedup, "ASKED_IN_SHARD", 3)
+    monkeypatch.setattr(embedding_dedup, "in_range", lambda *_: (q[keep], k[keep]))
+    asked = np.random.default_rng(300).permutation(300)[:3]
+    if q[~keep][0] not in asked:
+        a, _, (_, _, anew) = embedding_dedup.audited_links(x, None, x, 0.93, same=False)
+        assert len(a) == len(q) - 1 and anew == 0
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 12)) + 3 * rng.normal(size=(40, 12))[rng.integers(0, 40, 400)]
