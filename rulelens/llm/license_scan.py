@@ -1,11 +1,11 @@
 """Licence scans by a positional rare-token index (DataFrame functions only).
 
-The licence templates below are indexed by word: word -> (template, position) postings. A file that holds all
-mandatory key phrases of a template looks up that template's rarest words, by IDF over all files; each match proposes a
+The licence templates below (whole notices and the usual short ones) are indexed by word: word -> (template, position)
+postings. Of each wording only the LOOKED words of the highest IDF over all files are looked up; each match proposes a
 relative position (place in the file minus place in the template), at which the whole wording is then read off. A
-template with enough words in place is reported. All but the commonest AGREE - 1 words of a wording are looked up, so
-no place where AGREE words agree is missed. Templates and their words are a fixed, small set, so the index travels as
-a literal. Files that lack the longest word of every phrase are split into words and counted, no more.
+template is reported where a mandatory key phrase of each kind stands in the file and the share SHARE of the wording's
+other words is in place: a key phrase alone proves nothing. Templates and their words are a fixed, small set, so the
+index travels as a literal. Files that lack the longest word of every phrase are split into words and counted, no more.
 """
 
 from __future__ import annotations
@@ -26,21 +26,104 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: label -> (notice wordings, mandatory key phrases of which one per inner tuple must stand in the file).
 TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
-    "mit": (("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"), (("mit license", "hereby granted free of charge"),)),
-    "apache": (("licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"), (("apache license", "except in compliance with the license"),)),
-    "gpl": (("licensed under the gnu general public license version 3", "it under the terms of the gnu general public license as published by the free software foundation"), (("general public license",),)),
-    "lgpl": (("licensed under the gnu lesser general public license version 2 1",), (("lesser general public license",),)),
-    "bsd": (("redistribution and use in source and binary forms with or without modification are permitted", "licensed under the bsd 3 clause license"), (("redistribution and use in source", "bsd 2 clause", "bsd 3 clause", "bsd license"),)),
-    "mpl": (("this source code form is subject to the terms of the mozilla public license v 2 0",), (("mozilla public license",),)),
-    "isc": (("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",), (("purpose with or without fee",),)),
+    "mit": (
+        (
+            "released under the mit license",
+            "licensed under the mit license",
+            "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+            "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        ),
+        (("mit license", "hereby granted free of charge"),),
+    ),
+    "apache": (
+        (
+            "licensed under the apache license version 2 0",
+            "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+            "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        ),
+        (("apache license", "except in compliance with the license"),),
+    ),
+    "gpl": (
+        (
+            "licensed under the gnu general public license version 3",
+            "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        ),
+        (("general public license",),),
+    ),
+    "lgpl": (
+        (
+            "licensed under the gnu lesser general public license version 2 1",
+            "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        ),
+        (("lesser general public license",),),
+    ),
+    "bsd": (
+        (
+            "redistribution and use in source and binary forms with or without modification are permitted",
+            "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+            "licensed under the bsd 3 clause license",
+            "licensed under the bsd 2 clause license",
+        ),
+        (("redistribution and use in source", "bsd 2 clause", "bsd 3 clause", "bsd license"),),
+    ),
+    "mpl": (
+        (
+            "this source code form is subject to the terms of the mozilla public license v 2 0",
+            "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ),
+        (("mozilla public license",),),
+    ),
+    "isc": (
+        (
+            "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+            "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies",
+        ),
+        (("purpose with or without fee",),),
+    ),
     "cc-by-nc": (("licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"), (("cc by nc", "attribution noncommercial"),)),
     "cc-by-sa": (("licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 international license"), (("cc by sa", "attribution sharealike"),)),
-    "cc-by": (("licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"), (("cc by 4", "cc by 3", "cc by 2", "commons attribution 4", "commons attribution 3"),)),
-    "proprietary": (("copyright all rights reserved",), (("all rights reserved",),)),
-    "unlicense": (("this is free and unencumbered software released into the public domain",), (("unencumbered software", "public domain"),)),
+    "cc-by": (
+        ("licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license"),
+        (("cc by 4", "cc by 3", "cc by 2", "commons attribution 4", "commons attribution 3"),),
+    ),
+    "proprietary": (
+        (
+            "copyright all rights reserved",
+            "proprietary and confidential all rights reserved",
+            "all rights reserved unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential",
+        ),
+        (("all rights reserved",),),
+    ),
+    "unlicense": (
+        (
+            "this is free and unencumbered software released into the public domain",
+            "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+            "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ),
+        (("unencumbered software", "public domain"),),
+    ),
 }
-#: Words of a template that must agree on one position.
-AGREE = 3
+#: Words of a wording that are looked up, and the share of its words outside key phrases that must be in place.
+LOOKED, SHARE = 6, 0.6
+
+
+def blanked(label: str, wording: str) -> list[str]:
+    """The words of a wording, with those that belong to a key phrase of its label empty."""
+    words = wording.split()
+    out = list(words)
+    for phrase in (p.split() for group in TEMPLATES[label][1] for p in group):
+        for i in range(len(words) - len(phrase) + 1):
+            if words[i : i + len(phrase)] == phrase:
+                out[i : i + len(phrase)] = [""] * len(phrase)
+    return out
+
+
+def counted_words(label: str, wording: str) -> tuple[int, int]:
+    """(words outside key phrases, how many of them must be in place)."""
+    n = len([w for w in blanked(label, wording) if w])
+    return n, math.ceil(SHARE * n)
 
 
 def postings() -> list[tuple[str, int, int]]:
@@ -86,17 +169,17 @@ def gate(words: Column) -> Column:
 
 
 def word_idf(docs: DataFrame) -> dict[str, float]:
-    """IDF of the template words over all ``docs`` (at most one row per template word reaches the driver)."""
+    """IDF over all ``docs`` of the template words that occur (at most one row per template word reaches the driver)."""
     vocabulary = sorted({w for w, _, _ in postings()})
     hits = docs.select(F.explode_outer(F.array_union(F.array(F.lit("")), F.array_intersect(words_of(F.col("text")), literals(vocabulary)))).alias("w"))
     df = dict(hits.groupBy("w").count().collect())  # "" stands for every file
-    return {w: math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) for w in vocabulary}
+    return {w: math.log((1 + df.get("", 0)) / (1 + df[w])) for w in vocabulary if w in df}
 
 
-def looked_up(wording: str, idf: dict[str, float]) -> list[tuple[int, str]]:
-    """(position, word) of the wording's rarest words: all but the AGREE - 1 commonest, ties by word and position."""
-    order = sorted(enumerate(wording.split()), key=lambda x: (-idf.get(x[1], 0.0), x[1], x[0]))
-    return order[: max(1, len(order) - (AGREE - 1))]
+def looked_up(wording: str, idf: dict[str, float] | None) -> list[tuple[int, str]]:
+    """(position, word) of the wording's LOOKED rarest words among those that ``idf`` knows, ties by word and position."""
+    known = [(i, w) for i, w in enumerate(wording.split()) if idf is None or w in idf]
+    return sorted(known, key=lambda x: (-(idf or {}).get(x[1], 0.0), x[1], x[0]))[:LOOKED]
 
 
 def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
@@ -106,12 +189,13 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     no labels, score 0; repeated rows get equal results; texts of any length are read whole; an empty table stays
     empty. Every place of a phrase counts in n_base, overlapping phrases each. base_labels follow from the base phrases
     alone; labels add what the index finds. score is 1 for a base phrase, otherwise the share of the best matched
-    wording's words found in place, or 0. ``idf`` (``word_idf`` of all files; all alike where not given) decides which
-    words are looked up, and so the work, but never the result.
+    wording's words outside key phrases that are in place, or 0. ``idf`` (``word_idf`` of all files; all words alike
+    where not given) decides which words are looked up: a wording none of whose LOOKED rarest words is in place is not
+    found.
     """
-    idf = idf or {}
     row = "_scan_row"
     wordings = [w for ws, _ in TEMPLATES.values() for w in ws]
+    labelled = [(label, w) for label, (ws, _) in TEMPLATES.items() for w in ws]
     words, found = F.col("_scan_words"), F.col("_scan_found")
     # the columns of docs travel in one struct, so that no name can clash
     text = docs.select(F.struct("*").alias(row)).withColumn("_scan_words", words_of(F.col("_scan_row.text"))).withColumn("_scan_gate", gate(words))
@@ -132,20 +216,21 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
         for i, w in looked_up(wording, idf):
             index.setdefault(w, []).append((t, i))
     # one literal map: word -> postings
-    entries = F.expr("map(" + ", ".join(f"'{w}', array({', '.join(f"named_struct('t', {t}, 'i', {i})" for t, i in ps)})" for w, ps in index.items()) + ")")
-    vocabulary = literals(index)
+    entries = F.expr("cast(map() as map<string,array<struct<t:int,i:int>>>)" if not index else "map(" + ", ".join(f"'{w}', array({', '.join(f"named_struct('t', {t}, 'i', {i})" for t, i in ps)})" for w, ps in index.items()) + ")")
+    vocabulary = literals(index).cast("array<string>")
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(vocabulary, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     proposals = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(entries[h["w"]], lambda p: F.array_contains("_scan_keyed", p["t"])), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["i"]).alias("o")))))
     empty = F.array().cast("array<struct<t:int,o:int>>")
     text = text.withColumn("_scan_proposals", F.when(F.size("_scan_keyed") > 0, F.array_distinct(proposals)).otherwise(empty))
-    # the wording read off at each proposed place
-    whole = F.transform(literals(wordings), lambda w: F.split(w, " "))
+    # the wording read off at each proposed place, words of key phrases left out
+    whole = F.transform(literals(" ".join(blanked(*x)) for x in labelled), lambda w: F.split(w, " "))
+    others, needed = (F.expr(f"array({', '.join(str(counted_words(*x)[k]) for x in labelled)})") for k in (0, 1))
     agreeing = lambda p: F.size(F.filter(F.get(whole, p["t"]), lambda w, i: F.get(words, p["o"] + i) == w))
     counted = F.transform("_scan_proposals", lambda p: F.struct(p["t"].alias("t"), agreeing(p).alias("n")))
-    text = text.withColumn("_scan_found", F.filter(counted, lambda x: x["n"] >= AGREE))
+    text = text.withColumn("_scan_found", F.filter(counted, lambda x: x["n"] >= F.get(needed, x["t"])))
 
     label_of = literals([label for label, own in numbers.items() for _ in own])
-    share = F.coalesce(F.array_max(F.transform(found, lambda x: x["n"] / F.size(F.get(whole, x["t"])))), F.lit(0.0))
+    share = F.coalesce(F.array_max(F.transform(found, lambda x: x["n"] / F.get(others, x["t"]))), F.lit(0.0))
     starts = F.col("_scan_starts")
     base = F.array_compact(F.array(*(F.when(F.size(F.get(starts, F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(BASE))))
     text = text.withColumns({"_scan_base": base, "_scan_labels": F.transform(found, lambda x: F.get(label_of, x["t"])), "_scan_every": F.flatten(starts)})
@@ -174,9 +259,10 @@ def _sql_list(values) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in values) + ")"
 
 
-_WORDINGS = [(t, label, w) for t, (label, w) in enumerate((label, w) for label, (ws, _) in TEMPLATES.items() for w in ws)]
+_WORDINGS = [(t, label, w, *counted_words(label, w)) for t, (label, w) in enumerate((label, w) for label, (ws, _) in TEMPLATES.items() for w in ws)]
+_POSTINGS = [(t, k, w, int(bool(other))) for t, label, wording, *_ in _WORDINGS for k, (w, other) in enumerate(zip(wording.split(), blanked(label, wording), strict=True))]
 _KEYS = [(label, g, p) for label, (_, keys) in TEMPLATES.items() for g, group in enumerate(keys) for p in group]
-#: Every word of every wording, in every file whose key phrases stand; no index and no rarest words.
+#: Every word of every wording at every place, in every file whose key phrases stand; no index.
 OP9_SQL = rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM t),
@@ -186,9 +272,12 @@ place AS (SELECT doc_id, label, i - k AS start FROM w JOIN part USING (w) GROUP
 base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY doc_id),
 keys(label, g, p) AS {_sql_list(_KEYS)},
 keyed AS (SELECT doc_id, label FROM (SELECT doc_id, label, g, bool_or(contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || p || ' ')) AS here FROM t, keys GROUP BY ALL) GROUP BY ALL HAVING bool_and(here)),
-wording(t, label, p) AS {_sql_list(_WORDINGS)},
-posting AS (SELECT t, label, unnest(string_split(p, ' ')) AS w, unnest(range(len(string_split(p, ' ')))) AS k, len(string_split(p, ' ')) AS n FROM wording),
-agreed AS (SELECT doc_id, label, t, n, count(*) AS c FROM w JOIN posting USING (w) JOIN keyed USING (doc_id, label) GROUP BY doc_id, label, t, n, i - k HAVING count(*) >= {AGREE}),
+wording(t, label, p, n, need) AS {_sql_list(_WORDINGS)},
+posting(t, k, w, other) AS {_sql_list(_POSTINGS)},
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM w WHERE w IN (SELECT w FROM posting) GROUP BY w),
+rarest AS (SELECT t, k FROM posting JOIN df USING (w) QUALIFY row_number() OVER (PARTITION BY t ORDER BY df, w, k) <= {LOOKED}),
+agreed AS (SELECT doc_id, label, t, n, sum(other) AS c FROM w JOIN posting USING (w) JOIN wording USING (t) JOIN keyed USING (doc_id, label) LEFT JOIN rarest r USING (t, k)
+  GROUP BY doc_id, label, t, n, need, i - k HAVING sum(other) >= need AND count(r.t) > 0),
 more AS (SELECT doc_id, max(c / n::DOUBLE) AS share FROM agreed GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM agreed UNION ALL SELECT doc_id, label FROM place) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
