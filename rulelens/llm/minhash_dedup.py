@@ -26,7 +26,7 @@ SKETCHES, SAMPLED = 32, 6
 SHORT, SHORT_SAMPLED = (12, 15), 2
 #: Fewer k-mers than this reach the similarity only by equality.
 FEWEST = 4
-#: Texts of one bucket that are compared in one group.
+#: Texts in a block of a bucket.
 BLOCK = 1000
 
 _rng = np.random.default_rng(20240101)
@@ -244,19 +244,24 @@ def token_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """Links between texts of one bucket that are in different components, as many as join components.
+    """Links between texts of one group of ``dealt`` that are in different components, as many as join components.
 
-    Shared k-mers are counted by an index of the bucket's k-mers, for every text outside the largest component; only
-    pairs that can reach the similarity are aligned.
+    The group's own texts outside the main component (``few`` = ``f``) are compared with its block of all texts
+    (``own`` = ``block``). Shared k-mers are counted by an index of the block's k-mers; only pairs that can reach the
+    similarity are aligned. Two texts outside the main component are compared once, where the larger id asks.
     """
-    reps, comps, block = pdf.rep.to_numpy(), pdf.component.to_numpy(), pdf.block.to_numpy()
+    f, block = pdf.f.iloc[0], pdf.block.iloc[0]
+    reps, comps, few = pdf.rep.to_numpy(), pdf.component.to_numpy(), pdf.few.to_numpy()
+    asked, members = np.flatnonzero(few == f), np.flatnonzero(pdf.own.to_numpy() == block)
+    if not len(asked) or not len(members):
+        return []
     own = [np.frombuffer(k, np.int64) for k in pdf.kmers]
     plain = [plain_of(k) for k in pdf.plain]
     size = np.array([len(k) for k in own])
-    every, doc = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+    every, doc = np.concatenate([own[j] for j in members]), np.repeat(np.arange(len(members)), size[members])
     order = np.argsort(every, kind="stable")
     every, doc = every[order], doc[order]
-    names, group, count = np.unique(comps, return_inverse=True, return_counts=True)
+    names, group = np.unique(comps, return_inverse=True)
     root = list(range(len(names)))
 
     def find(x: int) -> int:
@@ -265,17 +270,15 @@ def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    cross = pdf.b0.iloc[0] != pdf.b1.iloc[0]
     links = []
-    for i in np.flatnonzero(group != count.argmax()):
+    for i in asked:
         lo, hi = np.searchsorted(every, own[i]), np.searchsorted(every, own[i], side="right")
         long = hi - lo
         at = np.repeat(lo, long) + np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-        both = np.bincount(doc[at], minlength=len(own))
-        near = both >= similarity * (size[i] + size - both)
-        if cross:
-            near &= block != block[i]
-        for j in np.flatnonzero(near):
+        both = np.bincount(doc[at], minlength=len(members))
+        near = both >= similarity * (size[i] + size[members] - both)
+        near &= (few[members] < 0) | (reps[members] < reps[i])
+        for j in members[near]:
             x, y = find(group[i]), find(group[j])
             if x != y and alignment(own[i], own[j], similarity, plain[i], plain[j]) >= similarity:
                 root[x] = y
@@ -283,22 +286,39 @@ def bucket_links(pdf: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
     return links
 
 
+def dealt(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Groups (key, f, block) of the texts of open buckets, ``rows(key, rep, component)``; rep, component, few and own.
+
+    The main component of a bucket is its largest. Its texts, and all others, are dealt out over blocks of ``most``
+    (``own``); the texts outside it are also dealt out over blocks of their own (``few``; -1 in the main component), and
+    each such block meets each block of all texts once. So a text of the main component goes to as many groups as there
+    are blocks outside it: one, however many copies the main component holds, while ``most`` texts or fewer are not in it.
+    """
+    most = most or BLOCK
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    plan = parts.groupBy("key").agg(F.sum("c").alias("c"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1 and c > 2")
+    plan = plan.select("key", F.col("main.component").alias("main"), F.ceil(F.col("c") / most).cast("int").alias("blocks"), F.ceil((F.col("c") - F.col("main.c")) / most).cast("int").alias("few_blocks"))
+    each = rows.join(plan, "key")
+    each = each.withColumns({"own": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "few": F.when(F.col("component") == F.col("main"), -1).otherwise(F.pmod(F.xxhash64("rep", F.lit("few")), F.col("few_blocks"))).cast("int")})
+    place = lambda f, block: F.struct(f.alias("f"), block.alias("block"))
+    answers = F.transform(F.sequence(F.lit(0), F.col("few_blocks") - 1), lambda f: place(f, F.col("own")))
+    asks = F.when(F.col("few") < 0, F.array().cast("array<struct<f:int,block:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: place(F.col("few"), block)))
+    return each.select("key", "rep", "component", "few", "own", F.explode(F.array_union(answers, asks)).alias("x")).select("key", "x.*", "rep", "component", "few", "own")
+
+
 def linked_in_buckets(rows: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different components within buckets; ``rows(key, rep, component, blocks)``.
+    """Links (a, b) between different components within buckets; ``rows(key, rep, component)``.
 
-    A bucket of more than BLOCK texts is cut in blocks and each pair of blocks is a group of its own, so no group
-    holds more than two blocks.
+    No group holds more than two blocks of texts (``dealt``).
     """
-    each = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("key", "rep", "component", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
-    keys = ["key", "b0", "b1"]
+    keys = ["key", "f", "block"]
 
     def run(frames):
         for group in whole_groups(frames, keys):
             links = bucket_links(group, similarity)
             yield pd.DataFrame({"a": [x[0] for x in links], "b": [x[1] for x in links]}, dtype="int64")
 
-    return each.join(tokens, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    return dealt(rows).join(tokens, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
 def one_document(member: DataFrame) -> DataFrame:
@@ -317,7 +337,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Copies of a text are one class before anything is compared. In each sketch bucket every text is compared with
     the bucket's smallest id; components of those links are formed; then texts of one bucket that are still in
-    different components are compared within the bucket, so that no pairs are ever shuffled.
+    different components are compared within the bucket, so that no pairs are ever shuffled and only texts outside a
+    bucket's largest component go to several of its blocks.
     """
     table = cut(sketch_table(docs))
     named = table.where("doc_id is not null and c1 is not null")
@@ -331,9 +352,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = cut(verified(first, tokens, similarity).union(one_document(member)))
     comp = cut(components(links))
 
-    placed = cut(shared.select("key", "rep", "n").join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    more = cut(linked_in_buckets(placed.join(open_keys, "key"), tokens, similarity))
+    placed = cut(shared.select("key", "rep").join(small_side(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    more = cut(linked_in_buckets(placed, tokens, similarity))
     if more.head() is not None:
         comp = cut(components(links.union(more)))
 

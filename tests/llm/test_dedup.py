@@ -216,3 +216,30 @@ def test_long_repetitive_texts_align_like_short_ones():
         ones, twos = np.arange(n), rng.permutation(len(other))  # labels that agree in number, not in order
         assert minhash_dedup.alignment(ones, twos, 0.8) < 0.8
         assert minhash_dedup.alignment(ones, twos, 0.8, plain, other) == len(other) / n
+
+
+def test_open_buckets_in_blocks(spark, monkeypatch):
+    rng = random.Random(23)
+    base = cases.words(rng, 60)
+    # one bucket: a main component of near copies, some texts apart, chains among them across blocks
+    texts = [edited(rng, base, 1) for _ in range(60)]
+    for _ in range(6):
+        other = base.split()[:30] + cases.words(rng, 40).split()
+        texts += [edited(rng, " ".join(other), n) for n in (0, 1, 2)]
+    texts += [edited(rng, base, 2) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    main = set(range(60))
+    rows = [(1, i, 0 if i in main else i) for i in range(len(texts))] + [(2, 0, 0), (2, 1, 0)] + [(3, 70, 70), (3, 71, 71)]
+    rows = spark.createDataFrame(rows, "key long, rep long, component long").cache()
+    tokens = minhash_dedup.token_table(docs.withColumnRenamed("rep", "doc_id"), docs.select("rep")).cache()
+    real = [(i, j) for i in range(len(texts)) for j in range(i) if not {i, j} <= main and shingle_similarity(texts[i], texts[j]) >= 0.8]
+    inner = [(i, 0) for i in main]
+    want = groups(len(texts), inner + real)
+    for most in (7, 1000):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", most)
+        links = [(r.a, r.b) for r in minhash_dedup.linked_in_buckets(rows, tokens, 0.8).collect()]
+        assert groups(len(texts), inner + links) == want and set(links) <= set(real)
+        sent = Counter((r.key, r.rep) for r in minhash_dedup.dealt(rows).collect())
+        apart, blocks = -(-(len(texts) - 60) // most), -(-len(texts) // most)
+        assert {key for key, _ in sent} == {1}  # two texts were compared with each other, one component needs no more
+        assert all(n == apart if rep in main else n == apart + blocks - 1 for (_, rep), n in sent.items())
