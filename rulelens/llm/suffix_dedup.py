@@ -5,8 +5,9 @@ by an anchor, the smallest gram that a window holds: equal windows have equal an
 Runs of windows whose anchors occur once cannot repeat; runs that are equal as a whole repeat as a whole. What is left
 (the rims of repeated passages) goes through suffix arrays: two-stage sorting directly sorts only the suffixes that are
 smaller than their successors, induces the others by bucket scans, and adjacent common prefixes of LENGTH or more mark
-repeated windows. Anchors with very many different surroundings are resolved by counting their windows instead, which
-combines before the shuffle.
+repeated windows. Anchors with many different surroundings are split by the anchor's place within the window and by the
+bytes that all windows of such a place share; a part that still has many is resolved by counting its windows, which
+combines before the shuffle. So no array, and no task, takes more than a bounded number of surroundings of one anchor.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from rulelens.llm.common import batches, cut, mix64, prefix_hash, runs, small_si
 
 LENGTH, GRAM = 200, 50
 KEY = ["k", "q"]
-#: Different surroundings of an anchor up to which a suffix array takes it, and bytes sorted in one array.
-GROUP_MOST, ARRAY_BYTES = 20_000, 1_000_000
+#: Different surroundings of an anchor up to which a suffix array takes it as a whole, and bytes sorted in one array.
+GROUP_MOST, ARRAY_BYTES = 1_000, 1_000_000
+#: Places of an anchor within the window that stay together where an anchor is split.
+STEP = 16
 
 
 # ---------------------------------------------------------------- anchors
@@ -32,8 +35,8 @@ GROUP_MOST, ARRAY_BYTES = 20_000, 1_000_000
 def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Runs of window starts that share their anchor, the leftmost smallest gram within the window.
 
-    Gives for each run the number of its text, the first and last start there, the anchor's hash ``f`` and a hash
-    ``whole`` of all bytes of the run's windows and the anchor's place among them.
+    Gives for each run the number of its text, the first and last start there, the anchor's start ``p`` and hash ``f``
+    and a hash ``whole`` of all bytes of the run's windows and the anchor's place among them.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     base = np.concatenate([[0], np.cumsum(sizes)])
@@ -43,7 +46,7 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict
     doc = np.searchsorted(base, starts, side="right") - 1
     ok = starts + length <= base[doc + 1]
     if not ok.any():
-        return {name: np.zeros(0, np.int64) for name in ("doc", "s0", "s1", "f", "whole")}
+        return {name: np.zeros(0, np.int64) for name in ("doc", "s0", "s1", "p", "f", "whole")}
     prefix = prefix_hash(data)
     at = np.arange(n - gram + 1)
     grams = span_hash(prefix, at, at + gram)
@@ -61,18 +64,18 @@ def anchored(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict
     last = np.r_[new[1:], len(starts)] - 1
     s0, s1, p, d = starts[new], starts[last], anchor[new], doc[new]
     whole = mix64(span_hash(prefix, s0, s1 + length) + (p - s0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return {"doc": d, "s0": s0 - base[d], "s1": s1 - base[d], "f": grams[p].astype(np.int64), "whole": whole.astype(np.int64)}
+    return {"doc": d, "s0": s0 - base[d], "s1": s1 - base[d], "p": p - base[d], "f": grams[p].astype(np.int64), "whole": whole.astype(np.int64)}
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """k, q, s0, s1, f, whole of every run of ``docs(k, q, text)``."""
+    """k, q, s0, s1, p, f, whole of every run of ``docs(k, q, text)``."""
 
     def run(frames):
         for pdf in batches(frames):
             out = anchored([t.encode("utf-8", "surrogatepass") for t in pdf.text], length)
-            yield pd.DataFrame({"k": pdf.k.to_numpy()[out["doc"]], "q": pdf.q.to_numpy()[out["doc"]], "s0": out["s0"].astype(np.int32), "s1": out["s1"].astype(np.int32), "f": out["f"], "whole": out["whole"]})
+            yield pd.DataFrame({"k": pdf.k.to_numpy()[out["doc"]], "q": pdf.q.to_numpy()[out["doc"]], "s0": out["s0"].astype(np.int32), "s1": out["s1"].astype(np.int32), "p": out["p"].astype(np.int32), "f": out["f"], "whole": out["whole"]})
 
-    return text_batches(docs).where(F.octet_length("text") >= length).select("k", "q", "text").mapInPandas(run, "k long, q long, s0 int, s1 int, f long, whole long")
+    return text_batches(docs).where(F.octet_length("text") >= length).select("k", "q", "text").mapInPandas(run, "k long, q long, s0 int, s1 int, p int, f long, whole long")
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -215,6 +218,26 @@ def sorted_groups(slices: DataFrame, length: int) -> DataFrame:
     return slices.repartition("f").sortWithinPartitions("f").mapInPandas(run, "k long, q long, lo int, hi int")
 
 
+def split_anchors(slices: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of parts that repeat as a whole, and the parts that are left, of ``slices(f, k, q, s0, s1, p, kinds, part)``.
+
+    Equal windows have their anchor at equal places. Windows with the anchor at STEP neighbouring places share all but
+    STEP - 1 bytes, so these bytes and the places say where equal windows meet: they are the new f. Parts that are equal
+    give one of them; an f with one kind of part is done. Two windows of one part differ in the anchor's place.
+    """
+    at, p, s0, s1 = F.col("at"), F.col("p"), F.col("s0"), F.col("s1")
+    lo, hi = F.greatest(s0, p - at * STEP - (STEP - 1)), F.least(s1, p - at * STEP)
+    each = slices.withColumn("at", F.explode(F.sequence(F.expr(f"cast((p - s1) div {STEP} as int)"), F.expr(f"cast((p - s0) div {STEP} as int)"))))
+    shared, own = F.substring("part", p - at * STEP - s0 + 1, F.lit(length - STEP + 1)), F.substring("part", lo - s0 + 1, hi - lo + length)
+    each = each.select(F.xxhash64("f", "at", shared).alias("f"), F.xxhash64(own, p - lo).alias("w1"), F.xxhash64(p - lo, own).alias("w2"), *KEY, s0.alias("run"), lo.alias("s0"), hi.alias("s1"))
+    each = cut(each)
+    kinds = cut(each.groupBy("f", "w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "run", "s0", "s1")).alias("r")))
+    alike = each.join(kinds.where("c > 1").select("f", "w1", "w2"), ["f", "w1", "w2"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
+    several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    left = kinds.select("f", "r.*").join(several, "f").join(slices.select(*KEY, F.col("s0").alias("run"), "part"), [*KEY, "run"])
+    return alike, cut(left.select("f", *KEY, "s0", "s1", "kinds", F.substring("part", s0 - F.col("run") + 1, s1 - s0 + length).alias("part")))
+
+
 def counted_groups(slices: DataFrame, length: int) -> DataFrame:
     """The same spans by counting windows (128-bit hashes)."""
     each = slices.select("k", "q", "part", "s0", F.explode(F.sequence(F.lit(0), F.col("s1") - F.col("s0"))).alias("i"))
@@ -241,19 +264,24 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     table = cut(anchors(rows, length))
     often = cut(table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))  # a join of its own can split a hot anchor
     shared = cut(table.join(often, "f"))
-    kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "q", "s0", "s1")).alias("r")))
+    kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "q", "s0", "s1", "p")).alias("r")))
     same = shared.join(kinds.where("c > 1").select("f", "whole"), ["f", "whole"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
 
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     rims = cut(kinds.select("f", "r.*").join(several, "f"))
-    per_row = cut(rims.groupBy(*KEY).agg(F.collect_list(F.struct("f", "s0", "s1", "kinds")).alias("runs")))  # at most a row's own runs
+    per_row = cut(rims.groupBy(*KEY).agg(F.collect_list(F.struct("f", "s0", "s1", "p", "kinds")).alias("runs")))  # at most a row's own runs
     texts = rows.select(*KEY, F.encode("text", "utf-8").alias("bytes")).join(small_side(per_row.select(*KEY)), KEY, "left_semi")
-    part = lambda r: F.struct(r["f"].alias("f"), r["s0"].alias("s0"), r["s1"].alias("s1"), r["kinds"].alias("kinds"), F.substring("bytes", r["s0"] + 1, r["s1"] - r["s0"] + length).alias("part"))
+    part = lambda r: F.struct(r["f"].alias("f"), r["s0"].alias("s0"), r["s1"].alias("s1"), r["p"].alias("p"), r["kinds"].alias("kinds"), F.substring("bytes", r["s0"] + 1, r["s1"] - r["s0"] + length).alias("part"))
     # rows that are equal give each run once
     sliced = texts.dropDuplicates(KEY).join(per_row, KEY).select(*KEY, F.explode(F.transform("runs", part)).alias("x")).select(*KEY, "x.*")
     sliced = cut(sliced)
-    found = sorted_groups(sliced.where(F.col("kinds") <= GROUP_MOST), length).union(counted_groups(sliced.where(F.col("kinds") > GROUP_MOST), length))
-    spans = same.union(found)
+    few, hot = sliced.where(F.col("kinds") <= GROUP_MOST).drop("p"), sliced.where(F.col("kinds") > GROUP_MOST)
+    spans = same
+    if hot.head() is not None:
+        alike, parts = split_anchors(hot, length)
+        spans = spans.union(alike).union(counted_groups(parts.where(F.col("kinds") > GROUP_MOST), length))
+        few = few.unionByName(parts.where(F.col("kinds") <= GROUP_MOST))
+    spans = spans.union(sorted_groups(few, length))
     return cut(spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
 

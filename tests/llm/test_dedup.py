@@ -138,7 +138,7 @@ def test_repeats_against_all_windows(spark, monkeypatch):
     texts = repeats_corpus(random.Random(3))
     want = brute_repeats([t.encode() for t in texts], 200)
     docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate(texts)], cases.SCHEMA)
-    for most in (1000, 5):  # suffix arrays for all groups; counted windows for the larger ones
+    for most in (1000, 5, 1):  # suffix arrays for all groups; larger ones split, and windows of large parts counted
         monkeypatch.setattr(suffix_dedup, "GROUP_MOST", most)
         got = {r.doc_id: r for r in suffix_dedup.dedup_report(docs).collect()}
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
@@ -147,6 +147,25 @@ def test_repeats_against_all_windows(spark, monkeypatch):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == want
 
 
+def test_split_anchors_take_equal_parts_together(spark):
+    rng = random.Random(12)
+    passage = cases.words(rng, 60).encode()
+    tails = [cases.words(rng, 40).encode() for _ in range(30)]
+    texts = [passage + t for t in tails]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = suffix_dedup.anchors(suffix_dedup.keyed(docs), 200).collect()
+    text_of = {r.k: r.text.encode() for r in suffix_dedup.keyed(docs).collect()}
+    hot, n = Counter(r.f for r in table if r.s0 < len(passage) - 200 < r.s1 + 1).most_common(1)[0]
+    assert n == 30  # one run of each text crosses the end of the passage, around one anchor
+    slices = [(r.f, r.k, r.q, r.s0, r.s1, r.p, n, bytearray(text_of[r.k][r.s0 : r.s1 + 200])) for r in table if r.f == hot]
+    alike, parts = suffix_dedup.split_anchors(spark.createDataFrame(slices, "f long, k long, q long, s0 int, s1 int, p int, kinds long, part binary"), 200)
+    parts = parts.collect()
+    assert parts and all(bytes(r.part) == text_of[r.k][r.s0 : r.s1 + 200] and r.s1 - r.s0 < suffix_dedup.STEP for r in parts)
+    # what is left of each text is one part, at the passage's end; all else repeats as a whole or stands once
+    assert max(Counter(r.k for r in parts).values()) <= 2
+    assert {r.k for r in alike.collect()} == set(text_of)
+
+
 def test_repeats_awkward(spark):
     docs = cases.awkward(spark)
     rows = [r for r in docs.collect()]
