@@ -25,6 +25,8 @@ LENGTH, GRAM = 200, 50
 KEY = ["k", "q"]
 #: Different surroundings of an anchor up to which a suffix array takes it as a whole, and bytes sorted in one array.
 GROUP_MOST, ARRAY_BYTES = 1_000, 1_000_000
+#: Rows of a key above which a join leaves them where they are.
+HOT = 2_000
 #: Places of an anchor within the window that stay together where an anchor is split.
 STEP = 16
 
@@ -232,7 +234,7 @@ def split_anchors(slices: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     each = each.select(F.xxhash64("f", "at", shared).alias("f"), F.xxhash64(own, p - lo).alias("w1"), F.xxhash64(p - lo, own).alias("w2"), *KEY, s0.alias("run"), lo.alias("s0"), hi.alias("s1"))
     each = cut(each)
     kinds = cut(each.groupBy("f", "w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct(*KEY, "run", "s0", "s1")).alias("r")))
-    alike = each.join(kinds.where("c > 1").select("f", "w1", "w2"), ["f", "w1", "w2"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
+    alike = with_keys(each, kinds.where("c > 1").select("f", "w1", "w2", "c"), ["f", "w1", "w2"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     left = kinds.select("f", "r.*").join(several, "f").join(slices.select(*KEY, F.col("s0").alias("run"), "part"), [*KEY, "run"])
     return alike, cut(left.select("f", *KEY, "s0", "s1", "kinds", F.substring("part", s0 - F.col("run") + 1, s1 - s0 + length).alias("part")))
@@ -259,13 +261,23 @@ def row_key(doc_id: Column, text: Column) -> dict[str, Column]:
     return {"k": F.xxhash64(doc_id, text), "q": F.xxhash64(F.lit("q"), text, doc_id)}
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The ``rows`` whose key stands in ``keys(*on, c)``, c being its number of rows.
+
+    Rows of a hot key stay where they are: the keys of more than HOT rows, at most one for each HOT rows, are broadcast
+    if their count allows it; only the others are shuffled.
+    """
+    hot = small_side(keys.where(F.col("c") > HOT).select(*on))
+    rest = rows.join(hot, on, "left_anti").join(keys.where(F.col("c") <= HOT).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(rest)
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """k, q and spans (array of lo, hi byte places, may overlap) of the rows of ``keyed`` that hold repeated windows."""
     table = cut(anchors(rows, length))
-    often = cut(table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"))  # a join of its own can split a hot anchor
-    shared = cut(table.join(often, "f"))
+    shared = cut(with_keys(table, cut(table.groupBy("f").agg(F.count("*").alias("c")).where("c > 1")), ["f"]))
     kinds = cut(shared.groupBy("f", "whole").agg(F.count("*").alias("c"), F.min(F.struct("k", "q", "s0", "s1", "p")).alias("r")))
-    same = shared.join(kinds.where("c > 1").select("f", "whole"), ["f", "whole"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
+    same = with_keys(shared, kinds.where("c > 1").select("f", "whole", "c"), ["f", "whole"]).select(*KEY, F.col("s0").alias("lo"), (F.col("s1") + length).alias("hi"))
 
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1")
     rims = cut(kinds.select("f", "r.*").join(several, "f"))
