@@ -140,7 +140,6 @@ def test_repeats_against_all_windows(spark, monkeypatch):
     docs = spark.createDataFrame([cases.row(i, t) for i, t in enumerate(texts)], cases.SCHEMA)
     for most in (1000, 5, 1):  # suffix arrays for all groups; larger ones split, and windows of large parts counted
         monkeypatch.setattr(suffix_dedup, "GROUP_MOST", most)
-        monkeypatch.setattr(suffix_dedup, "HOT", 2 * most)
         got = {r.doc_id: r for r in suffix_dedup.dedup_report(docs).collect()}
         assert [tuple(got[i])[1:] for i in range(len(texts))] == want
     monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 2000)
