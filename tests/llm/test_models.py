@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm import cases
 
 from rulelens.llm import language_id, quality, toxicity
@@ -226,6 +227,42 @@ def test_quantiles_of_chance():
     assert toxicity.chance_marks(np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0, int), np.zeros(0), 0.1) == (0.0, 0.0)
 
 
+def test_all_documents_take_part_in_toxicity(spark):
+    """Every document and every toxic one is learnt from, more than one fit holds; copies count once on each side."""
+    text = F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id") % 20_000) for c in "abc"))
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(20_100).where("id % 4 = 0").select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    got = toxicity.learning_texts(docs, labels)
+    parts = {r.part: r["count"] for r in got.groupBy("part").count().collect()}
+    assert parts["other"] + parts["threshold"] == 20_000 and parts.get(None, 0) <= 25 and 6_000 < parts["threshold"] < 7_400
+    assert got.where("toxic").count() == got.where("toxic").select("text").distinct().count() == 5_000
+
+
+def test_shards_of_the_fit_agree_with_the_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    draw = lambda toxic: sorted(rng.sample(range(12), 4)) if toxic else ([12 + rng.randrange(4)] if rng.random() < 0.2 else [])
+    rows = [(i % 4 == 0, "other", rng.randrange(1 << 60), draw(i % 4 == 0)) for i in range(1200)]
+    found = spark.createDataFrame(rows, "toxic boolean, part string, hash long, at array<int>")
+    whole, bias = toxicity.train(found, 300, 1200, 16, 0.25)
+    monkeypatch.setattr(toxicity, "SHARD_TOXIC", 150)
+    monkeypatch.setattr(toxicity, "SHARD_UNLABELLED", 200)
+    parts, shift = toxicity.train(found, 300, 1200, 16, 0.25)
+    again, same = toxicity.train(found.repartition(7), 300, 1200, 16, 0.25)
+    assert (parts == again).all() and shift == same
+    for w, b in ((whole, bias), (parts, shift)):
+        margin = [b + sum(w[j] for j in at) for _, _, _, at in rows]
+        assert all((m > 0) == t for m, (t, *_) in zip(margin, rows, strict=True))
+
+
+def test_threshold_of_counted_margins():
+    rng = np.random.default_rng(2)
+    toxic, other = np.round(rng.normal(1, 2, 300), 1), np.round(rng.normal(-3, 1, 4000), 1)
+    p, n_p = np.unique(toxic, return_counts=True)
+    u, n_u = np.unique(other, return_counts=True)
+    least = toxicity.threshold(p, u, 0.05, 0.002, n_p, n_u)
+    assert least == toxicity.threshold(toxic, other, 0.05) < 0
+
+
 def test_batches_shorter_than_a_run():
     for texts in (["a"], [""], [None], ["ab", None][:1], []):
         assert toxicity.different_words(texts).sum() == sum(bool(t) for t in texts)
