@@ -25,6 +25,8 @@ HASH, BLOCK = "_hash", "_block"
 HASHED = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Rows of a block, the unit of the posting table; files hold many blocks.
 BLOCK_ROWS = 64
+#: A scope of so many distinct values at most is broadcast, so that a source with most of the rows is not one task's.
+SCOPE_MOST = 500_000
 
 
 def same_key(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -43,6 +45,13 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(columns))), HASHED), 256)
 
 
+def in_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """The ``rows`` whose values in the columns of ``scope`` stand there, nulls compared as equal; not shuffled by few values."""
+    within, names = keyed(scope.distinct(), scope.columns)
+    few = within.limit(SCOPE_MOST + 1).count() <= SCOPE_MOST
+    return rows.join(F.broadcast(within) if few else within, same_key(scope.columns, names), "left_semi")
+
+
 @dataclass(frozen=True)
 class Version:
     number: int
@@ -178,8 +187,7 @@ class SnapshotTable:
             added = new.join(there, same_key(self.key, there_names), "left_anti").select(*self.key, F.lit("insert").alias("kind"), F.lit(None).cast("string").alias("file"))
             found = changed.unionByName(added)
             if scope is not None:
-                within, scope_names = keyed(scope.distinct(), scope.columns)
-                gone = have.join(within, same_key(scope.columns, scope_names), "left_semi").join(mine, same_key(self.key, names), "left_anti")
+                gone = in_scope(have, scope).join(mine, same_key(self.key, names), "left_anti")
                 found = found.unionByName(gone.select(*self.key, F.lit("delete").alias("kind"), "file"))
         found.write.parquet(f"{self.path}/changes/{log}")
         found = self.spark.read.schema(found.schema).parquet(f"{self.path}/changes/{log}")

@@ -11,7 +11,7 @@ from rulelens.operators.search import contains_text
 from rulelens.sources.landing import read_files
 from rulelens.store import bridge as B
 from rulelens.store import postings as N
-from rulelens.store.snapshots import SnapshotTable, content_hash
+from rulelens.store.snapshots import SnapshotTable, content_hash, in_scope
 from rulelens.streaming import refresh as stream
 
 SCHEMA = "source string, id string, title string, n int"
@@ -56,6 +56,18 @@ def test_table_may_become_empty_and_fill_again(spark, small):
     assert rows_of(small) == [("a", "1", "back", 1)]
 
 
+def test_rows_of_a_scope_are_not_dealt_by_its_few_values(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(300)] + [(None, 1), ("b", 2)], "source string, id int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = in_scope(rows, spark.createDataFrame([("a",), (None,), (None,)], "source string"))
+        assert got.count() == 301
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_replayed_batch_changes_nothing(spark, small):
     batch = [("a", "1", "changed", 1), ("c", "1", "new", 9)]
     first = small.apply(frame(spark, batch))
