@@ -8,6 +8,7 @@ a version needs those of its new files only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from rulelens.store.snapshots import BLOCK, SnapshotTable, Version
 SIZE = 3
 #: Beyond so many runs of blocks only files are left out, not blocks within them; the result is the same.
 RUNS_MOST = 500
+#: Blocks whose n-grams a task combines and sorts, whatever the size of the table.
+TASK_BLOCKS = 128
 
 
 def grams(term: str) -> list[str]:
@@ -49,18 +52,27 @@ def indexed_folders(table: SnapshotTable, version: Version, columns: Sequence[st
 def index_new_files(table: SnapshotTable, columns: Sequence[str]) -> list[tuple[str, str]]:
     """Make the postings of the newest version's writes that have none yet; the (write, column) pairs so indexed.
 
-    A file is worked on where it is read: its blocks are complete there, so that (n-gram, block) pairs combine before the
-    one shuffle, which sorts them by n-gram. Each column has postings of its own, and only its text is read for them.
+    Whole blocks, TASK_BLOCKS a task, are dealt out by their text, and their (n-gram, block) pairs combine there, in memory that does not
+    grow with the table. The distinct pairs are written before they are sorted by n-gram, so that the ranges are found
+    without working on the texts again. Each column has postings of its own, and only its text is read for them.
     """
     version, done = table.version(), []
+    folder_of = F.split_part("file", F.lit("/"), F.lit(1))
     for column in columns:
         for folder in sorted(_folders(table, version) - indexed_folders(table, version, [column])):
+            n_rows = table.files(version).where(folder_of == folder).agg(F.sum("n_rows")).head()[0]
+            parts = max(table.spark.sparkContext.defaultParallelism, -(-n_rows // (table.block_rows * TASK_BLOCKS)))
             rows = table.spark.read.schema(version.schema).parquet(f"{table.path}/data/{folder}")
             name = F.concat(F.lit(f"{folder}/"), F.col("_metadata.file_name")).alias("file")
-            pairs = rows.select(name, F.col(BLOCK).alias("block"), F.explode(text_grams(column)).alias("gram")).distinct()
+            dealt = rows.select(name, F.col(BLOCK).alias("block"), column).repartition(parts, "block")
+            pairs = dealt.select("file", "block", F.explode(text_grams(column)).alias("gram")).distinct()
+            scratch = f"postings/{folder}/_unsorted-{uuid.uuid4().hex}"
+            pairs.write.option("compression", "zstd").parquet(f"{table.path}/{scratch}")
             order = ["gram", "file", "block"]
-            ordered = pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+            ordered = table.spark.read.schema(pairs.schema).parquet(f"{table.path}/{scratch}").repartitionByRange(parts, *order).sortWithinPartitions(*order)
             ordered.write.mode("overwrite").option("compression", "zstd").parquet(f"{table.path}/postings/{folder}/{column}")
+            fs, path = table._fs(scratch)
+            fs.delete(path, True)
             done.append((folder, column))
     return done
 

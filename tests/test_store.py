@@ -180,6 +180,17 @@ def test_search_gives_the_rows_of_a_scan(spark, tmp_path):
         assert got == want, term
 
 
+def test_postings_are_made_by_more_tasks_for_more_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "TASK_BLOCKS", 2)
+    table = SnapshotTable(spark, str(tmp_path / "t"), rows_per_file=40, block_rows=4)
+    table.apply(frame(spark, texts(random.Random(2), 160)))
+    (folder, column), = N.index_new_files(table, ["title"])
+    assert os.listdir(f"{table.path}/postings/{folder}") == [column]  # nothing unsorted is left
+    names = [n for n in os.listdir(f"{table.path}/postings/{folder}/{column}") if n.startswith("part-")]
+    assert len(names) > 10  # of 20 tasks; a session has 4 partitions here
+    assert N.search_text(table, "license", ["title"]).count() == table.read().where(contains_text("license", ["title"])).count() > 0
+
+
 def test_unread_files_stay_unread_and_refresh_keeps_the_table(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"), rows_per_file=50, block_rows=5)
     table.apply(frame(spark, [("s", f"{i:04d}", "needle here" if i == 120 else f"hay {i}", i) for i in range(400)]))
