@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import cases
@@ -238,6 +240,36 @@ def test_all_documents_take_part_in_toxicity(spark):
     assert got.where("toxic").count() == got.where("toxic").select("text").distinct().count() == 5_000
 
 
+def test_all_documents_place_the_threshold_and_train(spark, monkeypatch):
+    """Threshold and chance count every document, not a third; each trains in all turns but its own, which measures it."""
+    rows, labels = labelled(random.Random(6), 300)
+    seen, threshold, chance, turns = {}, toxicity.threshold, toxicity.chance_of, toxicity.train_turns
+    monkeypatch.setattr(toxicity, "threshold", lambda *a: seen.update(threshold=(a[4].sum(), a[5].sum())) or threshold(*a))
+    monkeypatch.setattr(toxicity, "chance_of", lambda *a: seen.update(chance=(a[3], a[2])) or chance(*a))
+    monkeypatch.setattr(toxicity, "train_turns", lambda *a: seen.update(turns=a[0]) or turns(*a))
+    toxicity.fit(spark.createDataFrame(rows, cases.SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int, note string"))
+    toxic = sum(t for _, t, _ in labels)
+    assert seen["threshold"] == seen["chance"] == (toxic, 300)
+    trained = [found.where("part = 'other'").groupBy("hash").count().collect() for found, *_ in seen["turns"]]
+    assert [len(t) for t in trained] == [n for _, _, n, _ in seen["turns"]]
+    times = Counter(r.hash for t in trained for r in t)
+    assert len(times) == 300 and set(times.values()) == {toxicity.TURNS - 1}
+
+
+def test_counts_of_pieces_by_turn():
+    """Known pieces and all pieces are counted alike, and as plain Python counts them, a turn's documents apart."""
+    rng = random.Random(4)
+    texts = [cases.words(rng, rng.randrange(0, 30)) for _ in range(40)]
+    pdf = pd.DataFrame({"text": texts, "turn": [rng.randrange(toxicity.TURNS) for _ in texts]})
+    whole = pd.concat(toxicity.counted([pdf[:25], pdf[25:]])).set_index("id").sort_index()
+    known = toxicity.Known(whole.index.to_numpy()[::3])
+    some = pd.concat(toxicity.counted([pdf[:25], pdf[25:]], known)).set_index("id").sort_index()
+    assert (some == whole.loc[some.index]).all().all() and len(some) == len(known.ids)
+    word = next(b for k, b in enumerate(toxicity.pieces(["the7"])) if k == len(toxicity.BEGINNINGS))[1].astype(np.int64)[0]
+    plain = [sum("the7" in t.split() for t in pdf.text[pdf.turn == k]) for k in range(toxicity.TURNS)]
+    assert (whole.loc[word].tolist() if word in whole.index else [0] * toxicity.TURNS) == plain
+
+
 def test_shards_of_the_fit_agree_with_the_whole(spark, monkeypatch):
     rng = random.Random(5)
     draw = lambda toxic: sorted(rng.sample(range(12), 4)) if toxic else ([12 + rng.randrange(4)] if rng.random() < 0.2 else [])
