@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Adam, Words, batches, bucket_of, cut, logistic, mix64, small_side, text_batches
+from rulelens.llm.common import Adam, Words, batches, bucket_of, cut, logistic, mix64, powers, small_side, text_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Models are trained in so many turns: in each the unlabelled documents of another part are measured, all others train.
@@ -52,8 +52,8 @@ def _power(k: int) -> np.uint64:
     return np.uint64(pow(_BASE, k, 1 << 64))
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (text number, 64-bit id) of all word pieces, repeats included, one block per kind of piece."""
+def _spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each character of the lower-cased texts, and the words in them: text number, start and size."""
     parts = [(t or "").lower() + "\n" for t in texts]
     code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
@@ -61,66 +61,135 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     inside[1:-1] = ((code >= 48) & (code < 58)) | ((code >= 97) & (code < 123)) | (code >= 128)
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    doc, size = np.searchsorted(ends, start, side="right"), end - start
-    value = code.astype(np.uint64) + np.uint64(1)
-    # every prefix sum of value * base^position gives the words; runs and beginnings are short and summed directly
+    return code.astype(np.uint64) + np.uint64(1), np.searchsorted(ends, start, side="right"), start, end - start
+
+
+def _hashes(value: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of value * base^place over the characters of words of any length, from prefix sums."""
+    up, down = powers(len(value) + 1)
+    prefix = np.zeros(len(value) + 1, dtype=np.uint64)
+    np.cumsum(value * up[:-1], out=prefix[1:])
+    return (prefix[start + size] - prefix[start]) * down[start]
+
+
+def _pieces(value: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (word number, 64-bit id) of the pieces of words, one block per kind of piece; ``whole`` are the words' hashes."""
     total = np.zeros(len(start), dtype=np.uint64)
     for k in range(max(BEGINNINGS)):
         live = np.flatnonzero(size > k)
         total[live] += value[start[live] + k] * _power(k)
         if k + 1 in BEGINNINGS:
-            yield doc[live], total[live] ^ np.uint64(_KIND[k + 1])
-    long = np.flatnonzero(size > max(BEGINNINGS))
-    k = max(BEGINNINGS)
-    while len(long):
-        total[long] += value[start[long] + k] * _power(k)
-        k += 1
-        long = long[size[long] > k]
-    yield doc, total ^ np.uint64(_KIND["word"])
-    n_runs = max(0, len(code) - RUN + 1)  # a batch may hold fewer characters than a run
-    run = np.zeros(n_runs, dtype=np.uint64)
-    for j in range(RUN):
-        run += value[j : j + n_runs] * _power(j)
+            yield live, total[live] ^ np.uint64(_KIND[k + 1])
+    yield np.arange(len(start)), whole ^ np.uint64(_KIND["word"])
     many = np.maximum(0, size - RUN + 1)
-    at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    yield np.repeat(doc, many), run[at] ^ np.uint64(_KIND["run"])
+    at = _ranges(start, many)
+    run = np.zeros(len(at), dtype=np.uint64)
+    for j in range(RUN):
+        run += value[at + j] * _power(j)
+    yield np.repeat(np.arange(len(start)), many), run ^ np.uint64(_KIND["run"])
 
 
-def _distinct(doc: np.ndarray, what: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct doc * n + what."""
-    return np.unique(doc.astype(np.int64) * n + what)
+def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (text number, 64-bit id) of all word pieces, repeats included, one block per kind of piece."""
+    value, doc, start, size = _spans(texts)
+    for word, ids in _pieces(value, start, size, _hashes(value, start, size)):
+        yield doc[word], ids
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (``many[i]`` of them) for each i."""
+    return np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct whole numbers, by a sort: np.unique hashes them, which takes many times as long."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+class Vocabulary:
+    """The different words of a batch of texts, and which text holds which; a word's pieces are made once.
+
+    ``doc`` and ``word`` are the distinct pairs (text number, word number), sorted.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        self.n_texts = len(texts)
+        self.value, doc, start, size = _spans(texts)
+        word, self.whole = pd.factorize(_hashes(self.value, start, size))
+        self.n = len(self.whole)
+        first = np.zeros(self.n, dtype=np.int64)
+        first[word[::-1]] = np.arange(len(word))[::-1]
+        self.start, self.size = start[first], size[first]
+        self.doc, self.word = np.divmod(_distinct(doc * self.n + word), max(1, self.n))
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (word number, 64-bit id) of the pieces of the different words."""
+        return _pieces(self.value, self.start, self.size, self.whole)
+
+    def different(self) -> np.ndarray:
+        """The number of different words of each text."""
+        return np.bincount(self.doc, minlength=self.n_texts)
+
+    def spread(self, word: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (text number, ``at``), sorted, of what words hold: pairs (word number, ``at`` below ``n``), sorted by word."""
+        first = np.searchsorted(word, np.arange(self.n + 1))
+        many = np.diff(first)[self.word]
+        return np.divmod(_distinct(np.repeat(self.doc, many) * n + at[_ranges(first[self.word], many)]), max(1, n))
 
 
 class Known:
-    """A sorted set of piece ids that finds its members in blocks of ids; a small table passes over most others."""
+    """A sorted set of piece ids that finds its members in blocks of ids by a table of their scrambled upper bits."""
 
     def __init__(self, ids: np.ndarray):
         self.ids = np.sort(np.asarray(ids).astype(np.uint64))
-        self.bits = min(24, max(16, len(self.ids).bit_length() + 3))
-        self.table = np.zeros(1 << self.bits, dtype=bool)
-        self.table[self._slot(self.ids)] = True
+        self.bits = min(24, max(16, len(self.ids).bit_length() + 2))
+        slot = self._slot(self.ids)
+        self.order = np.argsort(slot, kind="stable").astype(np.int32)
+        self.by_slot = self.ids[self.order]
+        self.first = np.r_[0, np.cumsum(np.bincount(slot, minlength=1 << self.bits))].astype(np.int32)
+
+    def __reduce__(self):
+        return Known, (self.ids,)  # tasks make the table again
 
     def _slot(self, ids: np.ndarray) -> np.ndarray:
         return ((ids * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Text numbers and positions in ``ids`` of the members that stand in each text, each once, sorted."""
-        if not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def members(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` members stand, and their positions in the sorted set."""
+        slot = self._slot(ids)
+        at, end = self.first[slot], self.first[slot + 1]
+        live = np.flatnonzero(at < end)
+        where, found = [live[:0]], [self.order[:0]]
+        while len(live):
+            hit = self.by_slot[at[live]] == ids[live]
+            where.append(live[hit])
+            found.append(self.order[at[live[hit]]])
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return np.concatenate(where), np.concatenate(found).astype(np.int64)
+
+    def in_words(self, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and positions in ``ids`` of the members that stand in each different word, each once, sorted."""
         pairs = [np.zeros(0, np.int64)]
-        for doc, ids in pieces(texts):
-            maybe = np.flatnonzero(self.table[self._slot(ids)])
-            at = np.minimum(np.searchsorted(self.ids, ids[maybe]), len(self.ids) - 1)
-            hit = self.ids[at] == ids[maybe]
-            pairs.append(_distinct(doc[maybe[hit]], at[hit], len(self.ids)))
-        return np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
+        for word, ids in words.pieces() if len(self.ids) else ():
+            where, at = self.members(ids)
+            pairs.append(word[where] * len(self.ids) + at)
+        return np.divmod(_distinct(np.concatenate(pairs)), max(1, len(self.ids)))
+
+    def among(self, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers and positions in ``ids`` of the members that stand in each text, each once, sorted."""
+        return words.spread(*self.in_words(words), len(self.ids))
+
+    def found(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``among`` for the words of texts."""
+        return self.among(Vocabulary(texts))
 
 
 def different_words(texts: list[str | None]) -> np.ndarray:
     """The number of different words of each text."""
-    doc, ids = next(block for k, block in enumerate(pieces(texts)) if k == len(BEGINNINGS))
-    _, first = np.unique(mix64(ids ^ mix64(doc.astype(np.uint64) + np.uint64(1))), return_index=True)
-    return np.bincount(doc[first], minlength=len(texts))
+    return Vocabulary(texts).different()
 
 
 def poisson_quantile(mean: np.ndarray, beyond: float) -> np.ndarray:
@@ -148,14 +217,18 @@ class Model:
         self.known, self.weight, self.bias, self.rate, self.mark = Known(ids), weight, bias, rate, mark
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        doc, at = self.known.found(texts)
-        return np.bincount(doc, weights=self.weight[at], minlength=len(texts))
+        return self._evidence(Vocabulary(texts))
+
+    def _evidence(self, words: Vocabulary) -> np.ndarray:
+        doc, at = self.known.among(words)
+        return np.bincount(doc, weights=self.weight[at], minlength=words.n_texts)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        found = self.evidence(texts)
+        words = Vocabulary(texts)
+        found = self._evidence(words)
         lit = np.flatnonzero(found)
         if self.rate > 0 and len(lit):
-            found[lit] -= self.mark * poisson_quantile(self.rate * different_words([texts[i] for i in lit]), CHANCE)
+            found[lit] -= self.mark * poisson_quantile(self.rate * words.different()[lit], CHANCE)
         return self.bias + np.maximum(found, 0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -163,13 +236,14 @@ class Model:
 
     def marks(self, texts: list[str | None]) -> np.ndarray:
         """The number of marked words of each text, different ones only."""
-        out = np.zeros(len(texts), dtype=np.int64)
-        for i in np.flatnonzero(self.evidence(texts)):
-            words = Words([texts[i]])
-            _, first = np.unique(words.hash, return_index=True)
-            own = [bytes(words.data[words.start[k] : words.end[k]]).decode("utf-8", "replace") for k in first]
-            out[i] = (self.evidence(own) >= MARKED).sum()
-        return out
+        return self.measures(texts)[0]
+
+    def measures(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``marks`` and ``evidence``."""
+        words = Vocabulary(texts)
+        word, at = self.known.in_words(words)
+        marked = np.bincount(word, weights=self.weight[at], minlength=words.n) >= MARKED
+        return np.bincount(words.doc[marked[words.word]], minlength=words.n_texts), self._evidence(words)
 
 
 def chance_marks(marks: np.ndarray, words: np.ndarray, evidence: np.ndarray, toxic_marks: np.ndarray, toxic_evidence: np.ndarray, prior: float) -> tuple[float, float]:
@@ -218,7 +292,7 @@ class Sample:
         """Each document with a random share of its features, one at least: evidence as thin as a single marked word."""
         out, draw = object.__new__(Sample), rng.random(len(self.at))
         least = np.minimum.reduceat(draw, self.first) if len(draw) else draw
-        stays = (draw < rng.random(len(self.many))[self.row] ** 4) | (draw == least[self.row])
+        stays = np.flatnonzero(draw <= np.maximum(least, (rng.random(len(self.many)) ** 4)[: len(least)])[self.row])
         out.n, out.many, out.at, out.row = self.n, self.many, self.at[stays], self.row[stays]
         return out
 
@@ -296,29 +370,39 @@ def counted(frames, known: Known | None = None):
     """Partial document frequencies of pieces by the documents' turn: of all, or of the ``known`` ones."""
     ids = np.zeros(0, np.uint64) if known is None else known.ids
     n = np.zeros((len(ids), TURNS), np.int64)
+    waiting, rows = [], 0
     for pdf in batches(frames):
-        texts, turn = pdf.text.tolist(), pdf.turn.to_numpy(dtype=np.int64)
+        words, turn = Vocabulary(pdf.text.tolist()), pdf.turn.to_numpy(dtype=np.int64)
         if known is not None:
-            doc, at = known.found(texts)
+            doc, at = known.among(words)
             n += np.bincount(at * TURNS + turn[doc], minlength=n.size).reshape(n.shape)
             continue
-        some, by = [ids], []
-        for doc, block in pieces(texts):
-            value, at = np.unique(block, return_inverse=True)
-            doc, at = np.divmod(_distinct(doc, at, max(1, len(value))), max(1, len(value)))
-            some.append(value[at])
-            by.append(turn[doc])
-        joint, at = np.unique(np.concatenate(some), return_inverse=True)
-        new = np.bincount(at[len(ids) :] * TURNS + np.concatenate(by), minlength=len(joint) * TURNS).reshape(-1, TURNS)
-        new[at[: len(ids)]] += n
-        ids, n = joint, new
-        if len(ids) > HELD_COUNTS:
-            yield _frequencies(ids, n)
-            ids, n = ids[:0], n[:0]
+        word, block = (np.concatenate(x) for x in zip(*words.pieces(), strict=True))
+        at, value = pd.factorize(block)
+        word, at = np.divmod(_distinct(word * len(value) + at), max(1, len(value)))
+        doc, at = words.spread(word, at, len(value))
+        waiting.append((value, np.bincount(at * TURNS + turn[doc], minlength=len(value) * TURNS).reshape(-1, TURNS)))
+        rows += len(value)
+        if rows > HELD_COUNTS:
+            ids, n = _summed([(ids, n), *waiting])
+            waiting, rows = [], 0
+            if len(ids) > HELD_COUNTS:
+                yield _frequencies(ids, n)
+                ids, n = ids[:0], n[:0]
+    ids, n = _summed([(ids, n), *waiting]) if waiting else (ids, n)
     some = n.any(axis=1)
     yield _frequencies(ids[some], n[some])
 
 
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted ids of several (ids, counts by turn) and the sums of their counts."""
+    ids, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(ids)
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    return ids[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _frequencies(ids: np.ndarray, n: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"id": ids.astype(np.int64)} | {f"m{k}": n[:, k] for k in range(TURNS)})
 
@@ -456,11 +540,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def present(frames):
         for pdf in batches(frames):
-            texts = pdf.text.tolist()
-            doc, at = features.value.found(texts)
+            words = Vocabulary(pdf.text.tolist())
+            doc, at = features.value.among(words)
             cuts = np.searchsorted(doc, np.arange(len(pdf) + 1))
             lit = np.diff(cuts) > 0  # the others' texts are not looked at again
-            yield pdf[["toxic", "turn", "part", "hash"]].assign(at=[at[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], words=different_words(texts), text=pdf.text.where(lit, None))
+            yield pdf[["toxic", "turn", "part", "hash"]].assign(at=[at[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], words=words.different(), text=pdf.text.where(lit, None))
 
     found = cut(texts.mapInPandas(present, "toxic boolean, turn int, part string, hash long, at array<int>, words long, text string"))
     models = train_turns([(parts_of(found, k), n.toxic, n_other[k], np.isin(every, mine)) for k, mine in zip(turns, ids, strict=True)], prior)
@@ -473,7 +557,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for k, model in plain.value.items():
                 lit = np.flatnonzero(pdf.text.notna() & (pdf.turn == k))
                 texts = pdf.text.iloc[lit].tolist()
-                marks[lit], evidence[lit] = model.marks(texts), model.evidence(texts)
+                marks[lit], evidence[lit] = model.measures(texts)
             yield pdf[["toxic", "held", "words"]].assign(marks=marks, evidence=evidence)
 
     # a table so small that all its documents are of one turn has no model without them

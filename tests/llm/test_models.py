@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 from collections import Counter
@@ -270,6 +271,62 @@ def test_counts_of_pieces_by_turn():
     assert (whole.loc[word].tolist() if word in whole.index else [0] * toxicity.TURNS) == plain
 
 
+def test_pieces_of_a_word_are_looked_up_once(monkeypatch):
+    """However often words stand in a batch of texts, each different one is taken apart and looked up once."""
+    looked, slot = [], toxicity.Known._slot
+    word = next(ids for _, ids in toxicity.pieces(["abcdefgh"]))
+    model = toxicity.Model(word, np.ones(1), -0.5, 1e-3, 0.1)
+    monkeypatch.setattr(toxicity.Known, "_slot", lambda self, ids: looked.append(len(ids)) or slot(self, ids))
+    texts = ["Abcdefgh ijklmno. " * 500, None, "ijklmno " * 900, "x abcdefgh"] * 20
+    assert (model.score(texts) >= 0.5).tolist() == [True, False, False, True] * 20
+    assert sum(looked) <= 30
+    looked.clear()
+    got = pd.concat(toxicity.counted([pd.DataFrame({"text": texts, "turn": [0, 0, 1, 2] * 20})], model.known))
+    assert got[["m0", "m1", "m2"]].to_numpy().tolist() == [[20, 0, 20]] and sum(looked) <= 30
+
+
+def test_known_pieces_against_sets(monkeypatch):
+    """Members of texts, evidence and marks as plain Python finds them, also where many ids share a slot of the table."""
+    rng = random.Random(9)
+    texts = [cases.words(rng, rng.randrange(0, 40)) for _ in range(30)] + ["", None, "É漢字漢字漢字 É漢字漢字漢字", "abcd abcde ABCD"]
+    own = [set() for _ in texts]
+    for doc, block in toxicity.pieces(texts):
+        for d, i in zip(doc.tolist(), block.tolist(), strict=True):
+            own[d].add(i)
+    everything = sorted(set().union(*own))
+    for ids in (everything, everything[::3], everything[:1], []):
+        weight = np.random.default_rng(1).random(len(ids)) / 5
+        for shared in (False, True):
+            with monkeypatch.context() as m:
+                if shared:
+                    m.setattr(toxicity.Known, "_slot", lambda self, x: (x % np.uint64(7)).astype(np.int64))
+                model = toxicity.Model(np.array(ids, dtype=np.uint64), weight, -1.0)
+                doc, at = model.known.found(texts)
+                (marks, evidence), again = model.measures(texts), model.marks(texts)
+            assert list(zip(doc.tolist(), at.tolist(), strict=True)) == [(d, k) for d, o in enumerate(own) for k, i in enumerate(ids) if i in o]
+            value = dict(zip(ids, weight.tolist(), strict=True))
+            assert evidence.tolist() == pytest.approx([sum(value.get(i, 0) for i in o) for o in own])
+            plain = []
+            for t in texts:
+                words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()))
+                plain.append(sum(sum(value.get(i, 0) for i in {j for _, b in toxicity.pieces([w]) for j in b.tolist()}) >= toxicity.MARKED for w in words))
+            assert marks.tolist() == again.tolist() == plain
+    known = toxicity.Known(np.array(everything, dtype=np.uint64))
+    sent = pickle.dumps(known)  # the table is made again where it is needed
+    assert len(sent) < 8 * len(everything) + 1000
+    assert [x.tolist() for x in pickle.loads(sent).found(texts)] == [x.tolist() for x in known.found(texts)]
+
+
+def test_counts_of_pieces_are_handed_on_in_parts(monkeypatch):
+    rng = random.Random(11)
+    frames = [pd.DataFrame({"text": [cases.words(rng, 20) for _ in range(10)], "turn": [rng.randrange(toxicity.TURNS) for _ in range(10)]}) for _ in range(6)]
+    whole = pd.concat(toxicity.counted(frames)).set_index("id").sort_index()
+    assert whole.index.is_unique
+    monkeypatch.setattr(toxicity, "HELD_COUNTS", len(whole) // 3)
+    parts = list(toxicity.counted(frames))
+    assert len(parts) > 1 and pd.concat(parts).groupby("id").sum().sort_index().equals(whole)
+
+
 def test_shards_of_the_fit_agree_with_the_whole(spark, monkeypatch):
     rng = random.Random(5)
     draw = lambda toxic: sorted(rng.sample(range(12), 4)) if toxic else ([12 + rng.randrange(4)] if rng.random() < 0.2 else [])
